@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
 from .chat_format import OP10_SQL, op10_chat_format
+from .near_dups import op6_near_dups
 from .token_counts import op5_token_counts
 from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_near_dups": op6_near_dups,
     "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
 }
