@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op1_ann
 from .bpe import op3_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .near_dups import op6_near_dups
@@ -13,6 +14,7 @@ from .token_counts import op5_token_counts
 from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op3_bpe": op3_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_near_dups": op6_near_dups,
