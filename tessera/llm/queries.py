@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op1_ann
 from .bpe import op3_bpe
 from .chat_format import OP10_SQL, op10_chat_format
+from .line_dedup import op4_line_dedup
 from .near_dups import op6_near_dups
 from .token_counts import op5_token_counts
 from .warc import OP9_SQL, op9_warc
@@ -16,6 +17,7 @@ from .warc import OP9_SQL, op9_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op3_bpe": op3_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_near_dups": op6_near_dups,
     "op9_warc": op9_warc,
