@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op1_ann
 from .bpe import op3_bpe
 from .chat_format import OP10_SQL, op10_chat_format
+from .lang_id import op7_lang_id
 from .line_dedup import op4_line_dedup
 from .near_dups import op6_near_dups
 from .token_counts import op5_token_counts
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_near_dups": op6_near_dups,
+    "op7_lang_id": op7_lang_id,
     "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
 }
