@@ -13,6 +13,7 @@ from .lang_id import op7_lang_id
 from .line_dedup import op4_line_dedup
 from .near_dups import op6_near_dups
 from .token_counts import op5_token_counts
+from .toxicity import op8_toxicity
 from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_near_dups": op6_near_dups,
     "op7_lang_id": op7_lang_id,
+    "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
 }
