@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op1_ann
 from .bpe import op3_bpe
 from .chat_format import OP10_SQL, op10_chat_format
+from .decontam import op2_decontam
 from .lang_id import op7_lang_id
 from .line_dedup import op4_line_dedup
 from .near_dups import op6_near_dups
@@ -18,6 +19,7 @@ from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
+    "op2_decontam": op2_decontam,
     "op3_bpe": op3_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
