@@ -90,8 +90,10 @@ def frequencies(batches: Batches) -> Batches:
         words, _, _, first = tokens(*byte_buffers(part.column("text")))
         block, owner = numbered(first, 4 * STEP)
         passages += len(owner)
-        pairs = np.unique(block * BUCKETS + bucket_of(words))
-        total += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+        pairs = block * BUCKETS + bucket_of(words)
+        pairs = np.sort(pairs.astype(np.uint32) if len(owner) < 1 << 17 else pairs)
+        new = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+        total += np.bincount(new % BUCKETS, minlength=BUCKETS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], passages))], ["bucket", "n"])
 
@@ -107,21 +109,24 @@ def weights(docs: DataFrame) -> np.ndarray:
     return w.astype(np.float32)
 
 
-def summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by their (never decreasing) number."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    if len(at):
-        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        out[at[begin]] = np.add.reduceat(rows, begin, axis=0)
-    return out
+def add_rows(out: np.ndarray, at: np.ndarray, rank: np.ndarray, table: np.ndarray, rows: np.ndarray) -> None:
+    """out[at] += table[rows], in turns by rank: within a turn no place comes twice."""
+    order = np.argsort(rank.astype(np.uint16) if len(rank) and rank.max() < 1 << 16 else rank, kind="stable")
+    cuts = np.append(0, np.cumsum(np.bincount(rank))).tolist() if len(rank) else [0]
+    for a, b in zip(cuts, cuts[1:]):
+        some = order[a:b]
+        out[at[some]] += table[rows[some]]
 
 
 def project(words: np.ndarray, first: np.ndarray, weight: np.ndarray, table: np.ndarray, size: int):
     """Sum over each block of the words' weighted rows of `table`; the text of each block."""
     block, owner = numbered(first, size)
     bucket = bucket_of(words)
-    some = weight[bucket] > 0
-    return summed(table[bucket[some]], block[some], len(owner)), owner
+    some = np.flatnonzero(weight[bucket] > 0)
+    out = np.zeros((len(owner), table.shape[1]), np.float32)
+    rank = (np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))) % size
+    add_rows(out, block[some], rank[some], table, bucket[some])
+    return out, owner
 
 
 def throw(batches: Batches, weight: np.ndarray, seed: int) -> Batches:
@@ -135,11 +140,11 @@ def throw(batches: Batches, weight: np.ndarray, seed: int) -> Batches:
         block, _ = numbered(first, 4 * STEP)
         bucket = bucket_of(words)
         some = np.flatnonzero(weight[bucket] > 0)
-        some = some[np.argsort(bucket[some], kind="stable")]
-        at = bucket[some]
-        if len(at):
-            begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            az[at[begin]] += np.add.reduceat(z[block[some]], begin, axis=0) * weight[at[begin], None]
+        some = some[np.argsort(bucket[some].astype(np.uint16), kind="stable")]
+        counts = np.bincount(bucket[some], minlength=BUCKETS)
+        rank = np.arange(len(some)) - np.repeat(np.cumsum(counts) - counts, counts)
+        add_rows(az, bucket[some], rank, z, block[some])
+    az *= weight[:, None]
     parts = [(-1, zz.tobytes())] + [(c, az[c * CHUNK : (c + 1) * CHUNK].tobytes()) for c in range(BUCKETS // CHUNK)]
     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["chunk", "part"])
 
