@@ -7,10 +7,10 @@ component is the smallest id reachable over links.
 1. Documents with equal sets fall into one class; only one document of a class goes on.
 2. Classes are sketched (128 coordinates) and banded (32 bands of 4: a pair at similarity 0.75 shares
    none with probability 5e-6).
-3. Star round: each class meets the smallest member of one of its buckets, the one it shares most
-   bands with. Links are confirmed on full sets; components are taken.
-4. Bridge rounds: a bucket that holds several components compares a random member of each with one
-   of its largest, other members in other buckets and rounds.
+3. Star round: each class meets the hub of one of its buckets, the one it shares most bands with; a
+   bucket's hub is the member with the most company over all of its bands: what others are copies of. Links are confirmed on full sets; components are taken.
+4. Bridge rounds: a bucket that holds several components compares a member of each with one of its
+   largest: first the members with the most company, then random ones, others in each bucket.
 5. Closing round: where buckets still hold several components, every pair over components is
    compared by sketch, in blocks, and those whose sketches do not rule a link out are confirmed on
    full sets. So no link that banding found is lost, while within a component pairs need not be made.
@@ -41,7 +41,7 @@ Batches = Iterator[pa.RecordBatch]
 SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
 NO_ID = 1 << 62
 BRIDGE_ROUNDS = 2
-BLOCK = 2048
+BLOCK = 1024
 #: Least number of 128 equal coordinates: 0.75 less six standard deviations.
 LEAST_EQUAL = int(0.75 * T - 6 * (T * 0.75 * 0.25) ** 0.5)
 
@@ -123,38 +123,70 @@ def linked(pairs: DataFrame, texts: DataFrame, group: int = 256) -> DataFrame:
     return rows.mapInArrow(confirm, "u long, v long")
 
 
-def close_pairs(batches: Batches) -> Batches:
-    """Rows of a block stand together; gives pairs over components that sketches do not rule out."""
-    key, held = None, []
+class Sets:
+    """Shingle sets of a block's texts, made when asked for; a bounded number of shingles is kept."""
+
+    def __init__(self, texts: list[bytes], most: int = 1 << 23):
+        self.texts, self.most, self.held, self.size = texts, most, {}, 0
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i not in self.held:
+            if self.size > self.most:
+                self.held, self.size = {}, 0
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.texts[i]), np.uint8)
+            self.held[i] = shingle_sets(raw, np.array([0, len(raw)]))[0]
+            self.size += len(self.held[i])
+        return self.held[i]
 
-    def compare():
-        if not held:
-            return None
-        side = np.array([r["outer"] for r in held], bool)
-        label = np.array([r["label"] for r in held], np.int64)
-        node = np.array([r["node"] for r in held], np.int64)
-        s = np.frombuffer(b"".join(r["sketch"] for r in held), np.uint16).reshape(len(held), -1)
-        inner = np.flatnonzero(~side)
-        found = []
-        for o in np.flatnonzero(side):
-            other = inner[label[inner] != label[o]]
-            hit = other[(s[other] == s[o]).sum(axis=1) >= LEAST_EQUAL]
-            found += [(int(max(node[o], x)), int(min(node[o], x))) for x in node[hit].tolist()]
-        if found:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*set(found))], ["node", "pivot"])
-        return None
 
+def close_block(held: list[dict]) -> pa.RecordBatch | None:
+    """Links over components within a block: sketches first, full sets for those they do not rule out.
+
+    A pair that meets in several buckets is compared in the first of them; two members outside of the
+    bucket's largest component are compared once; two components that are linked need no second link.
+    """
+    side, main = (np.array([r[c] for r in held], bool) for c in ("outer", "main"))
+    label, node = (np.array([r[c] for r in held], np.int64) for c in ("label", "node"))
+    bands = np.array([r["bands"] for r in held], np.int64)
+    sketch = np.frombuffer(b"".join(r["sketch"] for r in held), np.uint16).reshape(len(held), -1)
+    sets = Sets([r["z"] for r in held])
+    inner = np.flatnonzero(~side)
+    found = []
+    for o in np.flatnonzero(side).tolist():
+        some = inner[(label[inner] != label[o]) & (main[inner] | (node[inner] < node[o]))]
+        equal = (sketch[some] == sketch[o]).sum(axis=1)
+        some = some[equal >= LEAST_EQUAL]
+        if not len(some):
+            continue
+        first = (bands[some] == bands[o]).argmax(axis=1)
+        some = some[bands[o][first] == held[o]["band"]]
+        joined = set()
+        for x in some.tolist():
+            if label[x] in joined:
+                continue
+            common = intersection(sets[o], sets[x])
+            if 100 * common >= 75 * (len(sets[o]) + len(sets[x]) - common):
+                joined.add(label[x])
+                found.append((int(node[o]), int(node[x])))
+    if found:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["u", "v"])
+    return None
+
+
+def close(batches: Batches) -> Batches:
+    """Rows of a block stand together."""
+    key, held = None, []
     for batch in batches:
-        for k in range(0, batch.num_rows, 1024):
-            for r in batch.slice(k, 1024).to_pylist():
+        for k in range(0, batch.num_rows, 256):
+            for r in batch.slice(k, 256).to_pylist():
                 now = (r["band"], r["i"], r["o"])
                 if now != key:
-                    out = compare()
+                    out = close_block(held) if held else None
                     if out is not None:
                         yield out
                     key, held = now, []
                 held.append(r)
-    out = compare()
+    out = close_block(held) if held else None
     if out is not None:
         yield out
 
@@ -180,14 +212,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     classes = written(classes, "classes")
     entries = classes.select(F.explode("bands").alias("band"), "node", "n")
-    buckets = entries.groupBy("band").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("m")).where("m > 1")
-    shared = written(entries.join(buckets, "band").select("band", "node", "n", F.col("least.node").alias("pivot"), F.col("least.n").alias("pn")), "buckets")
+    buckets = entries.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    shared = written(entries.join(buckets, "band"), "buckets")
+    degrees = shared.groupBy("node").agg(F.sum("m").alias("degree"))
+    shared = written(shared.drop("m").join(degrees, "node").select("band", "node", "n", "degree"), "buckets")
+    hubs = shared.groupBy("band").agg(F.max(F.struct("degree", -F.col("node"), "n")).alias("hub"))
+    hubs = hubs.select("band", (-F.col("hub.col2")).alias("pivot"), F.col("hub.n").alias("pn"), F.col("hub.degree").alias("pd"))
     met = (
-        shared.where("node <> pivot and 4 * least(n, pn) >= 3 * greatest(n, pn)")
-        .groupBy("node", "pivot")
+        shared.join(hubs, "band")
+        .where("node <> pivot and 4 * least(n, pn) >= 3 * greatest(n, pn)")
+        .groupBy("node", "pivot", "pd")
         .agg(F.count("*").alias("times"))
         .groupBy("node")
-        .agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot"))
+        .agg(F.max_by("pivot", F.struct("times", "pd", -F.col("pivot"))).alias("pivot"))
     )
     nodes = shared.select("node").distinct()
     # a node stands for a class: the text of the row with its id, or of any row of a class without ids
@@ -202,14 +239,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = merged(written(labels, "labels"), written(linked(met, texts), "links"))
     for turn in range(BRIDGE_ROUNDS):
         split = open_buckets(shared, labels)
-        reps = split.groupBy("band", "label").agg(F.count("*").alias("m"), F.min_by(F.struct("node", "n"), F.xxhash64("node", "band", F.lit(turn))).alias("rep"))
+        order = F.struct(-F.col("degree") if turn == 0 else F.lit(0), F.xxhash64("node", "band", F.lit(turn)))
+        reps = split.groupBy("band", "label").agg(F.count("*").alias("m"), F.min_by(F.struct("node", "n"), order).alias("rep"))
         mains = reps.groupBy("band").agg(F.max_by(F.struct("label", "rep"), F.struct("m", "label")).alias("main"))
         pairs = reps.join(mains, "band").where("label <> main.label").select(
             F.col("rep.node").alias("node"), F.col("main.rep.node").alias("pivot"), F.col("rep.n").alias("n"), F.col("main.rep.n").alias("pn")
         )
         pairs = pairs.where("4 * least(n, pn) >= 3 * greatest(n, pn)").select("node", "pivot").distinct()
         labels = merged(labels, written(linked(pairs, texts), "links"))
-    labels = merged(labels, written(linked(closing_pairs(shared, labels, classes), texts), "links"))
+    labels = merged(labels, written(closing_links(shared, labels, classes, texts), "links"))
 
     found = classes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label"))
     full = signed.select("doc_id", "n_shingles", "d1", "d2")
@@ -227,31 +265,30 @@ def sign_and_pack(batches: Batches) -> Batches:
 
 
 def open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """band, node, n, label of the buckets that hold several components."""
-    marked = written(shared.select("band", "node", "n").join(labels, "node"), "marked")
+    """band, node, n, degree, label of the buckets that hold several components."""
+    marked = written(shared.join(labels, "node"), "marked")
     several = marked.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
     return marked.join(several, "band", "left_semi")
 
 
-def closing_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs over components within a bucket whose sketches are near enough, made in blocks."""
+def closing_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v: links over components within the buckets that still hold several, found in blocks."""
     split = written(open_buckets(shared, labels), "open")
     counts = split.groupBy("band", "label").agg(F.count("*").alias("m"))
-    mains = counts.groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("m"), F.max("m").alias("most"))
-    mains = mains.select("band", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("inner_blocks"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("outer_blocks"))
-    rows = split.join(mains, "band").join(classes.select("node", "sketch"), "node")
-    place = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
-    inner = rows.withColumn("i", place("inner_blocks")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1))).withColumn("outer", F.lit(False))
-    outer = rows.where("label <> main").withColumn("o", place("outer_blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("inner_blocks") - 1))).withColumn("outer", F.lit(True))
-    columns = ["band", "i", "o", "outer", "node", "label", "sketch"]
+    mains = counts.groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.sum("m").alias("all"), F.max("m").alias("m"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mains = mains.select("band", "most", blocks(F.col("all")).alias("inner_blocks"), blocks(F.col("all") - F.col("m")).alias("outer_blocks"))
+    nodes = classes.select("node", "bands", "sketch").join(split.select("node").distinct(), "node").join(texts, "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = split.join(mains, "band").withColumn("main", F.col("label") == F.col("most"))
+    inner = rows.withColumn("i", place("inner_blocks")).withColumn("o", every("outer_blocks")).withColumn("outer", F.lit(False))
+    outer = rows.where("not main").withColumn("o", place("outer_blocks")).withColumn("i", every("inner_blocks")).withColumn("outer", F.lit(True))
+    columns = ["band", "i", "o", "outer", "main", "node", "label"]
+    both = inner.select(columns).unionByName(outer.select(columns)).join(nodes, "node")
     n = partitions(shared.sparkSession)
-    together = inner.select(columns).unionByName(outer.select(columns)).repartition(n, "band", "i", "o").sortWithinPartitions("band", "i", "o")
-    return together.mapInArrow(close_pairs, "node long, pivot long").distinct()
+    return both.repartition(n, "band", "i", "o").sortWithinPartitions("band", "i", "o").mapInArrow(close, "u long, v long").distinct()
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-def word_array(column: str = "text") -> str:
-    return rf"regexp_extract_all(translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
