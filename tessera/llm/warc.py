@@ -10,8 +10,8 @@ task attempt uses; the manifest that the write returns lists the archives of the
 counted, so a lost executor leaves at most files that nobody reads.
 
 Defined results: null html is the empty payload; a null url leaves out the target URI; a null
-page_id never wins over others, and if all ids of a payload are null its records are all
-responses; rows that repeat the winning page_id and payload are responses too; an empty table gives
+page_id never wins: its record revisits the payload's largest id, and if all ids of a payload are null
+its records are all responses; rows that repeat the winning page_id and payload are responses too; an empty table gives
 an empty manifest; further columns are ignored.
 """
 
@@ -153,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str, target: int = 256 << 20, sampl
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
     winners = rows.groupBy("sha1").agg(F.max("page_id").alias("winner"))
     ids = rows.drop("html").join(winners, "sha1")
-    won = F.coalesce(F.col("page_id") == F.col("winner"), F.lit(True))
+    won = F.col("page_id").eqNullSafe(F.col("winner"))
     revisits = ids.where(~won).select("page_id", "url", "sha1", "payload_bytes", "winner", F.lit(None).cast("string").alias("html"), F.lit("revisit").alias("record_type"))
     first = winners.select(F.col("sha1").alias("won"), "winner")
     # responses carry their payload: joined by id and digest, so that no payload that many pages share is moved in one task
