@@ -353,7 +353,6 @@ def rounded(run: Query) -> Query:
 
 
 def _all() -> dict[str, tuple[Query, str]]:
-    label, attribute = label_filter(250, "vec_id", "a0")[0], label_filter(0.5, "vec_id", "a0")[1]
     out: dict[str, tuple[Query, str]] = {
         "knn_unfiltered": (rounded(knn(Everything)), _knn_sql()),
         "knn_bbox_exact": (rounded(knn(FILTERS["bbox"])), _knn_sql(_box_sql())),
@@ -362,7 +361,7 @@ def _all() -> dict[str, tuple[Query, str]]:
         "knn_shell_composite": (rounded(knn(FILTERS["composite"])), _knn_sql(_COMPOSITE)),
         "knn_or_filter": (rounded(knn(lambda: InBox(own_box()) | InPolygon(Polygon(POLYGON)))), _knn_sql(f"{_box_sql()} OR {_polygon_sql()}")),
         "knn_not_bbox": (rounded(knn(lambda: Not(InBox(own_box())))), _knn_sql(f"NOT ({_box_sql()})")),
-        "knn_label_filter": (rounded(knn(lambda: label & attribute)), _knn_sql("b.vec_id > 250 AND b.a0::double >= 0.5")),
+        "knn_label_filter": (rounded(knn(lambda: label_filter(250, "vec_id", "a0")[0] & label_filter(0.5, "vec_id", "a0")[1])), _knn_sql("b.vec_id > 250 AND b.a0::double >= 0.5")),
         "knn_3d_bbox": (rounded(knn(lambda: InBox(own_box(3)), 3)), _knn_sql(_box_sql(3), 3)),
         "knn_4d_radius": (rounded(knn(lambda: InBall(own_ball(4)), 4)), _knn_sql(_ball_sql(4), 4)),
         "knn_search_with_bounds": (rounded(q_flat_bounds), _knn_sql(_BOUNDS)),
