@@ -204,7 +204,11 @@ def train(rows: pd.DataFrame, epochs: int = EPOCHS, seed: int = 5, least: int =
     """A calibrated model from rows (text, toxic, lang); every fourth is kept for calibration."""
     if rows.empty:
         rows = pd.DataFrame({"text": [""], "toxic": [0], "lang": [None]})
-    whole, head, first = features(*byte_buffers(pa.array(rows["text"], pa.string())))
+    # in slices: hashing takes some ten bytes of memory a byte of text
+    texts = pa.RecordBatch.from_arrays([pa.array(rows["text"], pa.string())], ["text"])
+    parts = [features(*byte_buffers(part.column("text"))) for part in by_bytes([texts], "text", 1 << 19)]
+    whole, head = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first = np.append(0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))
     cut = list(zip(first[:-1], first[1:]))
     whole_, head_ = [whole[a:b] for a, b in cut], [head[a:b] for a, b in cut]
     y = rows["toxic"].to_numpy().astype(np.float32)
@@ -218,7 +222,8 @@ def train(rows: pd.DataFrame, epochs: int = EPOCHS, seed: int = 5, least: int =
         model.project()
         model.bias = float(np.log((y.mean() + 0.01) / (1.01 - y.mean())))
     model.names, model.languages = naive_bayes(whole_, langs)
-    p, guess = model.probabilities(whole, head, first), model.guess(whole, first)
+    p = np.concatenate([model.probabilities(*part) for part in parts])
+    guess = np.concatenate([model.guess(part[0], part[2]) for part in parts])
     common = best_threshold(p[fold], y[fold]) if y[fold].sum() >= 1 else 0.5
     model.thresholds = np.full(len(model.names), common)
     for k in range(len(model.names)):
