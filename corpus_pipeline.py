@@ -26,9 +26,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id. Rows of a repeated id all stay or go."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """One document of each component: the one with the smallest id. Rows of a repeated id all stay or
+    go together, rows without an id stay."""
+    gone = near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

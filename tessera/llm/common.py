@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -58,10 +60,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """Tables written inside go to one folder, which is deleted at the end: nothing that is read later
+    may depend on them."""
+    folder = shared_dir(spark, name)
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    within = _SCRATCH.get()
+    path = f"{within}/{name}-{uuid.uuid4().hex}" if within else shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
