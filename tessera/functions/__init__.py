@@ -1,0 +1 @@
+"""Columns over vectors and geometry, and synthetic workloads."""

@@ -1,0 +1 @@
+"""Searches, indexes and evaluation."""

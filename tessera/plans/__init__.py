@@ -1,0 +1 @@
+"""Grids and ranks that plans are built from."""

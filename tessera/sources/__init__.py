@@ -1,0 +1 @@
+"""Binary files as Spark data sources."""

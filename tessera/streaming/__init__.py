@@ -1,0 +1 @@
+"""Empty: search works on batches; a static index joins a stream as any table does."""
