@@ -1,0 +1 @@
+"""Operators for training data; nothing else in the library imports this package."""
