@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, ship_code, written
+from .common import partitions, scratch, shared_dir, ship_code, written
 
 Batches = Iterator[pa.RecordBatch]
 TREES = 8
@@ -240,9 +240,21 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row for which `is_query` holds."""
+    """query_id, rank, vec_id, score: the k nearest found of every row for which `is_query` holds.
+
+    The result is written to the shared folder; the forest is deleted.
+    """
     spark = vectors.sparkSession
     ship_code(spark)
+    path = shared_dir(spark, "neighbours")
+    with scratch(spark, "forest"):
+        out = search(vectors, is_query, k, trees, probes, candidates, seed, id_col, vector_col)
+        out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int, trees: int, probes: int, candidates: int | None, seed: int, id_col: str, vector_col: str) -> DataFrame:
+    spark = vectors.sparkSession
     n_parts = partitions(spark)
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"), is_query.alias("asks")
