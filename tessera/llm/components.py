@@ -13,7 +13,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round gives a node the least label among its own and its neighbours', then the label of
     that label; it ends when no label changes. Rounds are written to the shared folder, labels never
-    reach the driver, only the number of changes does.
+    reach the driver, only whether there was a change.
     """
     both = written(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).where("u <> v").distinct(), "edges")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("label"))
@@ -21,10 +21,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         heard = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("heard"))
         least = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("l"))
-        least = written(least, "labels")
         jump = least.select(F.col("node").alias("l"), F.col("l").alias("ll"))
         new = written(least.join(jump, "l", "left").select("node", "old", F.coalesce("ll", "l").alias("label")), "labels")
-        changed = new.where("label <> old").limit(1).count()
+        changed = new.where("label <> old").head(1)
         labels = new.select("node", "label")
         if not changed:
             return labels

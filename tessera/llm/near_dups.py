@@ -9,8 +9,8 @@ component is the smallest id reachable over links.
    none with probability 5e-6).
 3. Star round: each class meets the hub of one of its buckets, the one it shares most bands with; a
    bucket's hub is the member with the most company over all of its bands: what others are copies of. Links are confirmed on full sets; components are taken.
-4. Bridge rounds: a bucket that holds several components compares a member of each with one of its
-   largest: first the members with the most company, then random ones, others in each bucket.
+4. Bridge round: a bucket that holds several components compares a member of each with one of its
+   largest, the members with the most company.
 5. Closing round: where buckets still hold several components, every pair over components is
    compared by sketch, in blocks, and those whose sketches do not rule a link out are confirmed on
    full sets. So no link that banding found is lost, while within a component pairs need not be made.
@@ -33,14 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, byte_buffers, partitions, ship_code, text_or_empty, written
+from .common import by_bytes, byte_buffers, partitions, scratch, shared_dir, ship_code, text_or_empty, written
 from .components import components
 from .shingles import T, band_keys, intersection, set_digests, shingle_sets, sketches, small_sketch
 
 Batches = Iterator[pa.RecordBatch]
 SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
 NO_ID = 1 << 62
-BRIDGE_ROUNDS = 2
+BRIDGE_ROUNDS = 1
 BLOCK = 1024
 #: Least number of 128 equal coordinates: 0.75 less six standard deviations.
 LEAST_EQUAL = int(0.75 * T - 6 * (T * 0.75 * 0.25) ** 0.5)
@@ -111,7 +111,6 @@ def linked(pairs: DataFrame, texts: DataFrame, group: int = 256) -> DataFrame:
     pairs = written(pairs, "pairs")
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
     salted = pairs.join(sizes, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
-    salted = written(salted, "pairs")
     others = salted.join(texts, "node").select("pivot", "salt", F.lit(1).alias("kind"), "node", "z")
     pivots = (
         salted.select("pivot", "salt")
@@ -193,6 +192,8 @@ def close(batches: Batches) -> Batches:
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after `links` (u, v) between nodes: components of the graph of labels."""
+    if not links.head(1):
+        return labels
     own = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
     other = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
     edges = links.join(own, "u").join(other, "v").where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct()
@@ -201,9 +202,20 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of `docs`."""
+    """doc_id, n_shingles, component_id and kept for every row of `docs`.
+
+    The result is written to the shared folder; the tables on the way to it are deleted.
+    """
     spark = docs.sparkSession
     ship_code(spark)
+    path = shared_dir(spark, "near-dups")
+    with scratch(spark, "near-dups"):
+        out = found_groups(docs, id_col, text_col)
+        out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def found_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = written(rows.mapInArrow(sign, SIGNATURES), "signed")
     node = F.coalesce(F.min("doc_id"), F.min(F.col("d1").bitwiseAND(NO_ID - 1).bitwiseOR(NO_ID)))
