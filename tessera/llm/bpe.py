@@ -4,8 +4,8 @@ Words are the maximal runs without ASCII white space. That split is safe for tok
 normaliser and pre-tokenizer never look over white space and drop it (`word_bpe_49k.json`): a text's
 ids are then its words' ids in order, whichever word they stand in.
 
-1. Documents are read in blocks of bounded size. Each block sends its distinct words, sorted and
-   dealt into buckets by hash, as one compressed row a bucket.
+1. Documents are read in blocks of bounded size. Each block sends its distinct words, dealt
+   into buckets and ordered by a 64-bit hash, as one compressed row a bucket.
 2. Each bucket meets in one task, which encodes every distinct word of the corpus once and answers
    each block with the ids of its words, in the order in which the block sent them: ids are joined
    back by position, so words need not travel twice, and no word is hot, however common it is.
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, partitions, segment_hashes, ship_code, text_or_empty
+from .common import by_bytes, byte_buffers, partitions, segment_hashes, ship_code, text_or_empty, words_of
 from .tokenizer_files import load_tokenizer, tokenizer_path
 
 Batches = Iterator[pa.RecordBatch]
@@ -63,27 +63,38 @@ def blocks(batches: Batches, block_bytes: int) -> Iterator[tuple[int, list[pa.Re
         yield (part << 24) + seq, held
 
 
-def distinct_words(pieces: list[pa.RecordBatch]) -> list[bytes]:
-    words: set[bytes] = set()
-    for piece in pieces:
-        for text in piece.column("text").cast(pa.binary()).to_pylist():
-            words.update(text.split())
-    return sorted(words)
-
-
-def dealt(words: list[bytes], buckets: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Sorted words by bucket, each bucket's words in order."""
-    if not words:
-        return
-    raw = np.frombuffer(b"\n".join(words), np.uint8)
-    ends = np.append(np.flatnonzero(raw == 10), len(raw))
-    starts = np.append(0, ends[:-1] + 1)
-    bucket = (segment_hashes(raw, starts, ends) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    order = order.tolist()
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        yield b, [words[i] for i in order[cuts[b] : cuts[b + 1]]]
+class BlockWords:
+    """The distinct words of a block by bucket, in the order of their hashes, and where they stand."""
+
+    def __init__(self, pieces: list[pa.RecordBatch], buckets: int):
+        raws, begins, lengths, hashes, self.firsts, self.sizes = [], [], [], [], [], []
+        base = 0
+        for piece in pieces:
+            raw, offsets = byte_buffers(piece.column("text"))
+            starts, ends, first = words_of(raw, offsets)
+            hashes.append(segment_hashes(raw, starts, ends))
+            begins.append(starts + base)
+            lengths.append(ends - starts)
+            self.firsts.append(first)
+            self.sizes.append(len(starts))
+            raws.append(raw)
+            base += len(raw)
+        data = b"".join(r.tobytes() for r in raws)
+        distinct, at, self.inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        bucket = (distinct % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        start = np.concatenate(begins)[at][order]
+        stop = start + np.concatenate(lengths)[at][order]
+        self.words = [data[a:b] for a, b in zip(start.tolist(), stop.tolist())]
+        self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.inverse = place[self.inverse]  # each word's number among self.words
+
+    def dealt(self) -> Iterator[tuple[int, list[bytes]]]:
+        for b, (x, y) in enumerate(zip(self.cuts, self.cuts[1:])):
+            if y > x:
+                yield b, self.words[x:y]
 
 
 def checksum(joined: bytes) -> bytes:
@@ -97,7 +108,7 @@ def record_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType])
 def send_words(batches: Batches, buckets: int, block_bytes: int) -> Batches:
     for block, pieces in blocks(batches, block_bytes):
         rows = []
-        for bucket, words in dealt(distinct_words(pieces), buckets):
+        for bucket, words in BlockWords(pieces, buckets).dealt():
             joined = b"\n".join(words)
             rows.append((bucket, block, checksum(joined), pack(joined)))
         if rows:
@@ -169,22 +180,31 @@ def encode_blocks(batches: Batches, path: str, buckets: int) -> Batches:
 
 def encode_block(replies: dict, texts: list[bytes], path: str, buckets: int) -> Batches:
     pieces = [pa.ipc.open_stream(unpack(x)).read_next_batch() for x in texts]
-    table: dict[bytes, bytes] = {}
-    for bucket, words in dealt(distinct_words(pieces), buckets):
+    if not pieces:
+        return
+    block = BlockWords(pieces, buckets)
+    lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for bucket, words in block.dealt():
         check, payload = replies.pop(bucket, (None, b""))
         if check == checksum(b"\n".join(words)):
-            raw = unpack(payload)
-            n = 4 * len(words)
-            at = (n + 4 * np.append(0, np.cumsum(np.frombuffer(raw[:n], "<u4"), dtype=np.int64))).tolist()
-            table.update(zip(words, [raw[a:b] for a, b in zip(at, at[1:])]))
+            raw = np.frombuffer(unpack(payload), "<i4")
+            lengths.append(raw[: len(words)].astype(np.int64))
+            ids.append(raw[len(words) :])
         else:
-            table.update(zip(words, encode_words(words, path)))
-    for piece in pieces:
-        found = [b"".join(map(table.__getitem__, t.split())) for t in piece.column("text").cast(pa.binary()).to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-        values = pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32))
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
+            own = encode_words(words, path)
+            lengths.append(np.fromiter(map(len, own), np.int64, len(own)) // 4)
+            ids.append(np.frombuffer(b"".join(own), "<i4"))
+    length, table = np.concatenate(lengths), np.concatenate(ids)
+    begin = np.cumsum(length) - length
+    at = 0
+    for piece, first, size in zip(pieces, block.firsts, block.sizes):
+        word = block.inverse[at : at + size]
+        at += size
+        n = length[word]
+        total = np.append(0, np.cumsum(n))
+        values = table[np.repeat(begin[word] - total[:-1], n) + np.arange(total[-1])]
+        offsets = pa.array(total[first].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(values))], ["doc_id", "ids"])
 
 
 def encode(
@@ -228,19 +248,19 @@ def decode_batches(batches: Batches, path: str) -> Batches:
     The tokenizer has no decoder, so its own decoding joins pieces by blanks; with a decoder, that is
     applied to each list of pieces.
     """
-    pieces = piece_table(path)
     decoder = load_tokenizer(path).decoder
+    pieces = [p.encode() for p in piece_table(path)] if decoder is None else piece_table(path)
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             column = part.column("ids")
-            values = column.flatten().to_numpy(zero_copy_only=False)
+            found = list(map(pieces.__getitem__, column.flatten().to_numpy(zero_copy_only=False).tolist()))
             at = np.append(0, np.cumsum(np.diff(column.offsets.to_numpy()))).tolist()
-            texts = []
-            for a, b in zip(at, at[1:]):
-                found = list(map(pieces.__getitem__, values[a:b].tolist()))
-                texts.append(" ".join(found) if decoder is None else decoder.decode(found))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+            if decoder is None:
+                texts = pa.array([b" ".join(found[a:b]) for a, b in zip(at, at[1:])], pa.binary()).cast(pa.string())
+            else:
+                texts = pa.array([decoder.decode(found[a:b]) for a, b in zip(at, at[1:])], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -256,11 +276,13 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def digest_batches(batches: Batches) -> Batches:
     for batch in batches:
         column = batch.column("ids")
-        values = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        at = np.append(0, np.cumsum(np.diff(column.offsets.to_numpy()))).tolist()
+        values = column.flatten().to_numpy(zero_copy_only=False).astype("<u4").view(np.uint8)
+        at = (4 * np.append(0, np.cumsum(np.diff(column.offsets.to_numpy())))).tolist()
+        raw, place = byte_buffers(batch.column("decoded"))
+        place = place.tolist()
         rows = [
-            (doc, b - a, hashlib.sha256(values[a:b].tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-            for doc, a, b, text in zip(batch.column("doc_id").to_pylist(), at, at[1:], batch.column("decoded").to_pylist())
+            (doc, (b - a) // 4, hashlib.sha256(values[a:b]).hexdigest(), hashlib.sha256(raw[x:y]).hexdigest())
+            for doc, a, b, x, y in zip(batch.column("doc_id").to_pylist(), at, at[1:], place, place[1:])
         ]
         yield record_batch(rows, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()])
 
