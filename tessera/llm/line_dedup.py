@@ -1,13 +1,19 @@
 """Substring deduplication by line hashing.
 
 Texts are cut into units: lines, and within lines sentences (a unit begins after a line feed, after a
-word that ends in `.`, `!` or `?`, and at a capitalised word). Each unit is normalised (A-Z lowered,
-white space left out of account) and reduced to a 128-bit digest of its words. Digests are grouped over
-the corpus; the occurrence that ranks earliest, by document id and offset, stays.
+word that ends in `.`, `!`, `?` or their wide forms, and at a capitalised word). A unit of more than
+`LONG_UNITS` times `unit_words` words is cut before words that their hash chooses, so that a passage
+inside unbroken text meets the same cuts in every document. Characters of scripts without white space
+are words that count half; longer unbroken strings are cut by a hash of their bytes. Each unit is
+normalised (A-Z lowered, white space left out of account) and reduced to a 128-bit digest of its words.
+Digests are grouped over the corpus; the occurrence that ranks earliest, by document id and offset,
+stays.
 
 Every other occurrence is a repeat. Short units repeat by chance: those of fewer than `unit_words`
-words are digested together with the unit before them, and removed only in a run of repeats, side by
-side, that holds a longer unit. What is removed is reported as spans of characters of the original text.
+words are digested together with the unit before them, and stand for both. Repeats side by side are a
+run, which is removed if it has `unit_words` words in all, however short its units are. What is removed
+is reported as spans of characters of the original text. At either end of a passage, words up to its
+first and last cut stay; so does a short unit that begins it if a long one follows.
 
 Defined results: a null text stays null; a null id ranks last; rows equal in id and text are one
 document and treated alike; rows that share an id only rank by a hash of the text; an empty table
@@ -29,14 +35,48 @@ from .common import _powers, by_bytes, byte_buffers, lower_ascii, mix64, segment
 
 Batches = Iterator[pa.RecordBatch]
 UNIT_WORDS = 8
+MOST = (1 << 15) - 1
+#: Units of more than so many times `unit_words` are cut further; bytes from which a word is.
+LONG_UNITS = 6
+UNBROKEN = 64
 UNITS = "id long, t long, unit int, first int, last int, words int, h1 long, h2 long"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def pieces(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words without white space inside are cut further, and where those characters begin that are words of their own.
+
+    Characters of scripts without spaces (Han, kana, Thai, Lao) are words; words of over `UNBROKEN` bytes
+    are cut where a hash of the eight bytes before is one in sixteen.
+    """
+    one, two, three = low, np.append(low[1:], np.uint8(0)), np.append(low[2:], (np.uint8(0),) * 2)[: len(low)]
+    wide = (one >= 0xE3) & (one <= 0xE9) & ~((one == 0xE3) & (two == 0x80) & (three < 0xA0)) | (one == 0xE0) & (two >= 0xB8) & (two <= 0xBB)
+    wide = np.flatnonzero(wide)
+    cuts = [wide, wide + 3]
+    for i in np.flatnonzero(ends - starts > UNBROKEN).tolist():
+        a, b = int(starts[i]), int(ends[i])
+        eight = np.lib.stride_tricks.sliding_window_view(low[a:b], 8)
+        at = a + 8 + np.flatnonzero(mix64(np.ascontiguousarray(eight).view(np.uint64).ravel()) % np.uint64(16) == 0)
+        cuts.append(at[at < b])
+    at = np.unique(np.concatenate(cuts))
+    owner = np.searchsorted(starts, at, side="right") - 1
+    inside = (owner >= 0) & (at > starts[owner]) & (at < ends[owner]) if len(starts) else at < 0
+    at = at[inside]
+    at = at[(low[at] & 0xC0) != 0x80]
+    # full stops and the like stay with the character before
+    at = at[~((low[at] == 0xE3) & (low[at + 1] == 0x80) | (low[at] == 0xEF) & (low[at + 1] == 0xBC) | (low[at] < 0x30))]
+    return at, wide
 
 
 def units_of(raw: np.ndarray, offsets: np.ndarray, unit_words: int = UNIT_WORDS):
-    """Units of each text: (first word, end word, row, digests), and the words' bytes."""
+    """Units of each text: (first word, end word, row, digests), the words' bytes, and the units' lengths."""
     lowered = lower_ascii(raw)
     starts, ends, first = words_of(lowered, offsets)
+    more, wide = pieces(lowered, starts, ends)
+    if len(more):
+        first = first + np.searchsorted(more, offsets)
+        starts, ends = np.sort(np.append(starts, more)), np.sort(np.append(ends, more))
     n = len(starts)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     begins = np.zeros(n, bool)
@@ -45,13 +85,27 @@ def units_of(raw: np.ndarray, offsets: np.ndarray, unit_words: int = UNIT_WORDS)
     begins[1:] |= feeds[starts[1:]] > feeds[ends[:-1]]
     final = raw[ends - 1] if n else raw[:0]
     begins[1:] |= np.isin(final[:-1], (33, 46, 63))
+    if len(wide):
+        stops = (raw[ends - 3] == 0xE3) & (raw[ends - 2] == 0x80) & (final == 0x82) | (raw[ends - 3] == 0xEF) & (raw[ends - 2] == 0xBC) & ((final == 0x81) | (final == 0x9F))
+        begins[1:] |= (stops & (ends - starts >= 3))[:-1]
     padded = np.append(raw, (0, 0))
     a, b = padded[starts], padded[starts + 1]
     capital = (a >= 65) & (a <= 90) & ~((b >= 65) & (b <= 90)) | (a == 0xC3) & (b >= 0x80) & (b <= 0x9E)
+    if len(more):
+        capital &= ~np.isin(starts, more)
     begins |= capital
+    words = segment_hashes(lowered, starts, ends)
+    # units without an end are cut before words that their hash chooses
+    at = np.flatnonzero(begins)
+    long = np.diff(np.append(at, n)) > LONG_UNITS * unit_words
+    chosen = mix64(words) % np.uint64(unit_words) == 0
+    chosen[1:] &= words[1:] != words[:-1]
+    begins |= np.repeat(long, np.diff(np.append(at, n))) & chosen
     at = np.flatnonzero(begins)
     stop = np.append(at[1:], n) if len(at) else at
-    words = segment_hashes(lowered, starts, ends)
+    halves = np.append(0, np.cumsum(2 - np.isin(starts, wide))) if len(wide) else 2 * np.arange(n + 1)
+    length = -(-(halves[stop] - halves[at]) // 2)
+    short = length < unit_words
     power, inverse = _powers(n + 1)
     digests = []
     for salt in (1, 2):
@@ -59,8 +113,8 @@ def units_of(raw: np.ndarray, offsets: np.ndarray, unit_words: int = UNIT_WORDS)
         own = mix64((total[stop] - total[at]) * inverse[at] + (stop - at).astype(np.uint64))
         before = np.append(np.uint64(0), own[:-1])
         before[np.append(True, row[at][1:] != row[at][:-1])[: len(at)]] = 0
-        digests.append(np.where(stop - at < unit_words, mix64(own ^ mix64(before + np.uint64(3))), own))
-    return at, stop, row[at], digests, starts, ends
+        digests.append(np.where(short, mix64(own ^ mix64(before + np.uint64(3))), own))
+    return at, stop, row[at], digests, starts, ends, length
 
 
 def character_offsets(raw: np.ndarray, offsets: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -72,18 +126,22 @@ def character_offsets(raw: np.ndarray, offsets: np.ndarray, at: np.ndarray, row:
 def cut(batches: Batches, unit_words: int) -> Batches:
     for part in by_bytes(batches, "text", 2 << 20):
         raw, offsets = byte_buffers(part.column("text"))
-        at, stop, row, (h1, h2), starts, ends = units_of(raw, offsets, unit_words)
+        at, stop, row, (h1, h2), starts, ends, length = units_of(raw, offsets, unit_words)
         if not len(at):
             continue
         number = np.arange(len(at)) - np.searchsorted(row, row)
+        # the digest of a short unit stands for the unit before it too, and so does its span
+        both = (length < unit_words) & (number > 0)
+        before = np.where(both, np.append(0, length[:-1]), 0)
+        begin = np.where(both, np.append(0, at[:-1]), at)
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("id").take(pa.array(row)),
                 part.column("t").take(pa.array(row)),
                 pa.array(number.astype(np.int32)),
-                pa.array(character_offsets(raw, offsets, starts[at], row)),
+                pa.array(character_offsets(raw, offsets, starts[begin], row)),
                 pa.array(character_offsets(raw, offsets, ends[stop - 1], row)),
-                pa.array((stop - at).astype(np.int32)),
+                pa.array((np.minimum(length, MOST) + np.minimum(before, MOST) * (MOST + 1)).astype(np.int32)),
                 pa.array(h1.view(np.int64)),
                 pa.array(h2.view(np.int64)),
             ],
@@ -93,12 +151,15 @@ def cut(batches: Batches, unit_words: int) -> Batches:
 
 def runs(repeats: list[dict], unit_words: int) -> list[tuple[int, int]]:
     """Spans of the runs of repeated units that are long enough."""
-    spans, run = [], []
+    spans, run, total = [], [], 0
     for r in [*sorted(repeats, key=lambda r: r["unit"]), None]:
-        if run and (r is None or r["unit"] != run[-1]["unit"] + 1):
-            if max(x["words"] for x in run) >= unit_words:
+        before, own = divmod(r["words"], MOST + 1) if r else (0, 0)
+        step = r["unit"] - run[-1]["unit"] if r and run else 0
+        if run and step != 1 and not (step == 2 and before):
+            if total >= unit_words:
                 spans.append((run[0]["first"], run[-1]["last"]))
-            run = []
+            run, total = [], 0
+        total += own if step == 1 else own + before
         run.append(r)
     return spans
 
@@ -114,19 +175,28 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(kept) + text[at:]
 
 
-def remove(batches: Batches, unit_words: int) -> Batches:
+def long_runs(batches: Batches, unit_words: int) -> Batches:
+    """Spans to remove of each document that has any."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            found = [runs(repeats, unit_words) for repeats in part.column("repeats").to_pylist()]
+            spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in found], SPANS_ARROW)
+            out = pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), spans], ["i", "h", "spans_"])
+            yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
+
+
+def remove(batches: Batches) -> Batches:
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             texts, spans = [], []
-            for text, repeats in zip(part.column("text_").to_pylist(), part.column("repeats_").to_pylist()):
-                found = runs(repeats, unit_words) if repeats else []
-                texts.append(without(text, found) if found else text)
-                spans.append([{"start": a, "end": b} for a, b in found])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            rest = [c for c in part.schema.names if c not in ("text_", "repeats_")]
+            for text, found in zip(part.column("text_").to_pylist(), part.column("spans_").to_pylist()):
+                texts.append(without(text, [(x["start"], x["end"]) for x in found]) if found else text)
+                spans.append(found or [])
+            rest = [c for c in part.schema.names if c not in ("text_", "spans_")]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(spans, kind)], [*rest, "text_", "removed_"]
+                [*(part.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(spans, SPANS_ARROW)], [*rest, "text_", "removed_"]
             )
 
 
@@ -147,13 +217,13 @@ def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, id_col: str = "do
     repeats = units.join(dups, ["h1", "h2"]).where(~F.col("earliest").eqNullSafe(place))
     lists = (
         repeats.groupBy("id", "t")
-        .agg(F.collect_set(F.struct("unit", "first", "last", "words")).alias("repeats_"), F.max("words").alias("most"))
-        .where(F.col("most") >= unit_words)
-        .select(F.col("id").alias("i"), F.col("t").alias("h"), "repeats_")
+        .agg(F.collect_set(F.struct("unit", "first", "last", "words")).alias("repeats"))
+        .select(F.col("id").alias("i"), F.col("t").alias("h"), "repeats")
+        .mapInArrow(lambda b: long_runs(b, unit_words), T.StructType().add("i", "long").add("h", "long").add("spans_", SPANS))
     )
-    joined = keyed.join(lists, F.col("id_").eqNullSafe(F.col("i")) & (F.col("t_") == F.col("h")), "left").select("rest_", "text_", "repeats_")
+    joined = keyed.join(lists, F.col("id_").eqNullSafe(F.col("i")) & (F.col("t_") == F.col("h")), "left").select("rest_", "text_", "spans_")
     schema = T.StructType([joined.schema["rest_"], joined.schema["text_"], T.StructField("removed_", SPANS)])
-    out = joined.mapInArrow(lambda b: remove(b, unit_words), schema)
+    out = joined.mapInArrow(remove, schema)
     columns = [F.col("text_").alias(c) if c == text_col else F.col(f"rest_.`{c}`").alias(c) for c in own]
     return out.select(*columns, F.col("removed_").alias("removed"))
 
