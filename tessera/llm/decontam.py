@@ -14,7 +14,11 @@
 A word that repeats one of the two before it does not count: a passage of one word over and over would
 stand for nothing else. A word's weight is sqrt(passages / passages with it): with it all words have equal energy in A, so that
 the directions follow which words go together and not which are frequent. Words in more than
-`most_share` of the passages have no weight.
+`most_share` of the passages have no weight. Where a document is copied so often that its own words
+have none, or an item is short of others, cosines do not find the item: items with weight in less than
+`LEAST_HEAVY` of their words, or in fewer than `least_words`, are also searched exactly, by counting
+their words in every stretch of their length; stretches that cannot hold `paraphrase_lcs` of the item
+are passed over, the others checked as in 4.
 
 Documents are never shuffled, and a passage that many documents share costs what any other does. Items
 are broadcast in blocks of bounded size.
@@ -50,6 +54,7 @@ FOLD = 1 << 12
 LEAST_LCS = 0.7
 PARAPHRASE_LCS = 0.5
 LEAST_WORDS = 8
+LEAST_HEAVY = 1 / 3
 MOST_SHARE = 0.02
 ITEM_BLOCK = 4096
 CHUNK = 1024
@@ -185,7 +190,7 @@ def latent_space(docs: DataFrame, weight: np.ndarray, seed: int = 11) -> np.ndar
 
 @dataclass
 class Items:
-    """A block of benchmark items: their words, answers, and windows in latent space, by scale."""
+    """A block of benchmark items: their words, answers, windows in latent space, by scale, and those with too little weight for it."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -193,6 +198,7 @@ class Items:
     bags: np.ndarray
     least: np.ndarray
     queries: dict[int, tuple[np.ndarray, np.ndarray]]
+    weak: list[int]
 
 
 def last_sentence(text: str) -> str:
@@ -203,7 +209,7 @@ def last_sentence(text: str) -> str:
 def prepare(rows: list[tuple[int, str, str | None]], weight: np.ndarray, space: np.ndarray) -> Items:
     words, _, _, first = tokens(*byte_buffers(pa.array([t for _, t, _ in rows], pa.string())))
     replies, _, _, at = tokens(*byte_buffers(pa.array([a if a else last_sentence(t) for _, t, a in rows], pa.string())))
-    items = Items([], [], [], np.zeros((len(rows), FOLD), bool), np.zeros(len(rows)), {})
+    items = Items([], [], [], np.zeros((len(rows), FOLD), bool), np.zeros(len(rows)), {}, [])
     vectors: dict[int, list] = {2: [], 4: []}
     for i, (item, _, _) in enumerate(rows):
         own = words[first[i] : first[i + 1]]
@@ -215,6 +221,8 @@ def prepare(rows: list[tuple[int, str, str | None]], weight: np.ndarray, space:
         for a in {*begins, max(0, len(own) - length)}:
             vectors[scale].append((len(items.ids), space[bucket_of(own[a : a + length])].sum(axis=0)))
         heavy = bucket_of(own)[weight[bucket_of(own)] > 0]
+        if len(heavy) < max(LEAST_WORDS, LEAST_HEAVY * len(own)):
+            items.weak.append(len(items.ids))
         items.bags[len(items.ids), heavy % FOLD] = True
         items.least[len(items.ids)] = BAG * min(len(heavy), len(heavy) * length / len(own))
         items.ids.append(item)
@@ -282,6 +290,31 @@ def windows(blocks: np.ndarray, owner: np.ndarray, scale: int) -> np.ndarray:
     return out
 
 
+def stretches(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item number, row, first word in it) of the stretches that may hold enough of an item of little weight, by row and place."""
+    vocabulary = np.unique(np.concatenate([items.words[i] for i in items.weak]))
+    near = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    code = np.append(np.where(vocabulary[near] == words, near, len(vocabulary)), len(vocabulary))
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.flatnonzero((np.arange(len(words)) - first[row]) % 4 == 0)
+    for i in items.weak:
+        own, times = np.unique(items.words[i], return_counts=True)
+        least, size = PARAPHRASE_LCS * len(items.words[i]), len(items.words[i]) + 8
+        number = np.full(len(vocabulary) + 1, len(own))
+        number[np.searchsorted(vocabulary, own)] = np.arange(len(own))
+        mine = number[code]
+        total = np.append(0, np.cumsum(mine[:-1] < len(own)))
+        end = np.minimum(at + size, first[row[at] + 1])
+        dense = np.flatnonzero(total[end] - total[at] >= least)
+        for k in range(0, len(dense), CHUNK):
+            some = dense[k : k + CHUNK]
+            place = at[some, None] + np.arange(size)
+            there = np.zeros((len(some), len(own) + 1), bool)
+            there[np.arange(len(some))[:, None], mine[np.where(place < end[some, None], place, len(words))]] = True
+            for x in at[some[there[:, :-1] @ times >= least]].tolist():
+                yield i, int(row[x]), x - int(first[row[x]])
+
+
 def matches(part: pa.Array, items: Items, weight: np.ndarray, space: np.ndarray) -> dict[int, dict[int, tuple]]:
     """row -> item number -> (share, cosine, first byte, end byte), best of each."""
     words, starts, ends, first = tokens(*byte_buffers(part))
@@ -315,6 +348,18 @@ def matches(part: pa.Array, items: Items, weight: np.ndarray, space: np.ndarray)
                         s, e = first[row] + hit[1], first[row] + hit[2] - 1
                         cosine = float(v[k + r[x]] @ queries[q + c[x]])
                         seen[i] = (hit[0], cosine, int(starts[s]), int(ends[e]), a)
+    passed: dict[tuple[int, int], int] = {}
+    for i, row, a in stretches(words, first, items) if items.weak else ():
+        seen, size = found.setdefault(row, {}), len(items.words[i])
+        if a <= passed.get((i, row), -1) or i in seen and seen[i][0] == 1.0:
+            continue
+        passed[i, row] = a + size // 2
+        hit = check(items.words[i], items.answers[i], words[first[row] : first[row + 1]], a, a + size)
+        if hit and (i not in seen or hit[0] > seen[i][0]):
+            s, e = first[row] + hit[1], first[row] + hit[2] - 1
+            p, q = (space[bucket_of(w)].sum(axis=0) for w in (words[s : e + 1], items.words[i]))
+            cosine = float(p @ q / max(np.linalg.norm(p) * np.linalg.norm(q), 1e-20))
+            seen[i] = (hit[0], cosine, int(starts[s]), int(ends[e]), a)
     return {row: hits for row, hits in found.items() if hits}
 
 
