@@ -4,13 +4,14 @@ Words are the maximal runs without ASCII white space. That split is safe for tok
 normaliser and pre-tokenizer never look over white space and drop it (`word_bpe_49k.json`): a text's
 ids are then its words' ids in order, whichever word they stand in.
 
-1. Documents are read in blocks of bounded size. Each block sends its distinct words, dealt
-   into buckets and ordered by a 64-bit hash, as one compressed row a bucket.
+1. Documents are read in blocks of bounded size. Each block sends its distinct words, told apart by
+   their bytes and dealt into buckets by hash, as one compressed row a bucket.
 2. Each bucket meets in one task, which encodes every distinct word of the corpus once and answers
    each block with the ids of its words, in the order in which the block sent them: ids are joined
    back by position, so words need not travel twice, and no word is hot, however common it is.
 3. Blocks and answers are shuffled together; each text becomes the concatenation of its words' ids.
-4. Decoding joins ids to a table of pieces by id.
+4. Decoding joins ids to a table of pieces by id: the table is the vocabulary, bounded, and in order of
+   ids, so the join is Arrow's take.
 
 A block is numbered by the split it was read from. Should a split be read differently the second
 time, the answer's checksum fails and the block encodes its words itself, with the same result.
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, byte_buffers, partitions, segment_hashes, ship_code, text_or_empty, words_of
+from .common import by_bytes, byte_buffers, distinct_segments, partitions, segment_hashes, ship_code, text_or_empty, words_of
 from .tokenizer_files import load_tokenizer, tokenizer_path
 
 Batches = Iterator[pa.RecordBatch]
@@ -64,32 +65,30 @@ def blocks(batches: Batches, block_bytes: int) -> Iterator[tuple[int, list[pa.Re
 
 
 class BlockWords:
-    """The distinct words of a block by bucket, in the order of their hashes, and where they stand."""
+    """The distinct words of a block, told apart by their bytes and dealt into buckets, and where they stand."""
 
     def __init__(self, pieces: list[pa.RecordBatch], buckets: int):
-        raws, begins, lengths, hashes, self.firsts, self.sizes = [], [], [], [], [], []
+        raws, begins, stops, self.firsts, self.sizes = [], [], [], [], []
         base = 0
         for piece in pieces:
             raw, offsets = byte_buffers(piece.column("text"))
             starts, ends, first = words_of(raw, offsets)
-            hashes.append(segment_hashes(raw, starts, ends))
             begins.append(starts + base)
-            lengths.append(ends - starts)
+            stops.append(ends + base)
             self.firsts.append(first)
             self.sizes.append(len(starts))
             raws.append(raw)
             base += len(raw)
-        data = b"".join(r.tobytes() for r in raws)
-        distinct, at, self.inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        bucket = (distinct % np.uint64(buckets)).astype(np.int64)
+        codes, distinct = distinct_segments(np.concatenate(raws), np.concatenate(begins), np.concatenate(stops))
+        raw, offsets = byte_buffers(distinct)
+        bucket = (segment_hashes(raw, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        start = np.concatenate(begins)[at][order]
-        stop = start + np.concatenate(lengths)[at][order]
-        self.words = [data[a:b] for a, b in zip(start.tolist(), stop.tolist())]
+        data = raw.tobytes()
+        self.words = [data[a:b] for a, b in zip(offsets[:-1][order].tolist(), offsets[1:][order].tolist())]
         self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.inverse = place[self.inverse]  # each word's number among self.words
+        self.inverse = place[codes]  # each word's number among self.words
 
     def dealt(self) -> Iterator[tuple[int, list[bytes]]]:
         for b, (x, y) in enumerate(zip(self.cuts, self.cuts[1:])):
@@ -242,24 +241,37 @@ def piece_table(path: str) -> list[str]:
     return pieces
 
 
+def joined(ids: pa.Array, cuts: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """Texts of the pieces of ids[cuts[i]:cuts[i + 1]] with a blank between them. pieces: by id, each with a blank behind."""
+    raw, at = byte_buffers(pieces.take(ids))
+    stop = at[cuts]
+    full = np.diff(cuts) > 0
+    last = stop[1:][full] - 1  # the blanks behind the last pieces
+    inside = np.ones(len(raw), bool)
+    inside[last] = False
+    offsets = stop - np.append(0, np.cumsum(full))
+    return pa.Array.from_buffers(pa.large_string(), len(full), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+
+
 def decode_batches(batches: Batches, path: str) -> Batches:
     """Adds `decoded`: pieces joined to the ids by id, in order.
 
-    The tokenizer has no decoder, so its own decoding joins pieces by blanks; with a decoder, that is
+    Where the tokenizer has no decoder, its own decoding joins pieces by blanks; with a decoder, that is
     applied to each list of pieces.
     """
     decoder = load_tokenizer(path).decoder
-    pieces = [p.encode() for p in piece_table(path)] if decoder is None else piece_table(path)
+    names = piece_table(path)
+    pieces = pa.array([f"{p} " for p in names], pa.large_string())
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             column = part.column("ids")
-            found = list(map(pieces.__getitem__, column.flatten().to_numpy(zero_copy_only=False).tolist()))
-            at = np.append(0, np.cumsum(np.diff(column.offsets.to_numpy()))).tolist()
+            ids, cuts = column.flatten(), np.append(0, np.cumsum(np.diff(column.offsets.to_numpy())))
             if decoder is None:
-                texts = pa.array([b" ".join(found[a:b]) for a, b in zip(at, at[1:])], pa.binary()).cast(pa.string())
+                texts = joined(ids, cuts, pieces).cast(pa.string())
             else:
-                texts = pa.array([decoder.decode(found[a:b]) for a, b in zip(at, at[1:])], pa.string())
+                found = list(map(names.__getitem__, ids.to_pylist()))
+                texts = pa.array([decoder.decode(found[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())], pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
 

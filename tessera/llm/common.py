@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,11 +15,14 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
+#: Masters whose executors are threads of the driver.
+LOCAL = re.compile(r"local(\[[^\]]*\])?")
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -41,13 +45,13 @@ def ship_code(spark: SparkSession) -> None:
 def shared_base(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset (tests, notebooks in local mode) a temporary folder takes its place; on a
-    cluster that would be lost data, so there an unset folder is an error.
+    Where it is unset and the executors are threads of the driver (tests, notebooks) a temporary folder
+    takes its place; on a cluster that would be lost data, so there an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not LOCAL.fullmatch(spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="tessera-")
     spark.conf.set("spark.checkpoint.dir", base)
@@ -126,13 +130,12 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20
             start = stop
 
 
-# Odd multipliers of the polynomial and of the finaliser (splitmix64).
-POLY = 0x9E6C63D0876A9A47
+# The finaliser of splitmix64 and its increment.
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 GOLDEN = 0x9E3779B97F4A7C15
-
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+LONG_SEGMENT = 256
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -145,31 +148,67 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """POLY**i and POLY**-i modulo 2**64, for i < n."""
-    if len(_POWERS[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for k, base in enumerate((POLY, pow(POLY, -1, 1 << 64))):
-            step = np.full(size, base, np.uint64)
-            step[0] = 1
-            _POWERS[k] = np.multiply.accumulate(step)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
     upper = (raw >= 65) & (raw <= 90)
     return raw + (upper.astype(np.uint8) << 5)
 
 
+def segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges, none empty, in order and apart from each other, as an Arrow array."""
+    edge = np.zeros(len(raw) + 1, np.int8)
+    edge[starts] = 1
+    edge[ends] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    offsets = np.append(0, np.cumsum(ends - starts, dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+
+
+def distinct_segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each byte range among the distinct ones, and these: told apart by their bytes."""
+    if not len(starts):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    coded = segments(raw, starts, ends).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def hashes_128(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit XXH3 hash of each byte range."""
+    digest = xxhash.xxh3_128_digest
+    raw = b"".join([digest(data[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())])
+    both = np.frombuffer(raw, ">u8").reshape(-1, 2).astype(np.uint64)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def segment_hashes_128(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, halves: int = 2) -> tuple[np.ndarray, ...]:
+    """Two 64-bit hashes of each byte range, independent of each other (or the first of them).
+
+    Ranges are read eight bytes at a time, each eight mixed into the state before the next; those of
+    more than LONG_SEGMENT bytes are hashed one by one.
+    """
+    padded = np.append(raw, np.zeros(16, np.uint8))
+    eight = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))
+    length = ends - starts
+    out = [length.astype(np.uint64) * np.uint64(k) for k in (GOLDEN, MIX_2)][:halves]
+    some, at, left = np.arange(len(starts)), starts, np.where(length > LONG_SEGMENT, 0, length)
+    while len(some):
+        more = left > 0
+        if not more.all():
+            some, at, left = some[more], at[more], left[more]
+        part = eight[at] & _LOW_BYTES[np.minimum(left, 8)]
+        out[0][some] = mix64(out[0][some] ^ part)
+        if halves > 1:
+            out[1][some] = mix64((out[1][some] + np.uint64(MIX_1)) ^ (part * np.uint64(GOLDEN)))
+        at, left = at + 8, left - 8
+    long = np.flatnonzero(length > LONG_SEGMENT)
+    for i in long.tolist():
+        digest = xxhash.xxh3_128_intdigest(raw[starts[i] : ends[i]])
+        for h, shift in zip(out, (0, 64)):
+            h[i] = digest >> shift & (1 << 64) - 1
+    return tuple(out)
+
+
 def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal bytes give equal hashes wherever they stand."""
-    n = len(raw)
-    if n == 0:
-        return mix64(np.zeros(len(starts), np.uint64))
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts])
+    return segment_hashes_128(raw, starts, ends, 1)[0]
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray | None = None):

@@ -1,24 +1,32 @@
 """Substring deduplication by line hashing.
 
-Texts are cut into units: lines, and within lines sentences (a unit begins after a line feed, after a
-word that ends in `.`, `!`, `?` or their wide forms, and at a capitalised word). A unit of more than
-`LONG_UNITS` times `unit_words` words is cut before words that their hash chooses, so that a passage
-inside unbroken text meets the same cuts in every document. Characters of scripts without white space
-are words that count half; longer unbroken strings are cut by a hash of their bytes. Each unit is
-normalised (A-Z lowered, white space left out of account) and reduced to a 128-bit digest of its words.
-Digests are grouped over the corpus; the occurrence that ranks earliest, by document id and offset,
-stays.
-
-Every other occurrence is a repeat. Short units repeat by chance: those of fewer than `unit_words`
-words are digested together with the unit before them, and stand for both. Repeats side by side are a
-run, which is removed if it has `unit_words` words in all, however short its units are. What is removed
-is reported as spans of characters of the original text. At either end of a passage, words up to its
-first and last cut stay; so does a short unit that begins it if a long one follows.
+A line (what stands between line feeds) is normalised (A-Z lowered, white space left out of account) and
+reduced to a 128-bit digest. Digests are grouped over the corpus; the occurrence that ranks earliest, by
+document id and offset, stays, every other one of `unit_words` words or more is removed, and its span of
+characters in the original text is reported.
+
+Passages also begin and end within lines. So lines are cut into units, which are digested, grouped and
+ranked like lines: a unit begins with its line, after a word that ends in `.`, `!`, `?` or their wide
+forms, and at a capitalised word. A unit of more than `LONG_UNITS` times `unit_words` words is cut before
+words that their hash chooses, so that a passage inside unbroken text meets the same cuts in every
+document. Characters of scripts without white space are words that count half; longer unbroken strings
+are cut by a hash of the bytes before. Short units repeat by chance: those of fewer than `unit_words`
+words are digested together with the unit before them, and stand for both. Repeated units side by side
+are a run, which is removed if it has `unit_words` words in all, however short its units are. At either
+end of a passage that ends within lines, words up to its first and last cut stay. With `within=False`
+whole lines alone are compared.
+
+The corpus is cut twice, and neither texts nor spans travel with digests: the first pass finds the
+digests that several documents hold (counted before they are shuffled), the second joins them to the
+units' numbers, from which the units' places in the texts follow again. A unit that its own document
+repeats needs no join. Digests in a share of all units are few, so they are broadcast and joined without
+a shuffle.
 
 Defined results: a null text stays null; a null id ranks last; rows equal in id and text are one
 document and treated alike; rows that share an id only rank by a hash of the text; an empty table
-gives an empty result; other columns are returned as they were (a column named like one of the
-operator's own, `removed`, is replaced). Texts are taken whole.
+gives an empty result; other columns are returned as they were (a column named like the operator's own
+`removed` is replaced by it). Texts are taken whole. A line of fewer than `unit_words` words is removed
+only as part of a run.
 """
 
 from __future__ import annotations
@@ -27,19 +35,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _powers, by_bytes, byte_buffers, lower_ascii, mix64, segment_hashes, ship_code, words_of
+from .common import by_bytes, byte_buffers, hashes_128, lower_ascii, mix64, segment_hashes, ship_code, words_of, written
 
 Batches = Iterator[pa.RecordBatch]
 UNIT_WORDS = 8
-MOST = (1 << 15) - 1
 #: Units of more than so many times `unit_words` are cut further; bytes from which a word is.
 LONG_UNITS = 6
 UNBROKEN = 64
-UNITS = "id long, t long, unit int, first int, last int, words int, h1 long, h2 long"
+#: A digest in more than one of so many units is hot. There are at most as many hot ones, and they are broadcast.
+HOT_SHARE = 4096
+LEAST_HOT = 500
+UNITS = "id long, t long, unit int, again boolean, h1 long, h2 long"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -69,101 +80,140 @@ def pieces(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return at, wide
 
 
-def units_of(raw: np.ndarray, offsets: np.ndarray, unit_words: int = UNIT_WORDS):
-    """Units of each text: (first word, end word, row, digests), the words' bytes, and the units' lengths."""
-    lowered = lower_ascii(raw)
-    starts, ends, first = words_of(lowered, offsets)
-    more, wide = pieces(lowered, starts, ends)
-    if len(more):
-        first = first + np.searchsorted(more, offsets)
-        starts, ends = np.sort(np.append(starts, more)), np.sort(np.append(ends, more))
-    n = len(starts)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    begins = np.zeros(n, bool)
-    begins[first[:-1][np.diff(first) > 0]] = True
-    feeds = np.append(0, np.cumsum(raw == 10))
-    begins[1:] |= feeds[starts[1:]] > feeds[ends[:-1]]
-    final = raw[ends - 1] if n else raw[:0]
-    begins[1:] |= np.isin(final[:-1], (33, 46, 63))
-    if len(wide):
-        stops = (raw[ends - 3] == 0xE3) & (raw[ends - 2] == 0x80) & (final == 0x82) | (raw[ends - 3] == 0xEF) & (raw[ends - 2] == 0xBC) & ((final == 0x81) | (final == 0x9F))
-        begins[1:] |= (stops & (ends - starts >= 3))[:-1]
-    padded = np.append(raw, (0, 0))
-    a, b = padded[starts], padded[starts + 1]
-    capital = (a >= 65) & (a <= 90) & ~((b >= 65) & (b <= 90)) | (a == 0xC3) & (b >= 0x80) & (b <= 0x9E)
-    if len(more):
-        capital &= ~np.isin(starts, more)
-    begins |= capital
-    words = segment_hashes(lowered, starts, ends)
-    # units without an end are cut before words that their hash chooses
-    at = np.flatnonzero(begins)
-    long = np.diff(np.append(at, n)) > LONG_UNITS * unit_words
-    chosen = mix64(words) % np.uint64(unit_words) == 0
-    chosen[1:] &= words[1:] != words[:-1]
-    begins |= np.repeat(long, np.diff(np.append(at, n))) & chosen
-    at = np.flatnonzero(begins)
-    stop = np.append(at[1:], n) if len(at) else at
-    halves = np.append(0, np.cumsum(2 - np.isin(starts, wide))) if len(wide) else 2 * np.arange(n + 1)
-    length = -(-(halves[stop] - halves[at]) // 2)
-    short = length < unit_words
-    power, inverse = _powers(n + 1)
-    digests = []
-    for salt in (1, 2):
-        total = np.append(np.uint64(0), np.cumsum(mix64(words + np.uint64(salt)) * power[:n], dtype=np.uint64))
-        own = mix64((total[stop] - total[at]) * inverse[at] + (stop - at).astype(np.uint64))
-        before = np.append(np.uint64(0), own[:-1])
-        before[np.append(True, row[at][1:] != row[at][:-1])[: len(at)]] = 0
-        digests.append(np.where(short, mix64(own ^ mix64(before + np.uint64(3))), own))
-    return at, stop, row[at], digests, starts, ends, length
-
-
-def character_offsets(raw: np.ndarray, offsets: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Byte positions as characters from the start of their row."""
-    characters = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
-    return (characters[at] - characters[offsets[row]]).astype(np.int32)
-
-
-def cut(batches: Batches, unit_words: int) -> Batches:
+class Units:
+    """Units and lines of a slice of texts, as ranges of its words.
+
+    number: a unit's number in its text; lines are numbered -1, -2, ... `begin` to `stop` are the words
+    that a unit's digest stands for, `length` the words of its own.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, unit_words: int, within: bool):
+        self.raw, self.offsets, self.unit_words = raw, offsets, unit_words
+        self.low = low = lower_ascii(raw)
+        starts, ends, first = words_of(low, offsets)
+        more, wide = pieces(low, starts, ends)
+        if len(more):
+            first = first + np.searchsorted(more, offsets)
+            starts, ends = np.sort(np.append(starts, more)), np.sort(np.append(ends, more))
+        self.starts, self.ends = starts, ends
+        n = len(starts)
+        rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        begins = np.zeros(n, bool)
+        begins[first[:-1][np.diff(first) > 0]] = True
+        feeds = np.append(0, np.cumsum(raw == 10))
+        begins[1:] |= feeds[starts[1:]] > feeds[ends[:-1]]
+        self.halves = np.append(0, np.cumsum(2 - np.isin(starts, wide))) if len(wide) else 2 * np.arange(n + 1)
+        at = np.flatnonzero(begins)
+        stop = np.append(at[1:], n) if len(at) else at
+        number = -1 - (np.arange(len(at)) - np.searchsorted(rows[at], rows[at]))
+        long = self.words(at, stop) >= unit_words
+        self.lines = int(long.sum())
+        lines = at[long], stop[long], rows[at][long], number[long]
+        if within:
+            begins |= self.sentences(begins, more, wide)
+            at = np.flatnonzero(begins)
+            stop = np.append(at[1:], n) if len(at) else at
+            row = rows[at]
+            number = np.arange(len(at)) - np.searchsorted(row, row)
+            self.length = self.words(at, stop)
+            # the digest of a short unit stands for the unit before it too, and so does its span
+            both = (self.length < unit_words) & (number > 0)
+            begin = np.where(both, np.append(0, at[:-1])[: len(at)], at)
+        else:
+            begin = stop = row = number = self.length = at[:0]
+        self.begin, self.stop, self.row, self.number = (np.append(a, b) for a, b in zip(lines, (begin, stop, row, number)))
+
+    def words(self, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return -(-(self.halves[stop] - self.halves[at]) // 2)
+
+    def sentences(self, lines: np.ndarray, more: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Where units begin within lines."""
+        raw, starts, ends = self.raw, self.starts, self.ends
+        n = len(starts)
+        begins = lines.copy()
+        final = raw[ends - 1] if n else raw[:0]
+        begins[1:] |= np.isin(final[:-1], (33, 46, 63))
+        if len(wide):
+            stops = (raw[ends - 3] == 0xE3) & (raw[ends - 2] == 0x80) & (final == 0x82) | (raw[ends - 3] == 0xEF) & (raw[ends - 2] == 0xBC) & ((final == 0x81) | (final == 0x9F))
+            begins[1:] |= (stops & (ends - starts >= 3))[:-1]
+        padded = np.append(raw, (0, 0))
+        a, b = padded[starts], padded[starts + 1]
+        capital = (a >= 65) & (a <= 90) & ~((b >= 65) & (b <= 90)) | (a == 0xC3) & (b >= 0x80) & (b <= 0x9E)
+        if len(more):
+            capital &= ~np.isin(starts, more)
+        begins |= capital
+        # units without an end are cut before words that their hash chooses
+        at = np.flatnonzero(begins)
+        size = np.diff(np.append(at, n))
+        long = np.flatnonzero(np.repeat(size > LONG_UNITS * self.unit_words, size))
+        words = segment_hashes(self.low, starts[long], ends[long])
+        chosen = words % np.uint64(self.unit_words) == 0
+        chosen[1:] &= (words[1:] != words[:-1]) | (long[1:] != long[:-1] + 1)
+        begins[long[chosen]] = True
+        return begins
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each unit's and line's words; those of lines are of another kind."""
+        n = len(self.starts)
+        size = self.ends - self.starts
+        places = np.append(0, np.cumsum(size + 1))
+        between = np.zeros(places[-1], bool)
+        between[places[1:] - 1] = True
+        text = np.full(places[-1], 32, np.uint8)
+        edge = np.zeros(len(self.low) + 1, np.int8)
+        edge[self.starts] = 1
+        edge[self.ends] -= 1
+        text[~between] = self.low[np.cumsum(edge[:-1], dtype=np.int8).view(bool)] if n else text[:0]
+        data, a, b = text.tobytes(), places[self.begin], places[self.stop]
+        k = self.lines
+        found = hashes_128(data, a[:k], b[:k], 1), hashes_128(data, a[k:], b[k:])
+        return tuple(np.append(x, y) for x, y in zip(*found))
+
+    def spans(self, chosen: np.ndarray) -> np.ndarray:
+        """(row, start, end) in characters of the original, in order, of what the chosen lines and units remove."""
+        lines, some = chosen[chosen < self.lines], chosen[chosen >= self.lines]
+        begin, stop, row = self.begin[some], self.stop[some], self.row[some]
+        # a run goes on with the next unit, or with one more if that one stands for the unit between
+        apart = (row[1:] != row[:-1]) | (begin[1:] > stop[:-1])
+        lead, last = np.append(True, apart)[: len(some)], np.append(apart, True)[-len(some) :][: len(some)]
+        begin, stop, row = begin[lead], stop[last], row[lead]
+        long = self.words(begin, stop) >= self.unit_words
+        begin, stop, row = (np.append(a[lines], b[long]) for a, b in ((self.begin, begin), (self.stop, stop), (self.row, row)))
+        if not len(begin):
+            return np.zeros((0, 3), np.int64)
+        order = np.argsort(begin, kind="stable")
+        begin, row, reach = begin[order], row[order], np.maximum.accumulate(stop[order])
+        lead = np.append(True, (begin[1:] > reach[:-1]) | (row[1:] != row[:-1]))  # what overlaps or touches is one span
+        last = np.append(lead[1:], True)
+        characters = np.append(0, np.cumsum((self.raw & 0xC0) != 0x80))
+        base = characters[self.offsets[row[lead]]]
+        return np.stack([row[lead], characters[self.starts[begin[lead]]] - base, characters[self.ends[reach[last] - 1]] - base], axis=1)
+
+
+def cut(batches: Batches, unit_words: int, within: bool) -> Batches:
+    """The digest of each line and unit; `again` where the text holds it before."""
     for part in by_bytes(batches, "text", 2 << 20):
-        raw, offsets = byte_buffers(part.column("text"))
-        at, stop, row, (h1, h2), starts, ends, length = units_of(raw, offsets, unit_words)
-        if not len(at):
+        units = Units(*byte_buffers(part.column("text")), unit_words, within)
+        if not len(units.row):
             continue
-        number = np.arange(len(at)) - np.searchsorted(row, row)
-        # the digest of a short unit stands for the unit before it too, and so does its span
-        both = (length < unit_words) & (number > 0)
-        before = np.where(both, np.append(0, length[:-1]), 0)
-        begin = np.where(both, np.append(0, at[:-1]), at)
+        h1, h2 = units.digests()
+        order = np.lexsort((h2, h1, units.row))
+        same = np.append(False, (units.row[order][1:] == units.row[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1]))
+        again = np.zeros(len(order), bool)
+        again[order] = same
         yield pa.RecordBatch.from_arrays(
             [
-                part.column("id").take(pa.array(row)),
-                part.column("t").take(pa.array(row)),
-                pa.array(number.astype(np.int32)),
-                pa.array(character_offsets(raw, offsets, starts[begin], row)),
-                pa.array(character_offsets(raw, offsets, ends[stop - 1], row)),
-                pa.array((np.minimum(length, MOST) + np.minimum(before, MOST) * (MOST + 1)).astype(np.int32)),
+                part.column("id").take(pa.array(units.row)),
+                part.column("t").take(pa.array(units.row)),
+                pa.array(units.number.astype(np.int32)),
+                pa.array(again),
                 pa.array(h1.view(np.int64)),
                 pa.array(h2.view(np.int64)),
             ],
-            ["id", "t", "unit", "first", "last", "words", "h1", "h2"],
+            ["id", "t", "unit", "again", "h1", "h2"],
         )
 
 
-def runs(repeats: list[dict], unit_words: int) -> list[tuple[int, int]]:
-    """Spans of the runs of repeated units that are long enough."""
-    spans, run, total = [], [], 0
-    for r in [*sorted(repeats, key=lambda r: r["unit"]), None]:
-        before, own = divmod(r["words"], MOST + 1) if r else (0, 0)
-        step = r["unit"] - run[-1]["unit"] if r and run else 0
-        if run and step != 1 and not (step == 2 and before):
-            if total >= unit_words:
-                spans.append((run[0]["first"], run[-1]["last"]))
-            run, total = [], 0
-        total += own if step == 1 else own + before
-        run.append(r)
-    return spans
-
-
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans and the white space after each."""
     kept, at = [], 0
@@ -175,55 +225,61 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(kept) + text[at:]
 
 
-def long_runs(batches: Batches, unit_words: int) -> Batches:
-    """Spans to remove of each document that has any."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            found = [runs(repeats, unit_words) for repeats in part.column("repeats").to_pylist()]
-            spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in found], SPANS_ARROW)
-            out = pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), spans], ["i", "h", "spans_"])
-            yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
-
-
-def remove(batches: Batches) -> Batches:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            texts, spans = [], []
-            for text, found in zip(part.column("text_").to_pylist(), part.column("spans_").to_pylist()):
-                texts.append(without(text, [(x["start"], x["end"]) for x in found]) if found else text)
-                spans.append(found or [])
-            rest = [c for c in part.schema.names if c not in ("text_", "spans_")]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(spans, SPANS_ARROW)], [*rest, "text_", "removed_"]
-            )
-
-
-def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with repeated passages taken out of the text, and `removed`: their spans in the original."""
+def remove(batches: Batches, unit_words: int, within: bool) -> Batches:
+    """Takes out of each text what its repeated lines and units (repeats_) cover."""
+    for part in by_bytes(batches, "text_", 2 << 20):
+        texts, lists = part.column("text_").to_pylist(), part.column("repeats_")
+        found = [[] for _ in texts]
+        hit = np.flatnonzero(np.asarray(pc.is_valid(lists)))
+        if len(hit):
+            units = Units(*byte_buffers(part.column("text_").take(pa.array(hit))), unit_words, within)
+            own = lists.take(pa.array(hit))
+            place = np.repeat(np.arange(len(hit)), np.asarray(pc.list_value_length(own)))
+            wanted = (place << 32) + own.flatten().to_numpy(zero_copy_only=False)
+            chosen = np.flatnonzero(np.isin((units.row << 32) + units.number, wanted))
+            for row, a, b in units.spans(chosen).tolist():
+                found[hit[row]].append((a, b))
+        texts = [without(t, f) if f else t for t, f in zip(texts, found)]
+        spans = pa.array([[{"start": a, "end": b} for a, b in f] for f in found], SPANS_ARROW)
+        rest = [c for c in part.schema.names if c not in ("text_", "repeats_")]
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(texts, pa.string()), spans], [*rest, "text_", "removed_"])
+
+
+def repeated(units: DataFrame) -> DataFrame:
+    """id, t, unit of every unit that an earlier one equals."""
+    place = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("t"))
+    firsts = units.where("not again").groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
+    dups = written(firsts.where("n > 1"), "repeated-digests")
+    total = dups.agg(F.sum("n")).first()[0] or 0
+    # at most HOT_SHARE rows: their counts add up to no more than the total
+    hot = dups.where(F.col("n") > max(LEAST_HOT, total // HOT_SHARE)).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("earliest").alias("e"))
+    rows = units.join(F.broadcast(hot), (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2")), "left")
+    known = F.col("again") | F.col("e").isNotNull()
+    rows = rows.select(
+        "id", "t", "unit", (F.col("again") | ~F.coalesce(F.col("e") == place, F.lit(True))).alias("repeat"), known.alias("known"),
+        # what is known already meets nothing, and is dealt evenly
+        F.when(known, F.xxhash64("id", "t", "unit")).otherwise(F.col("h1")).alias("h1"), F.when(known, F.lit(0)).otherwise(F.col("h2")).alias("h2"),
+    ).where("repeat or not known")
+    rows = rows.drop("known").join(dups.select("h1", "h2", "earliest"), ["h1", "h2"], "left")
+    return rows.where(F.col("repeat") | (F.col("earliest") != place)).select("id", "t", "unit")
+
+
+def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text", within: bool = True) -> DataFrame:
+    """`docs` with repeated lines and passages taken out of the text, and `removed`: their spans in the original."""
     ship_code(docs.sparkSession)
     own = [c for c in docs.columns if c != "removed"]
     keyed = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in own if c != text_col)).alias("rest_"),
+        F.struct(F.lit(0).alias("none_"), *(F.col(f"`{c}`") for c in own if c != text_col)).alias("rest_"),
         F.col(text_col).cast("string").alias("text_"),
         F.col(id_col).cast("long").alias("id_"),
         F.xxhash64(F.col(text_col).cast("string")).alias("t_"),
     )
     texts = keyed.where("text_ is not null").select(F.col("id_").alias("id"), F.col("t_").alias("t"), F.col("text_").alias("text"))
-    units = texts.mapInArrow(lambda b: cut(b, unit_words), UNITS)
-    place = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("t"), F.col("unit"))
-    dups = units.groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest <> latest").select("h1", "h2", "earliest")
-    repeats = units.join(dups, ["h1", "h2"]).where(~F.col("earliest").eqNullSafe(place))
-    lists = (
-        repeats.groupBy("id", "t")
-        .agg(F.collect_set(F.struct("unit", "first", "last", "words")).alias("repeats"))
-        .select(F.col("id").alias("i"), F.col("t").alias("h"), "repeats")
-        .mapInArrow(lambda b: long_runs(b, unit_words), T.StructType().add("i", "long").add("h", "long").add("spans_", SPANS))
-    )
-    joined = keyed.join(lists, F.col("id_").eqNullSafe(F.col("i")) & (F.col("t_") == F.col("h")), "left").select("rest_", "text_", "spans_")
+    units = texts.mapInArrow(lambda b: cut(b, unit_words, within), UNITS)
+    lists = repeated(units).groupBy("id", "t").agg(F.collect_set("unit").alias("repeats_")).select(F.col("id").alias("i"), F.col("t").alias("h"), "repeats_")
+    joined = keyed.join(lists, F.col("id_").eqNullSafe(F.col("i")) & (F.col("t_") == F.col("h")), "left").select("rest_", "text_", "repeats_")
     schema = T.StructType([joined.schema["rest_"], joined.schema["text_"], T.StructField("removed_", SPANS)])
-    out = joined.mapInArrow(remove, schema)
+    out = joined.mapInArrow(lambda b: remove(b, unit_words, within), schema)
     columns = [F.col("text_").alias(c) if c == text_col else F.col(f"rest_.`{c}`").alias(c) for c in own]
     return out.select(*columns, F.col("removed_").alias("removed"))
 
@@ -237,3 +293,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("text").cast("long").alias("kept_chars"),
         "text",
     )
+
+
+def dedup_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document, without white space, if whole lines alone are compared."""
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), within=False)
+    left = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
+    return out.select("doc_id", F.length(left).cast("long").alias("kept_chars"), F.md5(left.cast("binary")).alias("kept_md5"))
+
+
+#: For tables without scripts that have no white space, and without words of over 64 bytes.
+WHOLE_LINES_SQL = f"""
+WITH l AS (
+  SELECT doc_id, i, regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') AS plain,
+         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS words
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), r AS (SELECT *, len(string_split(words, ' ')) >= {UNIT_WORDS} AND row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1 AS gone FROM l),
+t AS (SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE plain END, '' ORDER BY i) AS kept FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(length(kept) AS BIGINT) AS kept_chars, md5(kept) AS kept_md5 FROM t
+"""

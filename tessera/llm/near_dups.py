@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, byte_buffers, partitions, scratch, shared_dir, ship_code, text_or_empty, written
 from .components import components
-from .shingles import T, band_keys, intersection, set_digests, shingle_sets, sketches, small_sketch
+from .shingles import T, band_keys, set_digests, shingle_sets, similar, sketches, small_sketch
 
 Batches = Iterator[pa.RecordBatch]
 SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
@@ -48,16 +48,16 @@ LEAST_EQUAL = int(0.75 * T - 6 * (T * 0.75 * 0.25) ** 0.5)
 
 def sign(batches: Batches) -> Batches:
     for part in by_bytes(batches, "text", 2 << 20):
-        hashes, offsets = shingle_sets(*byte_buffers(part.column("text")))
-        d1, d2 = set_digests(hashes, offsets)
-        s = sketches(hashes, offsets)
+        one, two = shingle_sets(*byte_buffers(part.column("text")))
+        d1, d2 = set_digests(one, two)
+        s = sketches(*one)
         bands = band_keys(s).view(np.int64)
         small = small_sketch(s).tobytes()
         width = 2 * s.shape[1]
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id"),
-                pa.array(np.diff(offsets)),
+                pa.array(np.diff(one[1])),
                 pa.array(d1.view(np.int64)),
                 pa.array(d2.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.reshape(-1))),
@@ -83,21 +83,17 @@ def confirm(batches: Batches) -> Batches:
             part = batch.slice(k, 256)
             rows = part.to_pylist()
             texts = pa.array([expand.decompress(r["z"]) for r in rows], pa.binary())
-            hashes, offsets = shingle_sets(*byte_buffers(texts))
-            at = offsets.tolist()
+            sets = shingle_sets(*byte_buffers(texts))
             found = []
             for i, r in enumerate(rows):
-                own = hashes[at[i] : at[i + 1]]
+                own = tuple(hashes[at[i] : at[i + 1]] for hashes, at in sets)
                 if (r["pivot"], r["salt"]) != key:
                     key, pivots = (r["pivot"], r["salt"]), []
                 if r["kind"] == 0:
-                    pivots.append(own.copy())
+                    pivots.append(tuple(x.copy() for x in own))
                     continue
-                for p in pivots:
-                    common = intersection(p, own)
-                    if 100 * common >= 75 * (len(p) + len(own) - common):
-                        found.append((r["node"], r["pivot"]))
-                        break
+                if any(similar(p, own) for p in pivots):
+                    found.append((r["node"], r["pivot"]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["u", "v"])
 
@@ -128,13 +124,13 @@ class Sets:
     def __init__(self, texts: list[bytes], most: int = 1 << 23):
         self.texts, self.most, self.held, self.size = texts, most, {}, 0
 
-    def __getitem__(self, i: int) -> np.ndarray:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, ...]:
         if i not in self.held:
             if self.size > self.most:
                 self.held, self.size = {}, 0
             raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.texts[i]), np.uint8)
-            self.held[i] = shingle_sets(raw, np.array([0, len(raw)]))[0]
-            self.size += len(self.held[i])
+            self.held[i] = tuple(hashes for hashes, _ in shingle_sets(raw, np.array([0, len(raw)])))
+            self.size += 2 * len(self.held[i][0])
         return self.held[i]
 
 
@@ -163,8 +159,7 @@ def close_block(held: list[dict]) -> pa.RecordBatch | None:
         for x in some.tolist():
             if label[x] in joined:
                 continue
-            common = intersection(sets[o], sets[x])
-            if 100 * common >= 75 * (len(sets[o]) + len(sets[x]) - common):
+            if similar(sets[o], sets[x]):
                 joined.add(label[x])
                 found.append((int(node[o]), int(node[x])))
     if found:

@@ -11,7 +11,7 @@ from .bpe import op3_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontam import op2_decontam
 from .lang_id import op7_lang_id
-from .line_dedup import op4_line_dedup
+from .line_dedup import WHOLE_LINES_SQL, dedup_whole_lines, op4_line_dedup
 from .near_dups import op6_near_dups
 from .token_counts import op5_token_counts
 from .toxicity import op8_toxicity
@@ -28,5 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
+    "dedup_whole_lines": dedup_whole_lines,
 }
-ORACLES: dict[str, str] = {"op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {"dedup_whole_lines": WHOLE_LINES_SQL, "op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -1,10 +1,10 @@
-"""Five-word shingles as sets of 64-bit hashes, and their fast similarity sketches, in numpy."""
+"""Five-word shingles as sets of hashes, twice 64 bits each, and their fast similarity sketches, in numpy."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from .common import GOLDEN, lower_ascii, mix64, segment_hashes, words_of
+from .common import GOLDEN, lower_ascii, mix64, segment_hashes_128, words_of
 
 WIDTH = 5
 T = 128
@@ -14,15 +14,18 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PLACE = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, end to end, and their offsets.
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingle hashes of each text, end to end, and their offsets: by each of two independent hashes.
 
     A text with fewer words than `width` has its whole sequence as one shingle; without words it has none.
     """
     lowered = lower_ascii(raw)
     starts, ends, first = words_of(lowered, offsets)
-    words = segment_hashes(lowered, starts, ends)
     counts = np.diff(first)
+    return tuple(_sets(words, first, counts, width) for words in segment_hashes_128(lowered, starts, ends))
+
+
+def _sets(words: np.ndarray, first: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     sums = np.zeros(max(0, n - width + 1), np.uint64)
     for k in range(width):
@@ -45,13 +48,22 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tu
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.append(0, np.cumsum(sizes))
 
 
-def set_digests(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit sums over each set: equal for equal sets only, but for chance of 2**-128."""
+def set_digests(*sets: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """A 64-bit sum over each set, of each hash: equal for equal sets, and by chance for one in 2**128 others."""
     out = []
-    for salt in (1, 2):
-        total = np.append(np.uint64(0), np.cumsum(mix64(hashes ^ np.uint64(salt * GOLDEN % (1 << 64))), dtype=np.uint64))
+    for hashes, offsets in sets:
+        total = np.append(np.uint64(0), np.cumsum(mix64(hashes ^ np.uint64(GOLDEN)), dtype=np.uint64))
         out.append(total[offsets[1:]] - total[offsets[:-1]])
-    return out[0], out[1]
+    return out
+
+
+def similar(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> bool:
+    """100 * intersection >= 75 * union, by both hashes."""
+    for x, y in zip(a, b):
+        common = intersection(x, y)
+        if 100 * common < 75 * (len(x) + len(y) - common):
+            return False
+    return True
 
 
 def sketches(hashes: np.ndarray, offsets: np.ndarray, t: int = T) -> np.ndarray:

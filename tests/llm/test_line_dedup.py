@@ -1,8 +1,12 @@
 import random
+from collections import defaultdict
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm.line_dedup import dedup_lines
+from tessera.llm import line_dedup
+from tessera.llm.line_dedup import WHOLE_LINES_SQL, dedup_lines, dedup_whole_lines
 
 
 def short_sentences(rng, word, n):
@@ -40,3 +44,100 @@ def test_passages_without_a_long_unit_go(spark, kind):
     assert len(removed) >= least * (len(passage.strip()) - 1) and removed in passage
     if kind != "unbroken":
         assert around[2].strip() in got[1].text and around[3].strip() in got[1].text
+
+
+def test_repeated_passages_go_and_the_rest_stays(spark, make_text):
+    rng = random.Random(9)
+    sentence = lambda n: make_text(rng, n).capitalize() + "."
+    passage = " ".join(sentence(rng.randrange(9, 14)) for _ in range(6))
+    clean = {i: "\n".join(sentence(12) for _ in range(4)) for i in range(6)}
+    texts = {10: f"{sentence(11)}\n{passage}\n{sentence(10)}", 11: f"{sentence(9)} {passage} {sentence(9)}", 12: passage, **clean}
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert all(got[i].text == clean[i] and not got[i].removed for i in clean)
+    assert got[10].text == texts[10]
+    assert passage not in got[11].text and got[12].text == ""
+    for i in (11, 12):
+        removed = "".join(texts[i][s.start : s.end] for s in got[i].removed)
+        assert removed == passage
+    assert got[11].n_chars == 1
+
+
+def test_short_lines_may_repeat(spark):
+    df = spark.createDataFrame([(i, f"The end.\nOf it.\nA line that only the document {i} holds among all of them here.") for i in range(5)], "doc_id long, text string")
+    assert all(not r.removed for r in dedup_lines(df).collect())
+
+
+def test_line_dedup_against_brute_force(spark, make_text):
+    rng = random.Random(12)
+    lines = [make_text(rng, 9) for _ in range(6)]
+    lines += [make_text(rng, 22).title(), "Die Katze Und Der Hund Im Garten Am Abend", make_text(rng, 4).capitalize() + ". " + make_text(rng, 9).capitalize() + ". No!"]
+    lines += [make_text(rng, 4).title() + "! " + make_text(rng, 5), "  " + make_text(rng, 12).upper() + "?"]
+    texts = {i: "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 6))) for i in range(30)}
+    seen, want = set(), {}
+    for i in sorted(texts):
+        kept = []
+        for line in texts[i].split("\n"):
+            if " ".join(line.lower().split()) not in seen:
+                kept.append(line.strip())
+            seen.add(" ".join(line.lower().split()))
+        want[i] = kept
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: [x.strip() for x in r.text.split("\n") if x.strip()] for r in dedup_lines(df, within=False).collect()} == want
+    assert {r.doc_id: [x.strip() for x in r.text.split("\n") if x.strip()] for r in dedup_lines(df).collect()} == want
+
+
+def test_line_dedup_odd_rows(odd_documents):
+    out = dedup_lines(odd_documents)
+    assert sorted(out.columns) == sorted(odd_documents.columns)
+    rows = out.orderBy("doc_id").collect()
+    assert len(rows) == 9
+    by_id = defaultdict(list)
+    for r in rows:
+        by_id[r.doc_id].append(r)
+    assert by_id[2][0].text is None and by_id[3][0].text == "" and [r.digest for r in rows] == ["x"] * 9
+    assert len(by_id[6]) == 2 and dedup_lines(odd_documents.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("line", ["The Old Mill By The River Stood Empty For Many Years And Nobody Ever Asked Why The Doors Were Always Open At Night", "Der Hund und die Katze sahen im Garten den Mond und die Sterne, und das Haus der Familie stand am Ende der Straße."])
+def test_a_capitalised_line_stays_once(spark, make_text, line):
+    rng = random.Random(21)
+    second = make_text(rng, 9).title()
+    texts = {i: "\n".join([make_text(rng, 12), line, make_text(rng, 11)]) for i in range(6)}
+    texts |= {10 + i: "\n".join([make_text(rng, 12), line, second, make_text(rng, 11)]) for i in range(6)}
+    for within in (True, False):
+        got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), within=within).collect()}
+        assert [i for i in got if line in got[i].text] == [0] and [i for i in got if second in got[i].text] == [10]
+        for i in set(got) - {0, 10}:
+            assert len(got[i].text.split()) == 23 and len(got[i].removed) == 1
+
+
+def test_mirrored_sequences_are_no_repeats(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = [j.join((a, b)[x ^ y] for x in bits) for j, a, b in (("", "a", "b"), (" ", "ab", "cd")) for y in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for within in (True, False):
+        got = {r.doc_id: r.text for r in dedup_lines(df, within=within).collect()}
+        if not within:
+            assert got == dict(enumerate(texts))
+        # all that goes stands in a text before, or before in its own
+        assert got[0] and got[2]
+
+
+def test_hot_digests_take_the_other_way_with_the_same_result(spark, make_text, monkeypatch):
+    rng = random.Random(31)
+    hot, warm = make_text(rng, 12).capitalize() + ".", make_text(rng, 15).capitalize() + "."
+    texts = {i: "\n".join([make_text(rng, 10), hot, hot, *([warm] if i % 7 == 0 else [])]) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = sorted((r.doc_id, r.text) for r in dedup_lines(df).collect())
+    assert sum(hot in t for _, t in want) == sum(warm in t for _, t in want) == 1
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", 10)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 4)
+    assert sorted((r.doc_id, r.text) for r in dedup_lines(df).collect()) == want
+
+
+def test_whole_lines_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(WHOLE_LINES_SQL).df()
+    assert sorted(map(tuple, dedup_whole_lines(spark, sf).select(*want.columns).collect())) == sorted(map(tuple, want.itertuples(index=False)))

@@ -1,15 +1,12 @@
-"""Near duplicates and repeated lines against brute force."""
+"""Near duplicates against brute force."""
 
 import random
 import re
-from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_buffers
+from tessera.llm.common import byte_buffers, segment_hashes_128
 from tessera.llm.components import components
-from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.near_dups import near_duplicates
 from tessera.llm.shingles import T, shingle_sets, sketches
 
@@ -76,8 +73,26 @@ def test_sketches_fill_and_estimate():
     s = sketches(np.concatenate([a, b, tiny]), np.cumsum([0, len(a), len(b), 1]))
     assert (s != np.uint64(2**64 - 1)).all()
     assert abs((s[0] == s[1]).mean() - 750 / 1250) < 4 * (0.6 * 0.4 / T) ** 0.5
-    hashes, offsets = shingle_sets(*byte_buffers(pa.array(["a b c d e a b c d e", "x", ""])))
-    assert np.diff(offsets).tolist() == [5, 1, 0]
+    for hashes, offsets in shingle_sets(*byte_buffers(pa.array(["a b c d e a b c d e", "x", ""]))):
+        assert np.diff(offsets).tolist() == [5, 1, 0]
+
+
+def mirrored(n, a="a", b="b"):
+    """Sequences that polynomials modulo a power of two do not tell apart: Thue and Morse's, and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+def test_mirrored_words_and_texts_are_no_copies(spark):
+    one, two = ("".join(x) for x in mirrored(1024))
+    rows = [(1, one), (2, two), (3, f"{one} stands here"), (4, f"{two} stands here")]
+    rows += [(5 + k, " ".join(x)) for k, x in enumerate(mirrored(1024, "ab", "cd"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in near_duplicates(df).collect()} == brute(dict(rows))
+    for long in (200, 256, 257, 1024):
+        raw, at = byte_buffers(pa.array(["".join(x) for x in mirrored(long)] * 2))
+        for h in segment_hashes_128(raw, at[:-1], at[1:]):
+            assert h[0] != h[1] and h[:2].tolist() == h[2:].tolist()
 
 
 def test_components_of_a_path_and_a_star(spark):
@@ -85,53 +100,3 @@ def test_components_of_a_path_and_a_star(spark):
     star = [(7, i) for i in range(200, 230)]
     got = {(r.node, r.label) for r in components(spark.createDataFrame(path + star, "u long, v long")).collect()}
     assert got == {(i, 100) for i in range(100, 141)} | {(i, 7) for i in [7, *range(200, 230)]}
-
-
-def test_repeated_passages_go_and_the_rest_stays(spark, make_text):
-    rng = random.Random(9)
-    sentence = lambda n: make_text(rng, n).capitalize() + "."
-    passage = " ".join(sentence(rng.randrange(9, 14)) for _ in range(6))
-    clean = {i: "\n".join(sentence(12) for _ in range(4)) for i in range(6)}
-    texts = {10: f"{sentence(11)}\n{passage}\n{sentence(10)}", 11: f"{sentence(9)} {passage} {sentence(9)}", 12: passage, **clean}
-    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, n_chars int")
-    got = {r.doc_id: r for r in dedup_lines(df).collect()}
-    assert all(got[i].text == clean[i] and not got[i].removed for i in clean)
-    assert got[10].text == texts[10]
-    assert passage not in got[11].text and got[12].text == ""
-    for i in (11, 12):
-        removed = "".join(texts[i][s.start : s.end] for s in got[i].removed)
-        assert removed == passage
-    assert got[11].n_chars == 1
-
-
-def test_short_lines_may_repeat(spark):
-    df = spark.createDataFrame([(i, f"The end.\nOf it.\nA line that only the document {i} holds among all of them here.") for i in range(5)], "doc_id long, text string")
-    assert all(not r.removed for r in dedup_lines(df).collect())
-
-
-def test_line_dedup_against_brute_force(spark, make_text):
-    rng = random.Random(12)
-    lines = [make_text(rng, 9) for _ in range(12)]
-    texts = {i: "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 6))) for i in range(30)}
-    seen, want = set(), {}
-    for i in sorted(texts):
-        kept = []
-        for line in texts[i].split("\n"):
-            if line not in seen:
-                kept.append(line)
-            seen.add(line)
-        want[i] = kept
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: [x for x in r.text.split("\n") if x] for r in dedup_lines(df).collect()} == want
-
-
-def test_line_dedup_odd_rows(odd_documents):
-    out = dedup_lines(odd_documents)
-    assert sorted(out.columns) == sorted(odd_documents.columns)
-    rows = out.orderBy("doc_id").collect()
-    assert len(rows) == 9
-    by_id = defaultdict(list)
-    for r in rows:
-        by_id[r.doc_id].append(r)
-    assert by_id[2][0].text is None and by_id[3][0].text == "" and [r.digest for r in rows] == ["x"] * 9
-    assert len(by_id[6]) == 2 and dedup_lines(odd_documents.where(F.lit(False))).count() == 0

@@ -36,6 +36,14 @@ def test_encode_and_decode(odd_documents):
     assert decoded == {(str(d), want(WORD, x)[1]) for d, x in texts}
 
 
+def test_words_that_a_polynomial_does_not_tell_apart(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = ["".join("ab"[x ^ y] for x in bits) for y in (0, 1)]
+    df = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, " ".join(texts))], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in encode(df, WORD).collect()}
+    assert got == {0: want(WORD, texts[0])[0], 1: want(WORD, texts[1])[0], 2: want(WORD, " ".join(texts))[0]}
+
+
 def test_digests(documents):
     texts = {r.doc_id: r.text for r in documents.collect()}
     for r in encode_digests(documents, WORD).collect():
