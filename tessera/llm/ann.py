@@ -1,19 +1,26 @@
 """Approximate nearest neighbours by a forest of hash-prefix trees.
 
 Each tree gives every vector a string of 64 bits: the signs of random projections against their
-medians. A tree is the array of its strings in order, cut by a fixed-length prefix into blocks that
-tasks hold one at a time. A query descends each tree to the longest prefixes its string shares, and
-besides in the neighbouring blocks that differ in the bits it is least sure of (probes). Ascending is
-synchronous: for every query, candidates of all trees and probes are taken level by level, the
-longest shared prefixes first, until enough are gathered. Every candidate is scored by its exact
-cosine in double precision.
-
-Equal vectors are one entry of the index, which keeps their k + 1 smallest ids: enough for any
-answer, however many copies there are. Blocks that near-equal vectors crowd are salted; partial
-answers of salted blocks add up.
-
-Isotropic random vectors are the worst case of any hash: to find 0.9 of the 5 nearest, a fifth or
-more of the table has to be scored. `probes` and `candidates` bound that work, N**0.8 by default.
+medians. A tree is the sorted array of its strings with the ids of their vectors, and nothing else;
+large ones are cut into shards by their first bits. A query descends each tree by binary search to the
+longest prefixes that its string shares with others, and likewise those of strings that differ in the
+bits it is least sure of (probes).
+
+1. Descent: every tree counts, for each query, the entries at every length of shared prefix.
+2. Ascent, synchronous over all trees and probes: the query's level is the longest prefix at which all
+   trees together hold `candidates` entries. What lies deeper is taken whole, of that level itself
+   as much as is left, from every tree in proportion. So no more than `candidates` entries are gathered;
+   only vectors that agree with the query in all 64 bits are taken whole, however many they are.
+3. The trees hand over the ids they gathered, by block of vectors, and only the vectors gathered are
+   scored, each once, by their exact cosine in double precision. The column `scored` counts them.
+
+Vectors are stored once, apart from the trees. Equal vectors are one entry of the index, which keeps
+their k + 1 smallest ids: enough for any answer, however many copies there are. Every cut keeps the
+best scores and among equal ones the smallest ids.
+
+Isotropic random vectors are the worst case of any hash: to find 0.9 of the 5 nearest, a quarter or
+more of the table has to be scored where it is small; `candidates` grows as N**0.8 by default. Where
+that is no less than the table, the table is scored whole.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; null ids take none either; a repeated row (id and vector) counts
@@ -35,26 +42,38 @@ from pyspark.sql import functions as F
 from .common import partitions, scratch, shared_dir, ship_code, written
 
 Batches = Iterator[pa.RecordBatch]
-TREES = 8
-PROBES = 40
+TREES = 16
+PROBES = 16
 BITS = 64
 SAMPLE = 4096
-LEVELS = 12
-#: A block is split when it holds more rows than this.
-MOST_ROWS = 8192
-ENTRIES = "kind int, tree int, prefix long, code long, id long, vector binary"
-FOUND = "query long, level int, n long, ids array<long>, scores array<double>"
+#: Bits from the top among which a probe may differ from the query's string.
+PROBED_BITS = 12
+#: Entries that a shard of a tree should have at most, and bits that cut shards at most.
+SHARD_ROWS = 1 << 21
+MOST_SHARD_BITS = 16
+#: Levels that are told apart below the length at which a shard's entries are expected to be alone.
+DEEPER = 8
+#: Vectors in a block, as a power of two.
+BLOCK_BITS = 11
+TOP = np.uint64(1 << 63)
+ENTRIES = "tree int, shard long, kind int, a long, b long"
+COUNTS = "query long, tree int, shard long, counts array<long>, codes array<long>"
+REQUESTS = "query long, tree int, shard long, codes array<long>, inner int, outer int, extra long"
+GATHERED = "block long, query long, rows binary"
+SCORED = "query long, cid long, first long, score double, scored long"
 
 
-def prefix_bits(n: int) -> int:
-    """Bits of the prefix that cuts a tree of n entries into blocks: few for small trees, then slow to grow."""
-    if n < 128:
-        return 0
-    return max(0, min(int(math.log2(n / 64)), round(0.2 * math.log2(n) + 6)))
+def candidates_for(n: int) -> int:
+    return math.ceil(5.25 * n**0.8)
 
 
-def candidates_for(n: int) -> int:
-    return math.ceil(12 * n**0.8)
+def shard_bits(n: int) -> int:
+    return min(MOST_SHARD_BITS, max(0, math.ceil(math.log2(max(1, n) / SHARD_ROWS))))
+
+
+def levels_of(n: int, s: int) -> list[int]:
+    """The prefix lengths that are told apart within a shard, in ascending order."""
+    return [*range(s, min(BITS, math.ceil(math.log2(max(2, n))) + DEEPER)), BITS]
 
 
 class Forest:
@@ -77,9 +96,17 @@ def codes_of(margins: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)[:, 0]
 
 
-def matrix(batch: pa.RecordBatch) -> np.ndarray:
-    values = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(batch.num_rows, -1)
+def signed(codes: np.ndarray) -> np.ndarray:
+    """As signed numbers in the same order."""
+    return (codes ^ TOP).view(np.int64)
+
+
+def unsigned(values: np.ndarray) -> np.ndarray:
+    return values.view(np.uint64) ^ TOP
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -88,145 +115,213 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def entries(kind: int, tree: int, codes: np.ndarray, p: int, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
-    n, raw, width = len(codes), x.astype(np.float64).tobytes(), 8 * x.shape[1]
-    prefix = (codes >> np.uint64(BITS - p)).astype(np.int64) if p else np.zeros(n, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, kind, np.int32)),
-            pa.array(np.full(n, tree, np.int32)),
-            pa.array(prefix),
-            pa.array((codes ^ np.uint64(1 << 63)).view(np.int64)),  # ordered as unsigned
-            ids,
-            pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary()),
-        ],
-        ["kind", "tree", "prefix", "code", "id", "vector"],
-    )
+def shard_of(codes: np.ndarray, s: int) -> np.ndarray:
+    return (codes >> np.uint64(BITS - s)).astype(np.int64) if s else np.zeros(codes.shape, np.int64)
+
 
+def entries(tree: int, kind: int, s: int, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Entries of a tree are (string, id); probes (id of the query, string)."""
+    n, pair = len(codes), (signed(codes), ids)
+    arrays = [np.full(n, tree, np.int32), shard_of(codes, s), np.full(n, kind, np.int32), *(pair if kind == 0 else pair[::-1])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["tree", "shard", "kind", "a", "b"])
 
-def hash_rows(batches: Batches, forest: Forest, p: int) -> Batches:
+
+def hash_rows(batches: Batches, forest: Forest, s: int) -> Batches:
     for batch in batches:
         for k in range(0, batch.num_rows, 2048):
             part = batch.slice(k, 2048)
-            x = matrix(part)
-            u = unit(x)
+            u, ids = unit(matrix(part.column("embedding"))), np.asarray(part.column("cid"))
             for tree in range(len(forest.planes)):
-                yield entries(0, tree, codes_of(forest.margins(u, tree)), p, part.column("id"), x)
+                yield entries(tree, 0, s, codes_of(forest.margins(u, tree)), ids)
 
 
-def probe_rows(batches: Batches, forest: Forest, p: int, probes: int) -> Batches:
-    """Each query's own string and those that differ in the least certain bits of the prefix."""
+def probe_rows(batches: Batches, forest: Forest, s: int, probes: int) -> Batches:
+    """Each query's own string and those that differ in the least certain of the first bits."""
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
-            x = matrix(part)
-            u = unit(x)
+            u, ids = unit(matrix(part.column("embedding"))), np.asarray(part.column("cid"))
             for tree in range(len(forest.planes)):
                 margins = forest.margins(u, tree)
                 codes = codes_of(margins)
-                unsure = np.argsort(np.abs(margins[:, :p]), axis=1)[:, : min(p, 12)]
+                unsure = np.argsort(np.abs(margins[:, :PROBED_BITS]), axis=1)[:, :10]
                 w = unsure.shape[1]
                 masks = (np.arange(1 << w)[:, None] >> np.arange(w)) & 1
-                cost = np.take_along_axis(np.abs(margins[:, :p]), unsure, axis=1) ** 2 @ masks.T
+                cost = np.take_along_axis(np.abs(margins), unsure, axis=1) ** 2 @ masks.T
                 best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
                 weight = np.uint64(1) << (np.uint64(BITS - 1) - unsure.astype(np.uint64))
-                for r in range(best.shape[1]):
-                    flip = (masks[best[:, r]].astype(np.uint64) * weight).sum(axis=1, dtype=np.uint64)
-                    yield entries(1, tree, codes ^ flip, p, part.column("id"), x)
+                flips = (masks[best].astype(np.uint64) * weight[:, None, :]).sum(axis=2, dtype=np.uint64)
+                yield entries(tree, 1, s, (codes[:, None] ^ flips).ravel(), np.repeat(ids, best.shape[1]))
 
 
-def shared_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common prefix of unsigned 64-bit strings."""
-    x = a ^ b
-    out = np.zeros(x.shape, np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        small = x < (np.uint64(1) << np.uint64(BITS - step))
-        out += step * small
-        x = np.where(small, x << np.uint64(step), x)
-    return out + (x == 0)
+def ranges(tree: np.ndarray, codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the entries begin and end that share `level` bits with each string."""
+    if level == 0:
+        return np.zeros(len(codes), np.int64), np.full(len(codes), len(tree), np.int64)
+    rest = np.uint64((1 << BITS - level) - 1)
+    return np.searchsorted(tree, codes & ~rest), np.searchsorted(tree, codes | rest, side="right")
 
 
-def search_blocks(batches: Batches, p: int, k: int) -> Batches:
-    """Rows of a block stand together, indexed ones first and in order of their strings."""
+def shards(batches: Batches, size: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(tree, shard, its strings, its ids, some of its queries): rows of a shard stand together, entries first."""
     key, held, sealed = None, [], None
     for batch in batches:
-        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("tree", "prefix", "salt", "kind")])
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("tree", "shard", "kind")])
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, batch.num_rows).tolist()):
-            if b == a:
+        for x, y in zip(np.append(0, cuts).tolist(), np.append(cuts, batch.num_rows).tolist()):
+            if y == x:
                 continue
-            now, part = tuple(keys[:3, a].tolist()), batch.slice(a, b - a)
+            now, part = tuple(keys[:2, x].tolist()), batch.slice(x, y - x)
             if now != key:
                 key, held, sealed = now, [], None
-            if keys[3, a] == 0:
-                held.append(part)
-                continue
-            if not held:
+            if keys[2, x] == 0:
+                held.append((np.asarray(part.column("a")), np.asarray(part.column("b"))))
                 continue
             if sealed is None:
-                sealed = columns(held)
-            for at in range(0, part.num_rows, 256):
-                yield from nearest_in_block(columns([part.slice(at, 256)]), sealed, p, k)
-
-
-def columns(parts: list[pa.RecordBatch]):
-    codes = np.concatenate([np.asarray(x.column("code")) for x in parts]).view(np.uint64) ^ np.uint64(1 << 63)
-    ids = np.concatenate([np.asarray(x.column("id")) for x in parts])
-    raw = b"".join(v for x in parts for v in x.column("vector").to_pylist())
-    return codes, ids, unit(np.frombuffer(raw, np.float64).reshape(len(ids), -1))
-
-
-def nearest_in_block(queries, indexed, p: int, k: int) -> Batches:
-    codes, ids, u = queries
-    block_codes, block_ids, block_u = indexed
-    score = u @ block_u.T
-    level = np.minimum(shared_prefix(codes[:, None], block_codes[None, :]) - p, LEVELS - 1)
-    out = []
-    for lv in np.unique(level):
-        here = level == lv
-        n = here.sum(axis=1)
-        masked = np.where(here, score, -np.inf)
-        width = min(k, masked.shape[1])
-        top = np.argpartition(-masked, width - 1, axis=1)[:, :width]
-        for i in np.flatnonzero(n).tolist():
-            some = top[i, : min(width, n[i])] if n[i] >= width else np.flatnonzero(here[i])
-            exact = np.einsum("ij,j->i", block_u[some], u[i])
-            out.append((int(ids[i]), int(lv), int(n[i]), block_ids[some].tolist(), exact.tolist()))
-    if out:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["query", "level", "n", "ids", "scores"])
-
-
-def ascend(batches: Batches, enough: int, k: int) -> Batches:
-    """Rows of a query stand together: gather level by level, over all trees, until enough are found."""
-    query, levels = None, {}
-
-    def answer():
-        total, best = 0, {}
-        for lv in sorted(levels, reverse=True):
-            n, found = levels[lv]
-            total += n
-            best.update(found)
-            if total >= enough:
-                break
-        top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([query] * len(top), pa.int64()), pa.array([x for x, _ in top], pa.int64()), pa.array([s for _, s in top], pa.float64())],
-            ["query", "id", "score"],
+                codes, ids = (np.concatenate([h[k] for h in held] or [np.zeros(0, np.int64)]) for k in (0, 1))
+                sealed, held = (unsigned(codes), ids), []
+            for at in range(0, part.num_rows, size):
+                yield *key, *sealed, part.slice(at, size)
+
+
+def descend(batches: Batches, levels: list[int]) -> Batches:
+    """Of each query, in each shard that it probes: the entries at every level. A query that two batches
+    part gives two rows, and prefixes that both know count twice: rows are ordered by query, so few are."""
+    for tree, shard, strings, _, part in shards(batches):
+        query, codes = np.asarray(part.column("a")), unsigned(np.asarray(part.column("b")))
+        lead = np.append(True, query[1:] != query[:-1])
+        number = np.cumsum(lead) - 1
+        counts = np.zeros((number[-1] + 1, len(levels)), np.int64)
+        for j, level in enumerate(levels):
+            prefix = codes >> np.uint64(BITS - level) if level else np.zeros_like(codes)
+            new = np.flatnonzero(lead | np.append(True, prefix[1:] != prefix[:-1]))
+            lo, hi = ranges(strings, codes[new], level)
+            np.add.at(counts[:, j], number[new], hi - lo)
+        ends = np.append(np.flatnonzero(lead), len(query)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, len(levels), dtype=np.int32)), pa.array(counts.reshape(-1)))
+        n = len(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query[lead]), pa.array(np.full(n, tree, np.int32)), pa.array(np.full(n, shard)), lists, pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(codes)))],
+            ["query", "tree", "shard", "counts", "codes"],
         )
 
+
+def ascend(row: dict, levels: list[int], s: int, enough: int, n: int, trees: int, sizes: np.ndarray) -> Iterator[tuple]:
+    """The requests (query, tree, shard, codes, inner, outer, extra) of a query: what shares `inner` bits
+    is taken whole, of the rest that shares `outer` bits `extra` entries. sizes: entries by tree and shard."""
+    query, seen = row["query"], row["seen"]
+    if enough >= n:  # the table whole: one tree holds it
+        for shard in np.flatnonzero(sizes[0]).tolist():
+            yield query, 0, shard, [], s, s, 0
+        return
+    counts = np.array([r["counts"] for r in seen], np.int64)
+    total = counts.sum(axis=0)
+    reached = np.flatnonzero(total >= enough)
+    if len(reached):
+        j = int(reached[-1])
+        if j + 1 == len(levels):  # that many agree in every bit
+            inner, left = BITS, 0
+            more = np.zeros(len(seen), np.int64)
+        else:
+            inner, left = levels[j + 1], enough - int(total[j + 1])
+            more = counts[:, j] - counts[:, j + 1]
+        share = left / max(1, int(more.sum()))
+        for r, m in zip(seen, more.tolist()):
+            yield query, r["tree"], r["shard"], r["codes"], inner, levels[j], int(m * share)
+        return
+    # above the shards: those that share a prefix whole, of the last level's in proportion
+    probed = {(r["tree"], r["shard"]) for r in seen}
+    taken = probed
+    for p in range(s - 1, -1, -1):
+        wider = {(t, x) for t, y in {(t, y >> (s - p)) for t, y in probed} for x in range(y << (s - p), (y + 1) << (s - p))}
+        if sum(int(sizes[x]) for x in wider) >= enough or p == 0:
+            break
+        taken = wider
+    for t, x in taken:
+        yield query, t, x, [], s, s, 0
+    left, new = enough - sum(int(sizes[x]) for x in taken), wider - taken
+    share = min(1.0, left / max(1, sum(int(sizes[x]) for x in new)))
+    for t, x in new:
+        yield query, t, x, [], BITS + 1, s, int(sizes[t, x] * share)
+
+
+def choose(batches: Batches, levels: list[int], s: int, enough: int, n: int, trees: int, sizes: np.ndarray) -> Batches:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64()]
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            rows = [x for r in batch.slice(k, 64).to_pylist() for x in ascend(r, levels, s, enough, n, trees, sizes)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["query", "tree", "shard", "codes", "inner", "outer", "extra"])
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers in ranges that are the same or apart, each once."""
+    some = hi > lo
+    lo, hi = np.unique(lo[some]), np.unique(hi[some])
+    size = hi - lo
+    return np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+
+
+def gather(batches: Batches, s: int) -> Batches:
+    """The ids that a shard hands over to a query, as rows of blocks of vectors."""
+    for _, _, strings, ids, part in shards(batches, 256):
+        found = []
+        for query, codes, inner, outer, extra in zip(*(part.column(c).to_pylist() for c in ("a", "codes", "inner", "outer", "extra"))):
+            codes = unsigned(np.array(codes, np.int64)) if codes else np.zeros(1, np.uint64)
+            deep = np.zeros(0, np.int64)
+            if inner <= s:
+                deep = np.arange(len(strings))
+            elif inner <= BITS:
+                deep = spread(*ranges(strings, codes, inner))
+            if extra:
+                wide = np.arange(len(strings)) if outer <= s else spread(*ranges(strings, codes, outer))
+                rest = np.setdiff1d(wide, deep, assume_unique=True)
+                some = min(extra, len(rest))
+                deep = np.append(deep, rest[np.arange(some) * len(rest) // max(1, some)])
+            if not len(deep):
+                continue
+            own = np.sort(ids[deep])
+            block = own >> BLOCK_BITS
+            cuts = np.append(0, np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(own)))
+            raw = (own & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes()
+            found += [(int(block[a]), query, raw[2 * a : 2 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], ["block", "query", "rows"])
+
+
+def score(batches: Batches, k: int) -> Batches:
+    """Rows of a block stand together, its vectors (kind 0) first: the k best of each query's candidates
+    there, by score and then by their smallest id."""
+    key, held, sealed = None, [], None
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            for r in batch.slice(at, 1024).to_pylist():
-                if r["query"] != query:
-                    if levels:
-                        yield answer()
-                    query, levels = r["query"], {}
-                n, found = levels.get(r["level"], (0, {}))
-                found.update(zip(r["ids"], r["scores"]))
-                levels[r["level"]] = (n + r["n"], found)
-    if levels:
-        yield answer()
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("block", "kind")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for x, y in zip(np.append(0, cuts).tolist(), np.append(cuts, batch.num_rows).tolist()):
+            if y == x:
+                continue
+            now, part = int(keys[0, x]), batch.slice(x, y - x)
+            if now != key:
+                key, held, sealed = now, [], None
+            if keys[1, x] == 0:
+                held.append(part)
+                continue
+            if sealed is None:
+                ids = np.concatenate([np.asarray(h.column("id")) for h in held])
+                firsts = np.concatenate([np.asarray(h.column("first")) for h in held])
+                place = np.full(1 << BLOCK_BITS, -1)
+                place[ids & ((1 << BLOCK_BITS) - 1)] = np.arange(len(ids))
+                sealed, held = (ids, firsts, place, unit(np.concatenate([matrix(h.column("embedding")) for h in held]))), []
+            ids, firsts, place, block = sealed
+            for at in range(0, part.num_rows, 128):
+                some = part.slice(at, 128)
+                u, out = unit(matrix(some.column("embedding"))), []
+                for i, (query, lists) in enumerate(zip(some.column("id").to_pylist(), some.column("rows").to_pylist())):
+                    rows = place[np.unique(np.frombuffer(b"".join(lists), "<u2"))]
+                    s = np.einsum("ij,j->i", block[rows], u[i])
+                    best = np.lexsort((firsts[rows], -s))[:k]
+                    out += [(query, c, f, v, len(rows) if j == 0 else 0) for j, (c, f, v) in enumerate(zip(ids[rows[best]].tolist(), firsts[rows[best]].tolist(), s[best].tolist()))]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["query", "cid", "first", "score", "scored"])
 
 
 def nearest(
@@ -240,9 +335,10 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row for which `is_query` holds.
+    """query_id, rank, vec_id, score, scored: the k nearest found of every row for which `is_query` holds.
 
-    The result is written to the shared folder; the forest is deleted.
+    candidates: entries that all trees together may hand over for a query. The result is written to the
+    shared folder; the forest is deleted.
     """
     spark = vectors.sparkSession
     ship_code(spark)
@@ -253,50 +349,84 @@ def nearest(
     return spark.read.schema(out.schema).parquet(path)
 
 
+def vector_classes(rows: DataFrame, k: int) -> DataFrame:
+    """cid, embedding, members (the k + 1 smallest ids): a row for each distinct vector, numbered."""
+    first = W.partitionBy("embedding").orderBy("id")
+    kept = rows.select("embedding", "id").distinct().withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
+    classes = kept.groupBy("embedding").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return written(classes.select(F.monotonically_increasing_id().alias("cid"), "embedding", "members"), "vectors")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int, trees: int, probes: int, candidates: int | None, seed: int, id_col: str, vector_col: str) -> DataFrame:
     spark = vectors.sparkSession
     n_parts = partitions(spark)
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"), is_query.alias("asks")
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), is_query.alias("asks")
     ).where("id is not null and embedding is not null and size(embedding) > 0")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite & F.exists("embedding", lambda x: x != 0))
     sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, scored long")
     rows = rows.where(F.size("embedding") == sizes[0]["d"])
-    first = W.partitionBy("embedding").orderBy("id")
-    distinct = rows.groupBy("embedding", "id").agg(F.max("asks").alias("asks"))
-    kept = distinct.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
-    members = kept.groupBy("embedding").agg(F.array_sort(F.collect_list("id")).alias("members"))
-    asking = distinct.groupBy("embedding").agg(F.max("asks").alias("asks"))
-    classes = members.join(asking, "embedding").select(F.col("members")[0].alias("first"), F.xxhash64("embedding").alias("h"), "embedding", "members", "asks")
-    # an id may have several vectors, so an entry's own id is a hash of its vector
-    classes = written(classes.select(F.col("h").alias("id"), "embedding", "members", "asks"), "vectors")
+    classes = vector_classes(rows, k)
     n = classes.count()
-    p = prefix_bits(n)
-    sample = classes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("embedding").toPandas()["embedding"]
+    asking = rows.where("asks").select(F.col("id").alias("query_id"), "embedding").distinct()
+    asking = written(asking.join(classes.select("cid", "embedding"), "embedding").select("query_id", F.col("cid").alias("query")), "asking")
+    queries = classes.join(asking.select(F.col("query").alias("cid")).distinct(), "cid").select("cid", "embedding")
+    sample = classes.orderBy(F.xxhash64("cid")).limit(SAMPLE).select("embedding").toPandas()["embedding"]
     forest = spark.sparkContext.broadcast(Forest(unit(np.stack(sample.to_list()).astype(np.float64)), trees, BITS, seed))
-    index = written(classes.select("id", "embedding").mapInArrow(lambda b: hash_rows(b, forest.value, p), ENTRIES), "forest")
-    asked = classes.where("asks").select("id", "embedding").mapInArrow(lambda b: probe_rows(b, forest.value, p, probes), ENTRIES)
-    salts = index.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / MOST_ROWS).cast("int").alias("salts"))
-    placed = index.join(salts, ["tree", "prefix"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    sent = asked.join(salts, ["tree", "prefix"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    columns_ = ["tree", "prefix", "salt", "kind", "code", "id", "vector"]
-    blocks = placed.select(columns_).unionByName(sent.select(columns_)).repartition(n_parts, "tree", "prefix", "salt")
-    found = blocks.sortWithinPartitions("tree", "prefix", "salt", "kind", "code").mapInArrow(lambda b: search_blocks(b, p, k + 1), FOUND)
-    enough = candidates or candidates_for(n)
-    answers = found.repartition(n_parts, "query").sortWithinPartitions("query").mapInArrow(
-        lambda b: ascend(b, enough, k + 1), "query long, id long, score double"
+
+    s = shard_bits(n)
+    levels, enough = levels_of(n, s), candidates or candidates_for(n)
+    index = written(classes.select("cid", "embedding").mapInArrow(lambda b: hash_rows(b, forest.value, s), ENTRIES), "forest")
+    probed = queries.mapInArrow(lambda b: probe_rows(b, forest.value, s, probes), ENTRIES)
+    both = index.unionByName(probed).repartition(n_parts, "tree", "shard").sortWithinPartitions("tree", "shard", "kind", "a", "b")
+    counts = both.mapInArrow(lambda b: descend(b, levels), COUNTS)
+    # a number for each shard: trees * 2**MOST_SHARD_BITS at most
+    held = np.zeros((trees, 1 << s), np.int64)
+    for r in index.groupBy("tree", "shard").agg(F.count("*").alias("n")).collect():
+        held[r["tree"], r["shard"]] = r["n"]
+    held = spark.sparkContext.broadcast(held)
+    seen = counts.groupBy("query").agg(F.collect_list(F.struct("tree", "shard", "counts", "codes")).alias("seen"))
+    requests = seen.mapInArrow(lambda b: choose(b, levels, s, enough, n, trees, held.value), REQUESTS)
+
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("codes", "array<long>"), ("inner", "int"), ("outer", "int"), ("extra", "long"))]
+    sent = index.select("tree", "shard", "kind", "a", "b", *nothing).unionByName(
+        requests.select("tree", "shard", F.lit(1).alias("kind"), F.col("query").alias("a"), F.lit(0).cast("long").alias("b"), "codes", "inner", "outer", "extra")
     )
-    lists = answers.join(classes.select("id", "members"), "id").select("query", "score", F.explode("members").alias("vec_id"))
-    nearest_of_class = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    lists = lists.withColumn("rn", F.row_number().over(nearest_of_class)).where(F.col("rn") <= k + 1).drop("rn")
-    queries = distinct.where("asks").select(F.col("id").alias("query_id"), F.xxhash64("embedding").alias("query")).distinct()
-    pairs = queries.join(lists, "query").where("query_id <> vec_id")
+    gathered = sent.repartition(n_parts, "tree", "shard").sortWithinPartitions("tree", "shard", "kind", "a", "b").mapInArrow(lambda b: gather(b, s), GATHERED)
+    wanted = gathered.groupBy("block", "query").agg(F.collect_list("rows").alias("rows")).join(queries.withColumnRenamed("cid", "query"), "query")
+    wanted = wanted.select("block", F.lit(1).alias("kind"), F.col("query").alias("id"), F.lit(None).cast("long").alias("first"), "embedding", "rows")
+    stored = classes.select(
+        F.shiftright("cid", BLOCK_BITS).alias("block"), F.lit(0).alias("kind"), F.col("cid").alias("id"), F.col("members")[0].alias("first"), "embedding",
+        F.lit(None).cast("array<binary>").alias("rows"),
+    )
+    blocks = stored.unionByName(wanted).repartition(n_parts, "block").sortWithinPartitions("block", "kind")
+    scored = written(blocks.mapInArrow(lambda b: score(b, k + 1), SCORED), "scored")
+
+    work = scored.groupBy("query").agg(F.sum("scored").alias("scored"))
+    best = W.partitionBy("query").orderBy(F.desc("score"), "first")
+    answers = scored.drop("scored").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1)
+    lists = answers.join(classes.select("cid", "members"), "cid").select("query", "score", F.explode("members").alias("vec_id"))
+    pairs = asking.join(lists, "query").where("query_id <> vec_id")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.join(work, "query").select("query_id", "rank", "vec_id", "score", "scored")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def ann_of_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours with rounded scores. Tables of under 4,000 vectors are searched whole, so that SQL gives the same."""
+    return op1_ann(spark, sf_dir).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+FEW_SQL = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS score FROM e q, e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM p) WHERE rn <= 5
+"""

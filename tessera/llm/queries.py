@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .ann import op1_ann
+from .ann import FEW_SQL, ann_of_few, op1_ann
 from .bpe import op3_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontam import op2_decontam
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
+    "ann_of_few": ann_of_few,
     "dedup_whole_lines": dedup_whole_lines,
 }
-ORACLES: dict[str, str] = {"dedup_whole_lines": WHOLE_LINES_SQL, "op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {"ann_of_few": FEW_SQL, "dedup_whole_lines": WHOLE_LINES_SQL, "op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL}

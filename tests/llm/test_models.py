@@ -1,12 +1,16 @@
 """Neighbours, decontamination, languages and toxicity; held-out accuracy where nothing exact exists."""
 
 import random
+from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.ann import nearest, op1_ann, shared_prefix
+from tessera.llm import ann
+from tessera.llm.ann import FEW_SQL, ann_of_few, nearest, op1_ann, ranges, spread
 from tessera.llm.decontam import decontaminate, find_leaks, lcs
 from tessera.llm.lang_id import identify, learn, op7_lang_id
 from tessera.llm.toxicity import best_threshold, judge, op8_toxicity, score, train
@@ -38,19 +42,81 @@ def test_nearest_odd_rows(spark):
     assert not set(got.vec_id) & {900, 901, 902, 903, 904, 905}
     assert list(got[got.query_id == 0].sort_values("rank").vec_id) == [300, 301, 302, 303, 304]
     assert list(got[got.query_id == 300].sort_values("rank").vec_id) == [0, 301, 302, 303, 304]
-    assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
     few = nearest(df.where("vec_id in (0, 1)"), F.col("vec_id") == 0).collect()
     assert [r.vec_id for r in few] == [1]
 
 
-def test_ascending_stops_when_enough_is_found(spark):
-    # a query finds itself first, once a tree
+def brute_neighbours(x, ids, queries, k=5):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        score = np.round(unit @ unit[ids == q][0], 12)
+        out[q] = [int(v) for _, v in sorted(zip(-score, ids)) if v != q][:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["one-hot", "signs", "doubles"])
+def test_ties_go_to_the_smaller_id(spark, kind):
+    rng = np.random.default_rng(9)
+    if kind == "one-hot":
+        x = np.eye(40)
+    elif kind == "signs":
+        x = rng.choice([-1.0, 1.0], (400, 6))
+    else:  # apart only beyond single precision
+        x = np.tile(rng.normal(size=(1, 8)), (60, 1))
+        x[:, 0] += rng.permutation(60) * 1e-11
+        x[50:] = rng.normal(size=(10, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect()
+    found = defaultdict(list)
+    for r in got:
+        found[r.query_id].append(r.vec_id)
+    if kind == "doubles":
+        assert all(r.score > 0.99999999 for r in got if r.query_id < 50) and len({tuple(v) for v in x}) == 60
+    else:
+        assert found == brute_neighbours(x, np.arange(len(x)), range(0, len(x), 10))
+
+
+def test_few_vectors_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = con.execute(FEW_SQL).df()
+    assert sorted(map(tuple, ann_of_few(spark, sf).select(*want.columns).collect())) == sorted(map(tuple, want.itertuples(index=False)))
+
+
+def test_candidates_bound_the_vectors_scored(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=16)]) for i in range(600)], "vec_id long, embedding array<float>")
-    few = nearest(df, F.col("vec_id") % 50 == 0, trees=2, probes=1, candidates=30).count()
-    assert 0 < few <= nearest(df, F.col("vec_id") % 50 == 0, trees=2, probes=1, candidates=10**9).count()
-    a = np.array([0, 1, 1 << 63, 0b1011 << 60], np.uint64)
-    assert shared_prefix(a, np.array([0, 0, 0, 0b1010 << 60], np.uint64)).tolist() == [64, 63, 0, 3]
+    centers = rng.normal(size=(40, 16))
+    x = centers[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    asks = F.col("vec_id") % 50 == 0
+    want = brute_neighbours(x, np.arange(3000), range(0, 3000, 50))
+
+    def recall(rows):
+        return sum(r.vec_id in want[r.query_id] for r in rows) / 300
+
+    for bits in (0, 4):  # one shard a tree, and many
+        monkeypatch.setattr(ann, "shard_bits", lambda n, bits=bits: bits)
+        shares = []
+        for enough in (30, 300, 1500):
+            rows = nearest(df, asks, candidates=enough).collect()
+            assert 0 < max(r.scored for r in rows) <= enough
+            shares.append(recall(rows))
+        assert shares == sorted(shares) and shares[0] < shares[2] and shares[2] >= 0.95
+    assert recall(nearest(df, asks, candidates=3000).collect()) == 1.0
+
+
+def test_vectors_of_one_string_are_all_scored(spark):
+    # more than `candidates` agree in all bits: none is left out
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.ones((300, 8)) + 1e-9 * rng.normal(size=(300, 8)), rng.normal(size=(700, 8))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = nearest(df, F.col("vec_id") == 0, candidates=100).collect()
+    assert len(rows) == 5 and rows[0].scored >= 250
+    a = np.array([5, 5, 5, 8], np.uint64)
+    lo, hi = ranges(a, np.array([5, 5, 6], np.uint64), 64)
+    assert spread(lo, hi).tolist() == [0, 1, 2] and spread(*ranges(a, a, 0)).tolist() == [0, 1, 2, 3]
 
 
 def plain_lcs(a, b):
