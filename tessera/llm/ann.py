@@ -53,8 +53,9 @@ SHARD_ROWS = 1 << 21
 MOST_SHARD_BITS = 16
 #: Levels that are told apart below the length at which a shard's entries are expected to be alone.
 DEEPER = 8
-#: Vectors in a block, as a power of two.
-BLOCK_BITS = 11
+#: Vectors in a block, about, and the bits of an id that number them there.
+BLOCK_ROWS = 2048
+BLOCK_BITS = 16
 TOP = np.uint64(1 << 63)
 ENTRIES = "tree int, shard long, kind int, a long, b long"
 COUNTS = "query long, tree int, shard long, counts array<long>, codes array<long>"
@@ -308,7 +309,7 @@ def score(batches: Batches, k: int) -> Batches:
             if sealed is None:
                 ids = np.concatenate([np.asarray(h.column("id")) for h in held])
                 firsts = np.concatenate([np.asarray(h.column("first")) for h in held])
-                place = np.full(1 << BLOCK_BITS, -1)
+                place = np.zeros(1 << BLOCK_BITS, np.int64)
                 place[ids & ((1 << BLOCK_BITS) - 1)] = np.arange(len(ids))
                 sealed, held = (ids, firsts, place, unit(np.concatenate([matrix(h.column("embedding")) for h in held]))), []
             ids, firsts, place, block = sealed
@@ -349,12 +350,15 @@ def nearest(
     return spark.read.schema(out.schema).parquet(path)
 
 
-def vector_classes(rows: DataFrame, k: int) -> DataFrame:
-    """cid, embedding, members (the k + 1 smallest ids): a row for each distinct vector, numbered."""
+def vector_classes(rows: DataFrame, k: int, blocks: int) -> DataFrame:
+    """cid, embedding, members (the k + 1 smallest ids): a row for each distinct vector. Blocks are dealt
+    by hash; an id is the block and the place in it."""
     first = W.partitionBy("embedding").orderBy("id")
     kept = rows.select("embedding", "id").distinct().withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
     classes = kept.groupBy("embedding").agg(F.array_sort(F.collect_list("id")).alias("members"))
-    return written(classes.select(F.monotonically_increasing_id().alias("cid"), "embedding", "members"), "vectors")
+    classes = classes.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(blocks)))
+    place = F.row_number().over(W.partitionBy("block").orderBy(F.col("members")[0], F.xxhash64("embedding"))) - 1
+    return written(classes.select((F.shiftleft("block", BLOCK_BITS) + place).alias("cid"), "embedding", "members"), "vectors")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int, trees: int, probes: int, candidates: int | None, seed: int, id_col: str, vector_col: str) -> DataFrame:
@@ -369,7 +373,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, trees: int, probes: int
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, scored long")
     rows = rows.where(F.size("embedding") == sizes[0]["d"])
-    classes = vector_classes(rows, k)
+    classes = vector_classes(rows, k, -(-sizes[0]["n"] // BLOCK_ROWS))
     n = classes.count()
     asking = rows.where("asks").select(F.col("id").alias("query_id"), "embedding").distinct()
     asking = written(asking.join(classes.select("cid", "embedding"), "embedding").select("query_id", F.col("cid").alias("query")), "asking")

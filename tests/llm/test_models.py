@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann
-from tessera.llm.ann import FEW_SQL, ann_of_few, nearest, op1_ann, ranges, spread
+from tessera.llm.ann import FEW_SQL, ann_of_few, ascend, nearest, op1_ann, ranges, spread
 from tessera.llm.decontam import decontaminate, find_leaks, lcs
 from tessera.llm.lang_id import identify, learn, op7_lang_id
 from tessera.llm.toxicity import best_threshold, judge, op8_toxicity, score, train
@@ -107,13 +107,13 @@ def test_candidates_bound_the_vectors_scored(spark, monkeypatch):
     assert recall(nearest(df, asks, candidates=3000).collect()) == 1.0
 
 
-def test_vectors_of_one_string_are_all_scored(spark):
+def test_vectors_of_one_string_are_all_gathered():
     # more than `candidates` agree in all bits: none is left out
-    rng = np.random.default_rng(6)
-    x = np.concatenate([np.ones((300, 8)) + 1e-9 * rng.normal(size=(300, 8)), rng.normal(size=(700, 8))])
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    rows = nearest(df, F.col("vec_id") == 0, candidates=100).collect()
-    assert len(rows) == 5 and rows[0].scored >= 250
+    seen = [{"tree": t, "shard": 0, "counts": [1000, 400, 300], "codes": [1]} for t in range(2)]
+    row = {"query": 1, "seen": seen}
+    assert [x[4:] for x in ascend(row, [0, 5, 64], 0, 500, 1000, 2, np.full((2, 1), 1000))] == [(64, 64, 0)] * 2
+    assert [x[4:] for x in ascend(row, [0, 5, 64], 0, 700, 1000, 2, np.full((2, 1), 1000))] == [(64, 5, 50)] * 2
+    assert [x[1:3] + x[4:] for x in ascend(row, [0, 5, 64], 0, 1000, 1000, 2, np.full((2, 1), 1000))] == [(0, 0, 0, 0, 0)]
     a = np.array([5, 5, 5, 8], np.uint64)
     lo, hi = ranges(a, np.array([5, 5, 6], np.uint64), 64)
     assert spread(lo, hi).tolist() == [0, 1, 2] and spread(*ranges(a, a, 0)).tolist() == [0, 1, 2, 3]
