@@ -6,8 +6,8 @@ counts alike, and takes the language that compresses it best. Where the best and
 by less than `margin` of the size, the text is rejected (`und`).
 
 Dictionaries come from a bounded sample: of every language the `sample_docs` rows whose ids hash
-smallest, `sample_chars` characters of each, cut to `dictionary_bytes`. The rows to predict are read
-whole.
+smallest, `sample_chars` characters of each, cut to `dictionary_bytes`. Languages are counted first; only
+rows under a hash that follows from the count are ranked. The rows to predict are read whole.
 
 Defined results: null texts and texts without a letter are `und` with score 0; where nothing can be
 learned every text is; ties between languages (very short texts) go to the one whose dictionary holds more of the words, then
@@ -50,16 +50,25 @@ def letters(text: str) -> bytes:
     return f" {NO_LETTERS.sub(' ', text.lower()).strip()} ".encode()
 
 
-def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def learn(
+    labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, sample_chars: int = SAMPLE_CHARS, most_languages: int = MOST_LANGUAGES
+) -> dict[str, bytes]:
     """Dictionary of each language of `labelled` (doc_id, lang, text)."""
-    order = F.struct(F.xxhash64("doc_id"), F.col("doc_id"))
-    rows = labelled.where("lang is not null and text is not null").withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy(order)))
-    rows = rows.where(F.col("rn") <= sample_docs).select("lang", "rn", F.substring("text", 1, sample_chars).alias("text"))
+    rows = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", "lang"))
+    # a language's share of the hashes that its rows have: about twice the sample, without a text moved
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages cannot be told apart")
+    if not counts:
+        return {}
+    cuts = {r["lang"]: min(1.0, (2 * sample_docs + 64) / r["n"]) for r in counts}
+    share = F.element_at(F.create_map(*(F.lit(x) for kv in cuts.items() for x in kv)), F.col("lang"))
+    few = rows.where((share >= 1.0) | (F.col("h").cast("double") < (share * 2 - 1) * float(1 << 63)))
+    order = W.partitionBy("lang").orderBy("h", "doc_id")
+    few = few.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample_docs).select("lang", "rn", F.substring("text", 1, sample_chars).alias("text"))
     found: dict[str, list[bytes]] = {}
-    for r in rows.orderBy("lang", "rn").collect():
+    for r in few.orderBy("lang", "rn").collect():
         found.setdefault(r["lang"], []).append(letters(r["text"]))
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"{len(found)} languages; at most {MOST_LANGUAGES} can be told apart")
     return {lang: b" ".join(texts)[:dictionary_bytes].ljust(8) for lang, texts in sorted(found.items())}
 
 

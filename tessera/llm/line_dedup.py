@@ -267,9 +267,9 @@ def repeated(units: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text", within: bool = True) -> DataFrame:
     """`docs` with repeated lines and passages taken out of the text, and `removed`: their spans in the original."""
     ship_code(docs.sparkSession)
-    own = [c for c in docs.columns if c != "removed"]
+    own = [c for c in docs.columns if c not in ("removed", text_col)]
     keyed = docs.select(
-        F.struct(F.lit(0).alias("none_"), *(F.col(f"`{c}`") for c in own if c != text_col)).alias("rest_"),
+        F.struct(F.lit(0).alias("x"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own))).alias("rest_"),
         F.col(text_col).cast("string").alias("text_"),
         F.col(id_col).cast("long").alias("id_"),
         F.xxhash64(F.col(text_col).cast("string")).alias("t_"),
@@ -280,8 +280,8 @@ def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, id_col: str = "do
     joined = keyed.join(lists, F.col("id_").eqNullSafe(F.col("i")) & (F.col("t_") == F.col("h")), "left").select("rest_", "text_", "repeats_")
     schema = T.StructType([joined.schema["rest_"], joined.schema["text_"], T.StructField("removed_", SPANS)])
     out = joined.mapInArrow(lambda b: remove(b, unit_words, within), schema)
-    columns = [F.col("text_").alias(c) if c == text_col else F.col(f"rest_.`{c}`").alias(c) for c in own]
-    return out.select(*columns, F.col("removed_").alias("removed"))
+    columns = {c: F.col(f"rest_.c{i}") for i, c in enumerate(own)} | {text_col: F.col("text_")}
+    return out.select(*(columns[c].alias(c) for c in docs.columns if c in columns), F.col("removed_").alias("removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

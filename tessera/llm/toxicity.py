@@ -29,7 +29,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import by_bytes, byte_buffers, held_out, lower_ascii, segment_hashes, ship_code, text_or_empty, words_of
@@ -234,12 +233,13 @@ def train(rows: pd.DataFrame, epochs: int = EPOCHS, seed: int = 5, least: int =
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> pd.DataFrame:
-    """The rows to learn from: at most `most_rows` of each label."""
+    """The rows to learn from: of each label the `most_rows` whose ids hash smallest."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     short = docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= most_bytes)).select("doc_id")
-    known = known.join(short.distinct(), "doc_id")
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most_rows).select("doc_id", "toxic")
+    known = known.join(short.distinct(), "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    # the rows of each label by an ordered limit: no task holds more than the limit
+    parts = [known.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most_rows).select("doc_id", "toxic") for label in (0, 1)]
+    chosen = parts[0].unionByName(parts[1])
     texts = docs.select("doc_id", "text", "lang").where(F.octet_length("text") <= most_bytes)
     # at most two labels' worth of ids: small enough to broadcast
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("r")).select("doc_id", "r.*")
@@ -266,21 +266,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(lambda b: score_batches(b, sent.value), "key long, score double").withColumnRenamed("key", "doc_id")
 
 
-def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with its own columns and `toxicity`, in the same pass."""
+def judge(docs: DataFrame, model: Model, keep_under: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that score under `keep_under`."""
     spark = docs.sparkSession
     ship_code(spark)
     sent = spark.sparkContext.broadcast(slim(model))
-    own = docs.columns
-    schema = docs.select(*own).withColumn("toxicity", F.lit(0.0)).schema
 
     def run(batches: Batches) -> Batches:
         for part in by_bytes(batches, text_col, 1 << 20):
-            text = part.column(text_col).fill_null("")
-            s = model_score(sent.value, text)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], [*own, "toxicity"])
+            yield part.filter(pa.array(model_score(sent.value, part.column(text_col).fill_null("")) < keep_under))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def model_score(model: Model, text: pa.Array) -> np.ndarray:
