@@ -2,7 +2,11 @@
 repeated passages are taken out, documents with benchmark items go, and what is left is tokenised.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
-return the columns of `documents`; the last returns a row of ids for each document.
+return the columns of their input, whatever their names; the last returns a row of ids for each document.
+
+Defined results: null and empty texts pass every stage (they score what the classifier's bias gives, are
+nobody's copy, hold nothing) and have no ids of tokens; rows without an id stay where only an id could
+tell which of them goes; rows that repeat are treated alike; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,24 +26,25 @@ from tessera.llm.toxicity import THRESHOLD, judge, sample, train
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under its threshold."""
     model = train(sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return judge(docs, model).where(F.col("toxicity") < THRESHOLD).drop("toxicity")
+    return judge(docs, model, keep_under=THRESHOLD)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the smallest id. Rows of a repeated id all stay or
     go together, rows without an id stay."""
-    gone = near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct().hint("shuffle_hash")
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document holds; n_chars follows the text."""
-    out = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed = F.size("removed") > 0
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    # all other columns travel in one, so that none is taken for the operator's own
+    own = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = dedup_lines(docs.select("doc_id", "text", F.struct(F.lit(0).alias("x"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own))).alias("rest")))
+    columns = {c: F.col(f"rest.c{i}") for i, c in enumerate(own)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in own:
+        columns["n_chars"] = F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
