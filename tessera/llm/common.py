@@ -90,6 +90,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key in more than one of so many rows is hot: there are no more such keys, so they can be broadcast.
+HOT_SHARE = 4096
+LEAST_HOT = 500
+
+
+def hot_keys(counted: DataFrame, count: str = "n") -> DataFrame:
+    """The rows of `counted`, a written table of keys and their counts, whose keys are hot: HOT_SHARE at most."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    return counted.where(F.col(count) > max(LEAST_HOT, total // HOT_SHARE))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

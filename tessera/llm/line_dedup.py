@@ -40,16 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, byte_buffers, hashes_128, lower_ascii, mix64, segment_hashes, ship_code, words_of, written
+from .common import by_bytes, byte_buffers, hashes_128, hot_keys, lower_ascii, mix64, segment_hashes, ship_code, words_of, written
 
 Batches = Iterator[pa.RecordBatch]
 UNIT_WORDS = 8
 #: Units of more than so many times `unit_words` are cut further; bytes from which a word is.
 LONG_UNITS = 6
 UNBROKEN = 64
-#: A digest in more than one of so many units is hot. There are at most as many hot ones, and they are broadcast.
-HOT_SHARE = 4096
-LEAST_HOT = 500
 UNITS = "id long, t long, unit int, again boolean, h1 long, h2 long"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -250,9 +247,7 @@ def repeated(units: DataFrame) -> DataFrame:
     place = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("t"))
     firsts = units.where("not again").groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
     dups = written(firsts.where("n > 1"), "repeated-digests")
-    total = dups.agg(F.sum("n")).first()[0] or 0
-    # at most HOT_SHARE rows: their counts add up to no more than the total
-    hot = dups.where(F.col("n") > max(LEAST_HOT, total // HOT_SHARE)).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("earliest").alias("e"))
+    hot = hot_keys(dups).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("earliest").alias("e"))
     rows = units.join(F.broadcast(hot), (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2")), "left")
     known = F.col("again") | F.col("e").isNotNull()
     rows = rows.select(

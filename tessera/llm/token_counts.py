@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, shared_dir, ship_code, text_or_empty, written
+from .common import by_bytes, hot_keys, shared_dir, ship_code, text_or_empty, written
 from .tokenizer_files import file_digest, load_ranks, load_tokenizer, tokenizer_path
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -85,20 +85,21 @@ def token_counts(
     content = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     content = content.withColumn("digest", F.unhex(F.sha2("text", 256)))
     digests = written(content.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    misses = (
-        digests.groupBy("digest")
-        .agg(F.min("doc_id").alias("first_id"))
-        .join(read_cache(spark, cache, version), "digest", "left_anti")
-        .withColumnRenamed("digest", "missing")
-    )
+    distinct = written(digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-digests")
+    misses = distinct.select("digest", "first_id").join(read_cache(spark, cache, version), "digest", "left_anti").withColumnRenamed("digest", "missing")
     to_encode = content.join(
         misses.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("missing")), "left_semi"
     ).select("digest", "text")
     counts = to_encode.mapInArrow(lambda batches: count_batches(batches, tokenizer, ranks), "digest binary, n_tokens long")
     counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return digests.join(read_cache(spark, cache, version), "digest", "left").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    # counts of texts in a share of all rows are broadcast; their rows meet nothing in the join and are dealt evenly
+    stored = read_cache(spark, cache, version)
+    hot = stored.join(F.broadcast(hot_keys(distinct).select("digest")), "digest", "left_semi").select(F.col("digest").alias("hot"), F.col("n_tokens").alias("known"))
+    rows = digests.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
+    anywhere = F.unhex(F.hex(F.floor(F.rand(7) * (1 << 40))))
+    rows = rows.withColumn("digest", F.when(F.col("hot").isNotNull(), anywhere).otherwise(F.col("digest")))
+    counted = rows.join(stored, "digest", "left").withColumn("n_tokens", F.coalesce("known", "n_tokens"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, ship_code
+from .common import hot_keys, partitions, shared_dir, ship_code, written
 
 # Magic numbers of the Zstandard format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -39,13 +39,17 @@ MANIFEST = "archive string, n_records long, n_bytes long, dictionary_bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
+
+
 def record_bytes(row: dict) -> bytes:
     """One WARC/1.1 record. Page ids and the payload's full length stand in headers of our own."""
     digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
     lines = [
         "WARC/1.1",
         f"WARC-Type: {row['record_type']}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{row['page_id']}/{digest}')}>",
+        f"WARC-Record-ID: {record_id(row['page_id'], digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {row['payload_bytes']}",
@@ -57,6 +61,7 @@ def record_bytes(row: dict) -> bytes:
     body = b""
     if row["record_type"] == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        lines.append(f"WARC-Refers-To: {record_id(row['winner'], digest)}")
         lines.append(f"X-Refers-To-Page-ID: {row['winner']}")
     else:
         body = row["html"].encode()
@@ -151,8 +156,13 @@ def write_archives(pages: DataFrame, folder: str, target: int = 256 << 20, sampl
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    winners = rows.groupBy("sha1").agg(F.max("page_id").alias("winner"))
-    ids = rows.drop("html").join(winners, "sha1")
+    winners = written(rows.groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")), "winners")
+    # winners of payloads that a share of all pages has are broadcast; their pages meet nothing in the join and are dealt evenly
+    hot = hot_keys(winners).select(F.col("sha1").alias("hot"), F.col("winner").alias("known"))
+    ids = rows.drop("html").join(F.broadcast(hot), F.col("sha1") == F.col("hot"), "left")
+    ids = ids.withColumn("key", F.when(F.col("hot").isNotNull(), F.floor(F.rand(7) * (1 << 40)).cast("string")).otherwise(F.col("sha1")))
+    ids = ids.join(winners.select(F.col("sha1").alias("key"), "winner"), "key", "left")
+    ids = ids.withColumn("winner", F.when(F.col("hot").isNotNull(), F.col("known")).otherwise(F.col("winner")))
     won = F.col("page_id").eqNullSafe(F.col("winner"))
     revisits = ids.where(~won).select("page_id", "url", "sha1", "payload_bytes", "winner", F.lit(None).cast("string").alias("html"), F.lit("revisit").alias("record_type"))
     first = winners.select(F.col("sha1").alias("won"), "winner")

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup
+from tessera.llm import common
 from tessera.llm.line_dedup import WHOLE_LINES_SQL, dedup_lines, dedup_whole_lines
 
 
@@ -131,8 +131,8 @@ def test_hot_digests_take_the_other_way_with_the_same_result(spark, make_text, m
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = sorted((r.doc_id, r.text) for r in dedup_lines(df).collect())
     assert sum(hot in t for _, t in want) == sum(warm in t for _, t in want) == 1
-    monkeypatch.setattr(line_dedup, "LEAST_HOT", 10)
-    monkeypatch.setattr(line_dedup, "HOT_SHARE", 4)
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
     assert sorted((r.doc_id, r.text) for r in dedup_lines(df).collect()) == want
 
 
