@@ -18,15 +18,18 @@ the directions follow which words go together and not which are frequent. Words
 have none, or an item is short of others, cosines do not find the item: items with weight in less than
 `LEAST_HEAVY` of their words, or in fewer than `least_words`, are also searched exactly, by counting
 their words in every stretch of their length; stretches that cannot hold `paraphrase_lcs` of the item
-are passed over, the others checked as in 4.
+are passed over, the others checked as in 4. Items of fewer than `least_words` words, but `SHORTEST` at
+least, are found where they stand word for word.
 
 Documents are never shuffled, and a passage that many documents share costs what any other does. Items
 are broadcast in blocks of bounded size.
 
 Defined results: null and empty texts contain nothing; items without text or with fewer than
-`least_words` words are not searched; items without an answer are taken to have their last sentence
-for one; null ids and repeated rows are treated like any others; an empty table on either side gives
-an empty result; other columns are ignored (or kept, by `decontaminate`).
+`SHORTEST` words are not searched (they are common speech); items without an answer are taken to have
+their last sentence for one; null ids and repeated documents are treated like any others, an item that
+repeats with id and answer is one; of several places the one that holds most of the item is reported, of
+equal ones the first; an empty table on either side gives an empty result; other columns are ignored (or
+kept, by `decontaminate`).
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +58,15 @@ FOLD = 1 << 12
 LEAST_LCS = 0.7
 PARAPHRASE_LCS = 0.5
 LEAST_WORDS = 8
+SHORTEST = 4
 LEAST_HEAVY = 1 / 3
 MOST_SHARE = 0.02
 ITEM_BLOCK = 4096
 CHUNK = 1024
 SLICE = 1 << 20
+#: Tasks that make sums, at most, and groups in which sums are added up before they meet.
+MOST_TASKS = 8192
+GROUPS = 64
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray):
@@ -151,27 +159,34 @@ def throw(batches: Batches, weight: np.ndarray, seed: int) -> Batches:
         add_rows(az, bucket[some], rank, z, block[some])
     az *= weight[:, None]
     parts = [(-1, zz.tobytes())] + [(c, az[c * CHUNK : (c + 1) * CHUNK].tobytes()) for c in range(BUCKETS // CHUNK)]
-    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["chunk", "part"])
+    group = TaskContext.get().partitionId() % GROUPS
+    yield pa.RecordBatch.from_arrays([pa.array([group] * len(parts), pa.int32()), pa.array([c for c, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["group", "chunk", "part"])
 
 
 def add_up(batches: Batches) -> Batches:
-    """Rows of a chunk summed within this task."""
-    total: dict[int, np.ndarray] = {}
+    """Rows of a group and chunk summed within this task."""
+    total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for i in range(batch.num_rows):
-            chunk = batch.column("chunk")[i].as_py()
+            key = group, chunk = batch.column("group")[i].as_py(), batch.column("chunk")[i].as_py()
             part = np.frombuffer(batch.column("part")[i].as_py(), np.float64 if chunk < 0 else np.float32)
-            total[chunk] = total[chunk] + part if chunk in total else part.astype(part.dtype)
+            if key in total:
+                total[key] += part
+            else:
+                total[key] = part.copy()
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "part"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([g for g, _ in total], pa.int32()), pa.array([c for _, c in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["group", "chunk", "part"]
+        )
 
 
 def latent_space(docs: DataFrame, weight: np.ndarray, seed: int = 11) -> np.ndarray:
     """Each bucket's weighted coordinates along the leading right singular vectors of A, over their singular values."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(weight)
-    sums = docs.mapInArrow(lambda b: throw(b, sent.value, seed), "chunk int, part binary")
-    sums = sums.repartition(partitions(spark), "chunk").mapInArrow(add_up, "chunk int, part binary")
+    sums = docs.coalesce(MOST_TASKS).mapInArrow(lambda b: throw(b, sent.value, seed), "group int, chunk int, part binary")
+    for keys in (["group", "chunk"], ["chunk"]):
+        sums = sums.repartition(partitions(spark), *keys).mapInArrow(add_up, "group int, chunk int, part binary").withColumn("group", F.lit(0))
     found = {r["chunk"]: r["part"] for r in sums.collect()}
     if not found:
         return np.zeros((BUCKETS, RANK), np.float32)
@@ -213,7 +228,13 @@ def prepare(rows: list[tuple[int, str, str | None]], weight: np.ndarray, space:
     vectors: dict[int, list] = {2: [], 4: []}
     for i, (item, _, _) in enumerate(rows):
         own = words[first[i] : first[i + 1]]
+        if len(own) < SHORTEST:
+            continue
         if len(own) < LEAST_WORDS:
+            items.weak.append(len(items.ids))
+            items.ids.append(item)
+            items.words.append(own)
+            items.answers.append(own)
             continue
         scale = 2 if len(own) < SMALL else 4
         length = scale * STEP
@@ -254,8 +275,22 @@ def lcs(item: np.ndarray, region: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def answered(answer: np.ndarray, region: np.ndarray) -> bool:
+    return len(answer) > 0 and lcs(answer, region) >= 0.9 * len(answer)
+
+
+def verbatim(item: np.ndarray, words: np.ndarray, a: int, b: int) -> tuple[float, int, int] | None:
+    """Where the item stands word for word from a place in [a, b) on."""
+    for s in (a + np.flatnonzero(words[a : min(b, len(words) - len(item) + 1)] == item[0])).tolist():
+        if np.array_equal(words[s : s + len(item)], item):
+            return 1.0, s, s + len(item)
+    return None
+
+
 def check(item: np.ndarray, answer: np.ndarray, words: np.ndarray, a: int, b: int) -> tuple[float, int, int] | None:
     """Share of the item in the words around [a, b), and the span of its words there, if it is contained."""
+    if len(item) < LEAST_WORDS:
+        return verbatim(item, words, a, b)
     low, high = max(0, a - len(item)), min(len(words), b + len(item))
     region = words[low:high]
     there = set(region.tolist())
@@ -264,7 +299,7 @@ def check(item: np.ndarray, answer: np.ndarray, words: np.ndarray, a: int, b: in
     share = lcs(item, region) / len(item)
     if share < PARAPHRASE_LCS:
         return None
-    if share < LEAST_LCS and not (len(answer) >= 3 and lcs(answer, region) >= 0.9 * len(answer)):
+    if share < LEAST_LCS and not answered(answer, region):
         return None
     # the densest stretch of about the item's length that still holds as much of it
     best = (0, low, high)
@@ -276,7 +311,7 @@ def check(item: np.ndarray, answer: np.ndarray, words: np.ndarray, a: int, b: in
     s = -best[1]
     inside = np.flatnonzero(np.isin(words[s : s + len(item) + 4], item))
     share = best[0] / len(item)
-    if share < LEAST_LCS and not (len(answer) >= 3 and lcs(answer, region) >= 0.9 * len(answer)):
+    if share < LEAST_LCS and not answered(answer, region):
         return None
     return share, s + int(inside[0]), s + int(inside[-1]) + 1
 
@@ -299,7 +334,8 @@ def stretches(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tu
     at = np.flatnonzero((np.arange(len(words)) - first[row]) % 4 == 0)
     for i in items.weak:
         own, times = np.unique(items.words[i], return_counts=True)
-        least, size = PARAPHRASE_LCS * len(items.words[i]), len(items.words[i]) + 8
+        short = len(items.words[i]) < LEAST_WORDS
+        least, size = (1 if short else PARAPHRASE_LCS) * len(items.words[i]), len(items.words[i]) + 8
         number = np.full(len(vocabulary) + 1, len(own))
         number[np.searchsorted(vocabulary, own)] = np.arange(len(own))
         mine = number[code]
@@ -319,7 +355,7 @@ def matches(part: pa.Array, items: Items, weight: np.ndarray, space: np.ndarray)
     """row -> item number -> (share, cosine, first byte, end byte), best of each."""
     words, starts, ends, first = tokens(*byte_buffers(part))
     found: dict[int, dict[int, tuple]] = {}
-    if not len(words) or not items.queries:
+    if not len(words) or not items.ids:
         return found
     blocks, owner = project(words, first, weight, space, STEP)
     bucket = np.append(bucket_of(words), 0)
@@ -353,7 +389,7 @@ def matches(part: pa.Array, items: Items, weight: np.ndarray, space: np.ndarray)
         seen, size = found.setdefault(row, {}), len(items.words[i])
         if a <= passed.get((i, row), -1) or i in seen and seen[i][0] == 1.0:
             continue
-        passed[i, row] = a + size // 2
+        passed[i, row] = a + (size // 2 if len(items.words[i]) >= LEAST_WORDS else 0)
         hit = check(items.words[i], items.answers[i], words[first[row] : first[row + 1]], a, a + size)
         if hit and (i not in seen or hit[0] > seen[i][0]):
             s, e = first[row] + hit[1], first[row] + hit[2] - 1
@@ -367,9 +403,10 @@ def item_blocks(benchmark: DataFrame, weight: np.ndarray, space: np.ndarray) ->
     """The items in blocks of about ITEM_BLOCK, each small enough to broadcast."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
+    rows = rows.distinct()
     n = -(-rows.count() // ITEM_BLOCK)
     for k in range(n):
-        some = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
+        some = rows.where(F.pmod(F.xxhash64("item_id", "text", "answer"), F.lit(n)) == k).collect()
         yield prepare([tuple(r) for r in some], weight, space)
 
 

@@ -1,8 +1,104 @@
 import random
+import re
 
 from tessera.llm.decontam import decontaminate, find_leaks
 
 
+def word(rng):
+    return "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8)))
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "of", "and", "in"]) if rng.random() < 0.4 else word(rng) for _ in range(n))
+
+
+def told(text):
+    """Words of a text as the search sees them: lowered, and without those that repeat one of the two before."""
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    return [w for i, w in enumerate(words) if w not in words[max(0, i - 2) : i]]
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def holds(item, text, slack=0.0):
+    """Whether a stretch of the text holds the item, by trying all of them."""
+    own, words, answer = told(item), told(text), told([p for p in item.split(".") if p.strip()][-1])
+    size = len(own) + 4
+    for s in range(0, max(1, len(words) - size + 1)):
+        part = words[s : s + size]
+        if sum(w in part for w in own) < 0.5 * len(own):
+            continue
+        share = subsequence(own, part) / len(own)
+        around = words[max(0, s - len(own)) : s + size + len(own)]
+        if share >= 0.7 + slack or share >= 0.5 + slack and subsequence(answer, around) >= 0.9 * len(answer):
+            return True
+    return False
+
+
+def test_against_every_stretch_of_every_document(spark):
+    rng = random.Random(41)
+    items = {i: f"{prose(rng, rng.randrange(14, 50))}. {prose(rng, 6)}." for i in range(16)}
+    docs = {}
+    for d in range(240):
+        body = prose(rng, rng.randrange(30, 120)).split()
+        if d % 2 == 0:  # from word for word down to every second word
+            keep = rng.choice([1.0, 0.9, 0.8, 0.7, 0.6, 0.5])
+            put = [w if rng.random() < keep else word(rng) for w in items[d // 2 % 16].split()]
+            at = rng.randrange(len(body))
+            body[at:at] = put
+        docs[d] = " ".join(body)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(df, bench).collect()}
+    sure = {(d, i) for d in docs for i in items if holds(items[i], docs[d], 0.05)}
+    some = {(d, i) for d in docs for i in items if (d, i) in found and holds(items[i], docs[d], -0.05)}
+    assert len(sure) > 60 and len(found & sure) >= 0.9 * len(sure)
+    assert found == some
+
+
+def test_a_passage_in_a_fifth_of_the_documents_is_found_in_all(spark, sf):
+    rng = random.Random(42)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()
+    docs = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = (r.text or "").split()
+        if r.doc_id % 5 == 0:
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = items[3].text.split()
+        docs[r.doc_id] = " ".join(words + (items[11].text.split() if r.doc_id == 7 else []))
+    bench = spark.createDataFrame([(r.item_id, r.text) for r in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), bench).collect()}
+    assert {d for d, i in found if i == items[3].item_id} >= {d for d in docs if d % 5 == 0}
+    assert (7, items[11].item_id) in found
+
+
+def test_short_items_answers_and_repeated_items(spark):
+    rng = random.Random(43)
+    items = [(1, "who wrote the green river book", None), (2, "too short", None), (3, prose(rng, 30), "forty two"), (3, None, "x"), (None, prose(rng, 20), None), (4, "the of and in the of", None)]
+    items += [items[0]] * 3
+    half = [w if k % 20 < 10 else word(rng) for k, w in enumerate(items[2][1].split())]
+    docs = {
+        0: f"{prose(rng, 20)} Who wrote the green River book? {prose(rng, 9)}",
+        1: f"who wrote a green river book {prose(rng, 20)} too short",
+        2: f"{prose(rng, 10)} {' '.join(half)} forty two {prose(rng, 10)}",
+        3: f"{prose(rng, 10)} {' '.join(half)} forty {prose(rng, 10)}",
+        4: items[4][1],
+    } | {d: prose(rng, rng.randrange(30, 200)) for d in range(5, 150)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    rows = find_leaks(df, bench).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in rows), key=str) == [(0, 1), (2, 3), (4, None)]
+    first = next(r for r in rows if r.doc_id == 0)
+    assert docs[0][first.start : first.end] == "Who wrote the green River book"
+
+
 def test_items_in_a_third_of_the_rows_are_found_everywhere(spark):
     rng = random.Random(16)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8)))
