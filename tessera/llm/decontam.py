@@ -66,7 +66,7 @@ CHUNK = 1024
 SLICE = 1 << 20
 #: Tasks that make sums, at most, and groups in which sums are added up before they meet.
 MOST_TASKS = 8192
-GROUPS = 64
+GROUPS = 16
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray):
@@ -122,13 +122,18 @@ def weights(docs: DataFrame) -> np.ndarray:
     return w.astype(np.float32)
 
 
-def add_rows(out: np.ndarray, at: np.ndarray, rank: np.ndarray, table: np.ndarray, rows: np.ndarray) -> None:
-    """out[at] += table[rows], in turns by rank: within a turn no place comes twice."""
-    order = np.argsort(rank.astype(np.uint16) if len(rank) and rank.max() < 1 << 16 else rank, kind="stable")
-    cuts = np.append(0, np.cumsum(np.bincount(rank))).tolist() if len(rank) else [0]
-    for a, b in zip(cuts, cuts[1:]):
-        some = order[a:b]
-        out[at[some]] += table[rows[some]]
+def add_rows(out: np.ndarray, at: np.ndarray, table: np.ndarray, rows: np.ndarray, piece: int = 1 << 14) -> None:
+    """out[at] += table[rows], for places in ascending order: piece by piece, which the processor's cache
+    holds, and there in turns, within which no place comes twice."""
+    lead = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    rank = np.arange(len(at)) - np.repeat(lead, np.diff(np.append(lead, len(at))))
+    for k in range(0, len(at), piece):
+        own = rank[k : k + piece]
+        order = np.argsort(own.astype(np.uint16) if own.max() < 1 << 16 else own, kind="stable") + k
+        cuts = np.cumsum(np.unique(own, return_counts=True)[1]).tolist()
+        for a, b in zip([0, *cuts], cuts):
+            some = order[a:b]
+            out[at[some]] += table[rows[some]]
 
 
 def project(words: np.ndarray, first: np.ndarray, weight: np.ndarray, table: np.ndarray, size: int):
@@ -137,8 +142,7 @@ def project(words: np.ndarray, first: np.ndarray, weight: np.ndarray, table: np.
     bucket = bucket_of(words)
     some = np.flatnonzero(weight[bucket] > 0)
     out = np.zeros((len(owner), table.shape[1]), np.float32)
-    rank = (np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))) % size
-    add_rows(out, block[some], rank[some], table, bucket[some])
+    add_rows(out, block[some], table, bucket[some])
     return out, owner
 
 
@@ -154,9 +158,7 @@ def throw(batches: Batches, weight: np.ndarray, seed: int) -> Batches:
         bucket = bucket_of(words)
         some = np.flatnonzero(weight[bucket] > 0)
         some = some[np.argsort(bucket[some].astype(np.uint16), kind="stable")]
-        counts = np.bincount(bucket[some], minlength=BUCKETS)
-        rank = np.arange(len(some)) - np.repeat(np.cumsum(counts) - counts, counts)
-        add_rows(az, bucket[some], rank, z, block[some])
+        add_rows(az, bucket[some], z, block[some], len(some) or 1)
     az *= weight[:, None]
     parts = [(-1, zz.tobytes())] + [(c, az[c * CHUNK : (c + 1) * CHUNK].tobytes()) for c in range(BUCKETS // CHUNK)]
     group = TaskContext.get().partitionId() % GROUPS
@@ -320,8 +322,12 @@ def windows(blocks: np.ndarray, owner: np.ndarray, scale: int) -> np.ndarray:
     """Sum of the `scale` blocks from each block on, within its text."""
     out = blocks.copy()
     for j in range(1, scale):
-        same = owner[j:] == owner[:-j]
-        out[: len(out) - j][same] += blocks[j:][same]
+        # all but the last of each text have a block j further on: those get a block of zeros instead
+        other = np.flatnonzero(owner[j:] != owner[:-j])
+        theirs = blocks[j:][other]
+        blocks[j:][other] = 0
+        out[: len(out) - j] += blocks[j:]
+        blocks[j:][other] = theirs
     return out
 
 
@@ -368,7 +374,8 @@ def matches(part: pa.Array, items: Items, weight: np.ndarray, space: np.ndarray)
         v = normal(w[at])
         for k in range(0, len(at), 4096):
             for q in range(0, len(queries), 4096):
-                r, c = np.nonzero(v[k : k + 4096] @ queries[q : q + 4096].T >= COSINE)
+                some = queries[q : q + 4096]
+                r, c = np.divmod(np.flatnonzero(v[k : k + 4096] @ some.T >= COSINE), len(some))
                 block, item = at[k + r], which[q + c]
                 begin = first[owner[block]] + number[block] * STEP
                 place = begin[:, None] + np.arange(scale * STEP)
