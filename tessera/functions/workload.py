@@ -71,19 +71,20 @@ def random_shells(lo: list[float], hi: list[float], ratio: float, inner: float,
 
 
 def random_polygons(lo: list[float], hi: list[float], ratio: float, sides: int, n: int, seed: int = 42) -> list[list[tuple[float, float]]]:
-    """n polygons about random centers: vertices at jittered angles, at 0.5 to 1.5 times the radius of
-    the circle with that share of the area, kept inside the bounds."""
+    """n polygons about random centers, kept inside the bounds: vertices at even angles, each off by up to a
+    quarter of their distance, at 0.5 to 1.5 times the radius at which twice the area of a regular polygon
+    is that share of the bounds'."""
     if sides < 3:
         raise ValueError("a polygon has three sides or more")
     rng = random.Random(seed)
     width, height = hi[0] - lo[0], hi[1] - lo[1]
-    radius = math.sqrt(ratio * width * height / math.pi)
+    radius = math.sqrt(ratio * width * height / (sides * math.sin(2 * math.pi / sides)))
     out = []
     for _ in range(n):
         cx, cy = rng.uniform(lo[0], hi[0]), rng.uniform(lo[1], hi[1])
         points = []
         for i in range(sides):
-            angle = 2 * math.pi * (i + rng.uniform(-0.3, 0.3)) / sides
+            angle = 2 * math.pi * (i + rng.uniform(-0.25, 0.25)) / sides
             r = radius * rng.uniform(0.5, 1.5)
             points.append((min(max(cx + r * math.cos(angle), lo[0]), hi[0]), min(max(cy + r * math.sin(angle), lo[1]), hi[1])))
         out.append(points)

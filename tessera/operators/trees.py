@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import both, single
 from ..functions.vectors import l2sq
 from ..plans.shared import ranked, written
-from .filters import Everything, Filter
-from .knn import answer
+from .filters import Everything, Filter, InBox
+from .knn import answer, query_blocks
 
 
 def str_leaves(points: DataFrame, axes: list[str], capacity: int = 1000, key: str = "vec_id") -> DataFrame:
@@ -57,46 +58,70 @@ def leaf_boxes(leaves: DataFrame, axes: list[str]) -> DataFrame:
 
 
 class TreeIndex:
-    """Leaves of either tree with their boxes; a search visits the leaves whose boxes meet the filter's."""
+    """Leaves of either tree with their boxes; a search visits the leaves whose boxes meet the filter's.
 
-    def __init__(self, leaves: DataFrame, axes: list[str], dim: int | None = None):
-        self.leaves, self.axes, self.dim = leaves, axes, dim
+    kind: "rtree" or "kdtree". vec_id is a key of the table: the trees are built of it and the axes alone.
+    """
+
+    def __init__(self, leaves: DataFrame, axes: list[str], dim: int | None = None, kind: str = "rtree"):
+        self.leaves, self.axes, self.dim, self.kind = leaves, axes, dim, kind
         self.boxes = leaf_boxes(leaves, axes)
 
+    @classmethod
+    def _of(cls, table: DataFrame, leaves: DataFrame, axes: list[str], dim: int | None, kind: str) -> TreeIndex:
+        return cls(written(table.join(leaves.select("vec_id", "leaf_id"), "vec_id"), kind), axes, dim, kind)
+
     @classmethod
     def rtree(cls, table: DataFrame, axes: list[str], capacity: int = 1000, dim: int | None = None) -> TreeIndex:
-        return cls(written(str_leaves(table, axes, capacity), "rtree"), axes, dim)
+        return cls._of(table, str_leaves(table.select("vec_id", *axes), axes, capacity), axes, dim, "rtree")
 
     @classmethod
     def kdtree(cls, table: DataFrame, axes: list[str], depth: int, dim: int | None = None) -> TreeIndex:
-        return cls(written(kd_leaves(table, axes, depth), "kdtree"), axes, dim)
+        return cls._of(table, kd_leaves(table.select("vec_id", *axes), axes, depth), axes, dim, "kdtree")
 
     def save(self, path: str) -> None:
-        self.leaves.write.mode("overwrite").partitionBy("leaf_id").parquet(path)
+        self.leaves.write.mode("overwrite").partitionBy("leaf_id").parquet(f"{path}/rows")
+        about = json.dumps({"axes": self.axes, "dim": self.dim, "kind": self.kind})
+        self.leaves.sparkSession.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
-    def load(cls, spark, path: str, axes: list[str], dim: int | None = None) -> TreeIndex:
-        return cls(spark.read.parquet(path), axes, dim)
+    def load(cls, spark, path: str) -> TreeIndex:
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        return cls(spark.read.parquet(f"{path}/rows"), about["axes"], about["dim"], about["kind"])
 
     def counters(self, scan_threshold: int = 100) -> DataFrame:
-        """Leaves, and how many of them are small enough to scan."""
-        return self.boxes.agg(F.count("*").alias("leaves"), F.count_if(F.col("n") <= scan_threshold).alias("scan_leaves"))
+        """Leaves, and how many of them are small enough to scan: a KD node under the threshold, an R-tree leaf up to it."""
+        small = F.col("n") < scan_threshold if self.kind == "kdtree" else F.col("n") <= scan_threshold
+        return self.boxes.agg(F.count("*").alias("leaves"), F.count_if(small).alias("scan_leaves"))
 
     def visited(self, queries: DataFrame, keep: Filter) -> DataFrame:
-        """The queries, once for every leaf whose box meets the filter's bounds."""
+        """The queries, once for every leaf whose box meets the filter's bounds; `inside_` where the filter
+        is a box that holds the leaf whole. Queries are broadcast, in blocks of bounded size."""
         box = keep.bounds()
-        test = F.lit(True)
+        test, inside = F.lit(True), F.lit(isinstance(keep, Everything))
         if box is not None:
-            test = both([(F.col(f"hi_{a}").cast("double") >= single(lo)) & (F.col(f"lo_{a}").cast("double") <= single(hi)) for a, lo, hi in zip(self.axes, box.lo, box.hi)])
-        return queries.join(self.boxes, test).select(queries["*"], "leaf_id")
-
-    def search(self, queries: DataFrame, k: int, keep: Filter | None = None, leaf_oversample: int | None = None) -> DataFrame:
-        """qid, rank, vec_id, dist. leaf_oversample: take that many times k nearest of each leaf before
-        the filter (approximate) instead of filtering first."""
+            sides = [(F.col(f"lo_{a}").cast("double"), F.col(f"hi_{a}").cast("double"), single(lo), single(hi)) for a, lo, hi in zip(self.axes, box.lo, box.hi)]
+            test = both([(b >= lo) & (a <= hi) for a, b, lo, hi in sides])
+            if isinstance(keep, InBox):
+                inside = both([(a >= lo) & (b <= hi) for a, b, lo, hi in sides])
+        out = None
+        for block in query_blocks(queries):
+            met = self.boxes.join(F.broadcast(block), test).select(*queries.columns, "leaf_id", inside.alias("inside_"))
+            out = met if out is None else out.unionByName(met)
+        return out
+
+    def search(self, queries: DataFrame, k: int, keep: Filter | None = None, leaf_oversample: int | None = None, force_scan: bool = False) -> DataFrame:
+        """qid, rank, vec_id, dist. Rows of leaves that lie inside a box need no test (force_scan: tested
+        all the same). leaf_oversample: take that many times k nearest of each leaf before the filter
+        (approximate) instead of filtering first."""
         keep = keep or Everything()
-        point = [F.col(a) for a in self.axes]
-        pairs = self.leaves.join(self.visited(queries, keep), "leaf_id").withColumn("dist", l2sq(F.col("embedding"), F.col("qv"), self.dim))
+        test = keep.column([F.col(a) for a in self.axes])
+        if not force_scan:
+            test = F.col("inside_") | test
+        pairs = self.leaves.join(self.visited(queries, keep), "leaf_id")
+        dist = l2sq(F.col("embedding"), F.col("qv"), self.dim).alias("dist")
         if leaf_oversample:
             near = W.partitionBy("qid", "leaf_id").orderBy("dist", "vec_id")
-            pairs = pairs.withColumn("r_", F.row_number().over(near)).where(F.col("r_") <= max(k, k * leaf_oversample)).drop("r_")
-        return answer(pairs.where(keep.column(point)).select("qid", "vec_id", "dist"), k)
+            pairs = pairs.withColumn("dist", dist).withColumn("r_", F.row_number().over(near)).where(F.col("r_") <= max(k, k * leaf_oversample))
+            return answer(pairs.where(test).select("qid", "vec_id", "dist"), k)
+        return answer(pairs.where(test).select("qid", "vec_id", dist), k)

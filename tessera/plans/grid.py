@@ -110,26 +110,53 @@ class Grid:
         return out
 
     # The cubes a filter can touch (closed: a shared face counts), in closed form.
-    def cubes_of_box(self, df: DataFrame, box: Box, layer: int, name: str = "cube_id") -> DataFrame:
+    def spans(self, box: Box, layer: int) -> list[tuple[Column, Column]]:
+        """First and last cube of the box along each axis of the grid."""
         c, w = self.cubes(layer), self.widths(layer)
-        n = min(len(box.lo), self.dims)
-        apart = both([(single(box.hi[d]) >= F.lit(self.lo[d])) & (single(box.lo[d]) <= F.lit(self.hi[d])) for d in range(n)])
-        out = df.where(apart)
+        out = []
         for d in range(self.dims):
-            if d < n and w[d] > 0:
+            if d < len(box.lo) and w[d] > 0:
                 first = F.ceil((single(box.lo[d]) - F.lit(self.lo[d])) / F.lit(w[d])) - 1
                 last = F.floor((single(box.hi[d]) - F.lit(self.lo[d])) / F.lit(w[d]))
-                clamp = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(c - 1)).cast("long")
-                spread = F.sequence(clamp(first), clamp(last))
+                out.append(tuple(F.least(F.greatest(x, F.lit(0)), F.lit(c - 1)).cast("long") for x in (first, last)))
             else:
-                spread = F.sequence(F.lit(0).cast("long"), F.lit(c - 1 if w[d] > 0 else 0).cast("long"))
-            out = out.withColumn(f"i{d}_", F.explode(spread))
+                out.append((F.lit(0).cast("long"), F.lit(c - 1 if w[d] > 0 else 0).cast("long")))
+        return out
+
+    def cubes_in_box(self, box: Box, layer: int) -> Column:
+        """How many cubes the box can touch."""
+        return reduce(lambda x, y: x * y, [(last - first + 1).cast("double") for first, last in self.spans(box, layer)])
+
+    def cubes_of_box(self, df: DataFrame, box: Box, layer: int, name: str = "cube_id") -> DataFrame:
+        n = min(len(box.lo), self.dims)
+        out = df.where(both([(single(box.hi[d]) >= F.lit(self.lo[d])) & (single(box.lo[d]) <= F.lit(self.hi[d])) for d in range(n)]))
+        for d, (first, last) in enumerate(self.spans(box, layer)):
+            out = out.withColumn(f"i{d}_", F.explode(F.sequence(first, last)))
         out = out.withColumn(name, self.encode([F.col(f"i{d}_") for d in range(self.dims)], layer))
         return out.drop(*(f"i{d}_" for d in range(self.dims)))
 
     def cubes_of_ball(self, df: DataFrame, ball: Ball, layer: int, name: str = "cube_id") -> DataFrame:
+        """Rows are dealt to cubes by division, cubes' faces come from products: a cube is let in that is a
+        rounding out of reach."""
         near = self.cubes_of_box(df, ball.box(), layer, name)
-        return near.where(ball.meets(*self.cube_box(F.col(name), layer)))
+        lo, hi = self.cube_box(F.col(name), layer)
+        slack = [F.lit(1e-12 * max(abs(a), abs(b), b - a)) for a, b in zip(self.lo, self.hi)]
+        return near.where(ball.meets([x - e for x, e in zip(lo, slack)], [x + e for x, e in zip(hi, slack)]))
 
     def cubes_of_polygon(self, df: DataFrame, polygon: Polygon, layer: int, name: str = "cube_id") -> DataFrame:
         return self.cubes_of_box(df, polygon.box(), layer, name)
+
+
+def two_cubes(key: Column, first: int) -> Column:
+    """Cube 0 for keys under `first`, else cube 1."""
+    return F.when(key < first, 0).otherwise(1).cast("long")
+
+
+def ring_cube(key: Column, n: int) -> Column:
+    """Cubes dealt in turn; each meets the one before and the one behind, the ends do not meet."""
+    return F.pmod(key, F.lit(n)).cast("long")
+
+
+def ring_neighbours(df: DataFrame, cube: str, n: int) -> DataFrame:
+    near = F.filter(F.array(F.col(cube) - 1, F.col(cube) + 1), lambda x: x.between(0, n - 1))
+    return df.withColumn("neighbor_id", F.explode(near))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Masters whose executors are threads of the driver.
+LOCAL = re.compile(r"local(\[[^\]]*\])?")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A folder of its own under spark.checkpoint.dir (a temporary one in local mode, if that is unset)."""
+    """A folder of its own under spark.checkpoint.dir (a temporary one where executors are threads of the driver and it is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not LOCAL.fullmatch(spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)

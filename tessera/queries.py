@@ -1,7 +1,7 @@
 """The queries of the search library, each with the SQL that says the same.
 
 `embeddings` has no attribute points, so every query derives the same ones from vec_id; the queries
-are the rows with vec_id under 20, their filters lie about their own points.
+are the rows whose vec_id is divisible by 50, their filters lie about their own points.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 
 from .functions.geometry import Ball, Box, Polygon
 from .operators.cube import CubeIndex
-from .operators.evaluate import distance_ratio, recall, selectivity
+from .operators.evaluate import distance_ratio, recall, selectivity, sweep
 from .operators.filters import Everything, InBall, InBox, InPolygon, Not, composite, label_filter
 from .operators.flat import FlatIndex
 from .operators.knn import exact_knn, post_filter
 from .operators.trees import TreeIndex, kd_leaves, leaf_boxes, str_leaves
-from .plans.grid import EPSILON, Grid, global_box
+from .plans.grid import EPSILON, Grid, global_box, ring_cube, ring_neighbours, two_cubes
+from .plans.shared import shared_dir
+from .sources.records import attach, read_attributes, register, write_records
 
 # Factors and moduli of the derived attributes.
 PRIMES = ((7919, 1009), (104729, 1013), (1299709, 1019), (15485863, 1021))
-DIM, K, HALF, RADIUS = 64, 10, 0.2, 0.25
+EVERY, DIM, K, HALF, RADIUS = 50, 64, 10, 0.2, 0.25
 POLYGON = [(0.25, 0.125), (0.875, 0.25), (0.75, 0.875), (0.375, 0.625)]
 LAYERS, LAYER, CAPACITY, DEPTH = 6, 2, 50, 3
 
@@ -38,7 +40,7 @@ def base(spark: SparkSession, sf: str, n: int = 2) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf: str, n: int = 2) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
     return attributes(rows, n, "qid", "q")
 
 
@@ -55,9 +57,13 @@ def own_ball(n: int = 2) -> Ball:
     return Ball([F.col(f"q{i}") for i in range(n)], RADIUS)
 
 
+def size_of():
+    return (F.floor(F.col("qid") / EVERY) % 10 + 1).cast("double") * 0.02
+
+
 def sized_box() -> Box:
     """A box whose edges grow with the query's number."""
-    half = (F.col("qid") % 10 + 1).cast("double") * 0.02
+    half = size_of()
     q = [F.col(f"q{i}").cast("double") for i in range(2)]
     return Box([x - half for x in q], [x + half for x in q])
 
@@ -83,8 +89,61 @@ def index_of(spark: SparkSession, sf: str) -> CubeIndex:
     return CubeIndex.build(base(spark, sf), ["a0", "a1"], layers=3, least_points=1, dim=DIM)
 
 
-def cube_search(name: str, mode: str = "cubes"):
-    return lambda spark, sf: index_of(spark, sf).search(asked(spark, sf), K, FILTERS[name](), mode, LAYER)
+def cube_search(name: str, mode: str = "cubes", layer: int | None = LAYER):
+    return lambda spark, sf: index_of(spark, sf).search(asked(spark, sf), K, FILTERS[name](), mode, layer)
+
+
+def q_loaded(spark, sf):
+    """A saved index, loaded and searched: stored cubes that no filter touches are not read."""
+    path = shared_dir(spark, "cubes")
+    index_of(spark, sf).save(path)
+    return CubeIndex.load(spark, path).search(asked(spark, sf), K, InBox(sized_box()))
+
+
+def q_metrics(mode: str):
+    return lambda spark, sf: index_of(spark, sf).metrics(asked(spark, sf), FILTERS["bbox"](), mode, LAYER)
+
+
+def q_centers(spark, sf):
+    grid = grid_of(base(spark, sf))
+    return asked(spark, sf).select("qid", grid.cube_of([F.col("q0"), F.col("q1")], LAYER).alias("ball_cube"), grid.cube_of(corners().box().center(), LAYER).alias("polygon_cube"))
+
+
+def q_tree_counters(spark, sf):
+    r = TreeIndex.rtree(base(spark, sf), ["a0", "a1"], CAPACITY, DIM).counters(CAPACITY - 1).withColumn("kind", F.lit("rtree"))
+    return r.unionByName(TreeIndex.kdtree(base(spark, sf), ["a0", "a1"], DEPTH, DIM).counters(63).withColumn("kind", F.lit("kdtree")))
+
+
+def q_leaf_oversample(spark, sf):
+    return TreeIndex.rtree(base(spark, sf), ["a0", "a1"], CAPACITY, DIM).search(asked(spark, sf), 2, InBox(own_box()), leaf_oversample=2)
+
+
+def q_sweep(spark, sf):
+    truth = knn(FILTERS["bbox"])(spark, sf).cache()
+    found = sweep(lambda x: post_filter(base(spark, sf), asked(spark, sf), K, point(), InBox(own_box()), x, DIM), truth, K, [1, 4, 16])
+    truth.unpersist()
+    return spark.createDataFrame(found, "knob int, recall double")
+
+
+def q_binary_files(spark, sf):
+    """Vectors and attributes written as binary files, read and joined again."""
+    register(spark)
+    folder = shared_dir(spark, "records")
+    rows = base(spark, sf)
+    write_records(rows, f"{folder}/base.fvecs", "fvecs", "vec_id", "embedding", DIM)
+    write_records(rows, f"{folder}/meta.bin", "attributes", "vec_id", ["a0", "a1"], 2)
+    back = attach(spark.read.format("fvecs").load(f"{folder}/base.fvecs"), read_attributes(spark, f"{folder}/meta.bin"))
+    return back.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v), 6).alias("norm"), "m0", "m1")
+
+
+def q_box_of_data(spark, sf):
+    lo, hi = global_box(base(spark, sf), ["a0", "a1"], 0)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(lo, hi))], "axis int, lo double, hi double")
+
+
+def q_two_cubes_and_ring(spark, sf):
+    rows = base(spark, sf).select("vec_id", two_cubes(F.col("vec_id"), 250).alias("half"), ring_cube(F.col("vec_id"), 8).alias("cube"))
+    return ring_neighbours(rows, "cube", 8)
 
 
 def q_global_bbox(spark, sf):
@@ -112,7 +171,7 @@ def q_layer(kind: str):
         grid = grid_of(base(spark, sf))
         layer = {
             "bbox": lambda: grid.layer_for_box(sized_box()),
-            "radius": lambda: grid.layer_for_ball(Ball([F.col("q0"), F.col("q1")], (F.col("qid") % 10 + 1).cast("double") * 0.02)),
+            "radius": lambda: grid.layer_for_ball(Ball([F.col("q0"), F.col("q1")], size_of())),
             "polygon": lambda: grid.layer_for_polygon(corners()),
         }[kind]()
         return asked(spark, sf).select("qid", layer.cast("int").alias("layer"))
@@ -122,7 +181,7 @@ def q_layer(kind: str):
 
 def corners() -> Polygon:
     """A triangle about the query's point that grows with its number."""
-    half = (F.col("qid") % 10 + 1).cast("double") * 0.02
+    half = size_of()
     x, y = F.col("q0").cast("double"), F.col("q1").cast("double")
     return Polygon([(x - half, y - half), (x + half, y - half), (x, y + half)])
 
@@ -222,7 +281,7 @@ def _attrs(n: int, key: str = "vec_id", prefix: str = "a") -> str:
 
 def _with(n: int = 2) -> str:
     return f"""WITH RECURSIVE b AS (SELECT vec_id, embedding, {_attrs(n)} FROM embeddings),
-q AS (SELECT vec_id AS qid, embedding AS qv, {_attrs(n, "vec_id", "q")} FROM embeddings WHERE vec_id < 20)"""
+q AS (SELECT vec_id AS qid, embedding AS qv, {_attrs(n, "vec_id", "q")} FROM embeddings WHERE vec_id % {EVERY} = 0)"""
 
 
 DIST = "list_sum(list_transform(list_zip(b.embedding, q.qv), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))"
@@ -280,7 +339,7 @@ def _listed_sql(lo: list[str], hi: list[str], extra: str = "true") -> str:
 
 
 _OWN = [f"q{i}::double - {HALF}::double" for i in range(2)], [f"q{i}::double + {HALF}::double" for i in range(2)]
-_HALF_N = "(CAST(qid % 10 + 1 AS DOUBLE) * 0.02::double)"
+_HALF_N = f"(CAST(qid // {EVERY} % 10 + 1 AS DOUBLE) * 0.02::double)"
 _TRI_X = [f"q0::double - {_HALF_N}", f"q0::double + {_HALF_N}", "q0::double"]
 _TRI_Y = [f"q1::double - {_HALF_N}", f"q1::double - {_HALF_N}", f"q1::double + {_HALF_N}"]
 
@@ -320,19 +379,64 @@ k{d + 1} AS (SELECT vec_id, embedding, a0, a1, node * 2 + CASE WHEN row_number()
     return out
 
 
-def _fly_sql() -> str:
-    c = 2 ** (LAYER + 1)
+_REACHED = f"""reached AS (SELECT qid, cube_id FROM center UNION
+  SELECT r.qid, h.cube_id FROM reached r JOIN holds h ON h.qid = r.qid AND (
+    abs(h.cube_id % {2 ** (LAYER + 1)} - r.cube_id % {2 ** (LAYER + 1)}) + abs(h.cube_id // {2 ** (LAYER + 1)} - r.cube_id // {2 ** (LAYER + 1)}) = 1))"""
+
+
+def _middle(lo: list[str], hi: list[str]) -> str:
+    return _cube_sql(LAYER, *(f"(({_f(a)} + {_f(b)}) / 2)" for a, b in zip(lo, hi)))
+
+
+def _fly_with(where: str, center: str) -> str:
     return (
         _with()
         + _GRID
         + f""", cubed AS (SELECT b.*, {_cube_sql(LAYER)} AS cube_id FROM b, g),
-holds AS (SELECT DISTINCT qid, cube_id FROM cubed b, q WHERE {_box_sql()}),
-center AS (SELECT qid, {_cube_sql(LAYER, f"(({_f(_OWN[0][0])} + {_f(_OWN[1][0])}) / 2)", f"(({_f(_OWN[0][1])} + {_f(_OWN[1][1])}) / 2)")} AS cube_id FROM q, g),
-reached AS (SELECT qid, cube_id FROM center UNION
-  SELECT r.qid, h.cube_id FROM reached r JOIN holds h ON h.qid = r.qid AND (
-    abs(h.cube_id % {c} - r.cube_id % {c}) + abs(h.cube_id // {c} - r.cube_id // {c}) = 1))
+holds AS (SELECT DISTINCT qid, cube_id FROM cubed b, q WHERE {where}),
+center AS (SELECT qid, {center} AS cube_id FROM q, g),
+{_REACHED}
 """
-        + _rounded(_ranked(f"SELECT q.qid, b.vec_id, {DIST} AS dist FROM cubed b JOIN reached r USING (cube_id) JOIN q USING (qid) WHERE {_box_sql()}"))
+    )
+
+
+def _fly_sql(where: str, center: str) -> str:
+    return _fly_with(where, center) + _rounded(_ranked(f"SELECT q.qid, b.vec_id, {DIST} AS dist FROM cubed b JOIN reached r USING (cube_id) JOIN q USING (qid) WHERE {where}"))
+
+
+def _metrics_sql(fly: bool) -> str:
+    listed = "reached" if fly else f"({_listed_sql(*_OWN)})"
+    return (
+        _fly_with(_box_sql(), _middle(*_OWN))
+        + f""", listed AS (SELECT qid, cube_id FROM {listed}), held AS (SELECT cube_id, count(*) AS n FROM cubed GROUP BY 1),
+v AS (SELECT qid, count(*) AS visited, sum(coalesce(n, 0)) AS scanned FROM listed LEFT JOIN held USING (cube_id) GROUP BY qid),
+d AS (SELECT qid, count(*) AS distances FROM cubed b JOIN listed USING (cube_id) JOIN q USING (qid) WHERE {_box_sql()} GROUP BY qid)
+SELECT q.qid, {LAYER} AS layer, CAST(visited AS BIGINT) AS visited, CAST({4 ** (LAYER + 1)} AS BIGINT) AS cubes, CAST(scanned AS BIGINT) AS scanned,
+  CAST(coalesce(distances, 0) AS BIGINT) AS distances, round(coalesce(distances, 0) / (SELECT count(*) FROM b)::double, 6) AS selectivity
+FROM q JOIN v USING (qid) LEFT JOIN d USING (qid)"""
+    )
+
+
+def _sweep_sql() -> str:
+    truth = f"truth AS ({_ranked(f'SELECT q.qid, b.vec_id, {DIST} AS dist FROM b, q WHERE {_box_sql()}')})"
+    every = f"ranked AS (SELECT q.qid, b.vec_id, b.a0, b.a1, row_number() OVER (PARTITION BY q.qid ORDER BY {DIST}, vec_id) AS place FROM b, q)"
+    return (
+        _with()
+        + f""", {truth}, {every}, knobs AS (SELECT unnest([1, 4, 16]) AS knob),
+f AS (SELECT knob, q.qid, vec_id, row_number() OVER (PARTITION BY knob, q.qid ORDER BY place) AS rn FROM knobs, ranked b JOIN q USING (qid) WHERE place <= knob * {K} AND {_box_sql()}),
+r AS (SELECT knob, round(count(f.vec_id) / count(*)::double, 6) AS recall FROM (SELECT * FROM knobs, truth) t LEFT JOIN f USING (knob, qid, vec_id) GROUP BY knob)
+SELECT knob, recall FROM r WHERE NOT EXISTS (SELECT 1 FROM r s WHERE s.knob < r.knob AND s.recall > 0.995)"""
+    )
+
+
+def _leaf_oversample_sql() -> str:
+    box = " AND ".join(f"x.h{i}::double >= {_f(_OWN[0][i])} AND x.l{i}::double <= {_f(_OWN[1][i])}" for i in range(2))
+    return (
+        _with()
+        + _str_sql()
+        + f""", x AS (SELECT leaf_id, min(a0) AS l0, max(a0) AS h0, min(a1) AS l1, max(a1) AS h1 FROM r1 GROUP BY 1),
+m AS (SELECT q.qid, b.vec_id, b.a0, b.a1, {DIST} AS dist, row_number() OVER (PARTITION BY q.qid, b.leaf_id ORDER BY {DIST}, b.vec_id) AS place FROM q JOIN x ON {box} JOIN r1 b ON b.leaf_id = x.leaf_id) """
+        + _rounded(_ranked(f"SELECT q.qid, b.vec_id, dist FROM m b JOIN q USING (qid) WHERE place <= 4 AND {_box_sql()}", 2))
     )
 
 
@@ -343,6 +447,8 @@ _OVER = f"o AS ({_ranked(f'SELECT q.qid, b.vec_id, b.a0, b.a1, {DIST} AS dist FR
 _FOUND = f"found AS ({_ranked(f'SELECT q.qid, b.vec_id, dist FROM o b JOIN q USING (qid) WHERE {_box_sql()}')})"
 _TRUTH = f"truth AS ({_ranked(f'SELECT q.qid, b.vec_id, {DIST} AS dist FROM b, q WHERE {_box_sql()}')})"
 _BOUNDS = "b.a0::double BETWEEN 0.25 AND 0.75 AND b.a1::double BETWEEN 0.25 AND 0.75"
+_AROUND = [f"{_f(f'q{i}')} - {_f(str(RADIUS))}" for i in range(2)], [f"{_f(f'q{i}')} + {_f(str(RADIUS))}" for i in range(2)]
+_SIZED = " AND ".join(f"(b.a{i}::double BETWEEN {_f(f'q.q{i}::double - {_HALF_N}')} AND {_f(f'q.q{i}::double + {_HALF_N}')})" for i in range(2))
 _COMPOSITE = f"{_box_sql()} AND NOT {_ball_sql(2, '0.125')}"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -393,7 +499,28 @@ WHERE CASE WHEN axis = 0 THEN c % 4 + step BETWEEN 0 AND 3 ELSE c + step BETWEEN
         "cube_search_radius": (rounded(cube_search("radius")), _knn_sql(_ball_sql())),
         "cube_search_polygon": (rounded(cube_search("polygon")), _knn_sql(_polygon_sql())),
         "cube_search_composite": (rounded(cube_search("composite")), _knn_sql(_COMPOSITE)),
-        "cube_search_fly_bbox": (rounded(cube_search("bbox", "fly")), _fly_sql()),
+        "cube_search_chosen_layer": (rounded(cube_search("bbox", layer=None)), _knn_sql(_box_sql())),
+        "cube_search_loaded": (rounded(q_loaded), _knn_sql(_SIZED)),
+        "cube_search_fly_bbox": (rounded(cube_search("bbox", "fly")), _fly_sql(_box_sql(), _middle(*_OWN))),
+        "cube_search_fly_radius": (rounded(cube_search("radius", "fly")), _fly_sql(_ball_sql(), _middle(*_AROUND))),
+        "cube_search_fly_polygon": (rounded(cube_search("polygon", "fly")), _fly_sql(_polygon_sql(), _middle(["0.25", "0.125"], ["0.875", "0.875"]))),
+        "cube_search_fly_composite": (rounded(cube_search("composite", "fly")), _fly_sql(_COMPOSITE, _middle(*_OWN))),
+        "cube_metrics": (q_metrics("cubes"), _metrics_sql(False)),
+        "cube_metrics_fly": (q_metrics("fly"), _metrics_sql(True)),
+        "cube_of_centers": (q_centers, _with() + _GRID + f" SELECT qid, {_cube_sql(LAYER, 'q0::double', 'q1::double')} AS ball_cube, {_middle([_TRI_X[0], _TRI_Y[0]], [_TRI_X[1], _TRI_Y[2]])} AS polygon_cube FROM q, g"),
+        "tree_counters": (
+            q_tree_counters,
+            _with() + _str_sql() + _kd_sql() + f""" SELECT 'rtree' AS kind, count(*) AS leaves, count_if(n <= {CAPACITY - 1}) AS scan_leaves FROM (SELECT leaf_id, count(*) AS n FROM r1 GROUP BY 1)
+UNION ALL SELECT 'kdtree', count(*), count_if(n < 63) FROM (SELECT node, count(*) AS n FROM k{DEPTH} GROUP BY 1)""",
+        ),
+        "rtree_leaf_oversample": (rounded(q_leaf_oversample), _leaf_oversample_sql()),
+        "recall_sweep": (q_sweep, _sweep_sql()),
+        "binary_files": (q_binary_files, _with() + " SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 6) AS norm, a0 AS m0, a1 AS m1 FROM b"),
+        "box_of_data": (q_box_of_data, _with() + " SELECT 0::int AS axis, min(a0)::double AS lo, max(a0)::double AS hi FROM b UNION ALL SELECT 1::int, min(a1)::double, max(a1)::double FROM b"),
+        "two_cubes_and_ring": (
+            q_two_cubes_and_ring,
+            "SELECT vec_id, CAST(CASE WHEN vec_id < 250 THEN 0 ELSE 1 END AS BIGINT) AS half, CAST(vec_id % 8 AS BIGINT) AS cube, CAST(vec_id % 8 + s AS BIGINT) AS neighbor_id FROM embeddings, (VALUES (-1), (1)) t(s) WHERE vec_id % 8 + s BETWEEN 0 AND 7",
+        ),
         "knn_one_cube": (rounded(q_one_cube([1])), _with() + _GRID + f", c AS (SELECT b.*, {_cube_sql(0)} AS cube FROM b, g) " + _rounded(_ranked(f"SELECT q.qid, b.vec_id, {DIST} AS dist FROM c b, q WHERE cube = 1"))),
         "knn_cube_list": (rounded(q_one_cube([0, 3])), _with() + _GRID + f", c AS (SELECT b.*, {_cube_sql(0)} AS cube FROM b, g) " + _rounded(_ranked(f"SELECT q.qid, b.vec_id, {DIST} AS dist FROM c b, q WHERE cube IN (0, 3)"))),
         "polygon_area_bbox": (

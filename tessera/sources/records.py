@@ -170,3 +170,18 @@ def write_records(df: DataFrame, path: str, kind: str, id_col: str, value_cols:
 def write_log(df: DataFrame, path: str, append: bool = False) -> None:
     """Result or timing lines as blank-separated text."""
     df.write.mode("append" if append else "overwrite").option("sep", " ").csv(path)
+
+
+def log_index_time(spark: SparkSession, path: str, dataset: str, program: str, milliseconds: float) -> None:
+    """Appends how long a build took."""
+    write_log(spark.createDataFrame([(dataset, program, "index_time_sec:", milliseconds / 1000)], "dataset string, program string, what string, seconds double"), path, append=True)
+
+
+def query_vectors(spark: SparkSession, vectors: list) -> DataFrame:
+    """qid, qv of vectors held in numpy: each has one dimension, and all as many values."""
+    rows = [np.asarray(v, np.float32) for v in vectors]
+    if any(v.ndim != 1 for v in rows):
+        raise ValueError("a query is a vector: an array of one dimension")
+    if len({len(v) for v in rows}) > 1:
+        raise ValueError("queries differ in length")
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "qid long, qv array<float>")

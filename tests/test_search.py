@@ -15,7 +15,7 @@ from tessera.operators.filters import Everything, InBall, InBox, InPolygon, Not,
 from tessera.operators.flat import FlatIndex
 from tessera.operators.trees import TreeIndex
 from tessera.plans.grid import Grid, adaptive_layers
-from tessera.sources.records import attach, read_attributes, register, write_log, write_records
+from tessera.sources.records import attach, log_index_time, query_vectors, read_attributes, register, write_log, write_records
 
 
 @pytest.fixture(scope="module")
@@ -87,8 +87,56 @@ def test_save_and_load(spark, table, queries, tmp_path):
     assert got(index.search(queries, 3, InBox(Box([0.0, 0.0], [1.0, 1.0])))) == brute(table, queries, 3, lambda r, q: True)
     with pytest.raises(ValueError):
         CubeIndex.load(spark, path, 3)
-    stored = spark.read.parquet(f"{path}/rows").where("cube_id = 3")
-    assert "PartitionFilters: [isnotnull(cube_id" in stored._jdf.queryExecution().toString()
+    loaded = CubeIndex.load(spark, path)
+    for keep, test in (
+        (InBox(Box([0.1, 0.1], [0.2, 0.15])), lambda r, q: f32(0.1) <= r.m0 <= f32(0.2) and f32(0.1) <= r.m1 <= f32(0.15)),
+        (InBall(Ball([F.col("c0"), F.col("c1")], 0.05)), lambda r, q: (r.m0 - q.c0) ** 2 + (r.m1 - q.c1) ** 2 <= f32(0.05) ** 2),
+    ):
+        for mode in ("cubes", "exact"):
+            found = loaded.search(queries, 3, keep, mode)
+            plan = found._jdf.queryExecution().toString()
+            assert "PartitionFilters: [cube_id" in plan or "PartitionFilters: [isnotnull(cube_id" in plan
+            assert got(found) == brute(table, queries, 3, test)
+    nowhere = loaded.search(queries, 3, InBox(Box([5.0, 5.0], [6.0, 6.0])))
+    assert nowhere.count() == 0
+
+
+def test_layers_follow_from_the_filters(table, queries):
+    index = CubeIndex.build(table, ["m0", "m1"], layers=4, least_points=1, dim=4)
+    for keep, test in ((InBall(Ball([F.col("c0"), F.col("c1")], 0.3)), ball_test), (SHAPES["box"][0](), SHAPES["box"][1])):
+        assert got(index.search(queries, 5, keep)) == brute(table, queries, 5, test)
+    wide, narrow = (index.metrics(queries, InBall(Ball([F.col("c0"), F.col("c1")], r))).collect() for r in (0.9, 0.01))
+    assert {r.layer for r in wide} == {0} and {r.layer for r in narrow} == {3}
+    assert all(r.visited <= r.cubes and r.distances <= r.scanned for r in wide + narrow)
+
+
+def test_trees_never_pair_all_with_all(spark, table, queries, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for index in (TreeIndex.rtree(table, ["m0", "m1"], 40), TreeIndex.kdtree(table, ["m0", "m1"], 3)):
+            path = str(tmp_path / index.kind)
+            index.save(path)
+            again = TreeIndex.load(spark, path)
+            assert (again.axes, again.kind) == (["m0", "m1"], index.kind)
+            keep, test = SHAPES["box"]
+            for scan in (False, True):
+                found = again.search(queries, 5, keep(), force_scan=scan)
+                assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+                assert got(found) == brute(table, queries, 5, test)
+            assert got(again.search(queries, 5)) == brute(table, queries, 5, lambda r, q: True)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_build_times_and_queries_from_numpy(spark, tmp_path):
+    log_index_time(spark, str(tmp_path / "log"), "toy", "cubes", 1500.0)
+    log_index_time(spark, str(tmp_path / "log"), "toy", "rtree", 250.0)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "log")).collect()) == ["toy cubes index_time_sec: 1.5", "toy rtree index_time_sec: 0.25"]
+    assert query_vectors(spark, [np.zeros(3), [1, 2, 3]]).count() == 2
+    for wrong in ([np.zeros((1, 3))], [np.zeros(2), np.zeros(3)]):
+        with pytest.raises(ValueError):
+            query_vectors(spark, wrong)
 
 
 def test_polygon_boundary_is_half_open(spark):
