@@ -66,7 +66,7 @@ CHUNK = 1024
 SLICE = 1 << 20
 #: Tasks that make sums, at most, and groups in which sums are added up before they meet.
 MOST_TASKS = 8192
-GROUPS = 16
+GROUPS = 8
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray):
@@ -193,16 +193,19 @@ def latent_space(docs: DataFrame, weight: np.ndarray, seed: int = 11) -> np.ndar
     if not found:
         return np.zeros((BUCKETS, RANK), np.float32)
     zz = np.frombuffer(found.pop(-1), np.float64).reshape(RANK + EXTRA, RANK + EXTRA)
-    az = np.concatenate([np.frombuffer(found[c], np.float32).reshape(CHUNK, -1) for c in sorted(found)]).astype(np.float64)
     values, vectors = np.linalg.eigh(zz)
     good = values > 1e-9 * max(values.max(), 1e-30)
     basis = vectors[:, good] / np.sqrt(values[good])  # Z @ basis is orthonormal
-    b = (az @ basis).T
-    u, s, vt = np.linalg.svd(b, full_matrices=False)
-    keep = min(RANK, int((s > 1e-6 * max(s.max(initial=0), 1e-30)).sum()))
+    # B = Q'A chunk by chunk: its left singular vectors and values from BB', the right ones from these
+    part = lambda c: np.frombuffer(found[c], np.float32).reshape(CHUNK, -1) @ basis
+    gram = sum(x.T @ x for x in map(part, sorted(found)))
+    squares, left = np.linalg.eigh(gram)
+    keep = (squares > 1e-12 * max(squares.max(), 1e-30)) & (np.arange(len(squares)) >= len(squares) - RANK)
     out = np.zeros((BUCKETS, RANK), np.float32)
-    out[:, :keep] = (vt[:keep] / s[:keep, None]).T
-    return out * weight[:, None]
+    for c in sorted(found):
+        out[c * CHUNK : (c + 1) * CHUNK, : keep.sum()] = part(c) @ (left[:, keep] / squares[keep])
+    out *= weight[:, None]
+    return out
 
 
 @dataclass

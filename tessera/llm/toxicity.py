@@ -205,7 +205,7 @@ def train(rows: pd.DataFrame, epochs: int = EPOCHS, seed: int = 5, least: int =
         rows = pd.DataFrame({"text": [""], "toxic": [0], "lang": [None]})
     # in slices: hashing takes some ten bytes of memory a byte of text
     texts = pa.RecordBatch.from_arrays([pa.array(rows["text"], pa.string())], ["text"])
-    parts = [features(*byte_buffers(part.column("text"))) for part in by_bytes([texts], "text", 1 << 19)]
+    parts = [features(*byte_buffers(part.column("text"))) for part in by_bytes([texts], "text", 1 << 17)]
     whole, head = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     first = np.append(0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))
     cut = list(zip(first[:-1], first[1:]))
