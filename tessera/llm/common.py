@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -101,6 +103,16 @@ def hot_keys(counted: DataFrame, count: str = "n") -> DataFrame:
     return counted.where(F.col(count) > max(LEAST_HOT, total // HOT_SHARE))
 
 
+def give_back() -> None:
+    """Hands the memory that this process has freed back to the system; the driver calls it after large steps of its own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc: freed memory stays with the process
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, byte_buffers, lower_ascii, partitions, segment_hashes, ship_code, text_or_empty, words_of
+from .common import by_bytes, byte_buffers, give_back, lower_ascii, partitions, segment_hashes, ship_code, text_or_empty, words_of
 from .toxicity import _SPACE
 
 Batches = Iterator[pa.RecordBatch]
@@ -424,7 +424,9 @@ def model_of(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     ship_code(docs.sparkSession)
     texts = docs.select(text_or_empty(text_col).alias("text"))
     weight = weights(texts)
-    return weight, latent_space(texts, weight)
+    space = latent_space(texts, weight)
+    give_back()  # the sums
+    return weight, space
 
 
 HITS = "doc_id long, item_id long, lcs double, cosine double, start int, end int"

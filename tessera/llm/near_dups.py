@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, byte_buffers, partitions, scratch, shared_dir, ship_code, text_or_empty, written
+from .common import by_bytes, byte_buffers, give_back, partitions, scratch, shared_dir, ship_code, text_or_empty, written
 from .components import components
 from .shingles import T, band_keys, set_digests, shingle_sets, similar, sketches, small_sketch
 
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ship_code(spark)
+    give_back()
     path = shared_dir(spark, "near-dups")
     with scratch(spark, "near-dups"):
         out = found_groups(docs, id_col, text_col)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, byte_buffers, held_out, lower_ascii, segment_hashes, ship_code, text_or_empty, words_of
+from .common import by_bytes, byte_buffers, give_back, held_out, lower_ascii, segment_hashes, ship_code, text_or_empty, words_of
 
 Batches = Iterator[pa.RecordBatch]
 BUCKETS = 1 << 15
@@ -262,6 +262,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship_code(spark)
     sent = spark.sparkContext.broadcast(slim(model))
+    give_back()  # what training took
     rows = docs.select(F.col(id_col).cast("long").alias("key"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(lambda b: score_batches(b, sent.value), "key long, score double").withColumnRenamed("key", "doc_id")
 
@@ -271,6 +272,7 @@ def judge(docs: DataFrame, model: Model, keep_under: float = THRESHOLD, text_col
     spark = docs.sparkSession
     ship_code(spark)
     sent = spark.sparkContext.broadcast(slim(model))
+    give_back()  # what training took
 
     def run(batches: Batches) -> Batches:
         for part in by_bytes(batches, text_col, 1 << 20):
