@@ -103,6 +103,14 @@ def hot_keys(counted: DataFrame, count: str = "n") -> DataFrame:
     return counted.where(F.col(count) > max(LEAST_HOT, total // HOT_SHARE))
 
 
+def with_hot(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """`rows` with the other columns of `values` (one row a key): rows of hot keys, of which there are a bounded
+    number, by broadcast, all others by a shuffle."""
+    keys = F.broadcast(hot.select(key))
+    some = rows.join(keys, key, "left_semi").join(F.broadcast(values.join(keys, key, "left_semi")), key)
+    return rows.join(keys, key, "left_anti").join(values.join(keys, key, "left_anti"), key).unionByName(some)
+
+
 def give_back() -> None:
     """Hands the memory that this process has freed back to the system; the driver calls it after large steps of its own."""
     gc.collect()
