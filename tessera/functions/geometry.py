@@ -34,7 +34,7 @@ class Box:
 
     def contains(self, point: list[Column]) -> Column:
         """Closed on both ends in every dimension of the box."""
-        return both([p.cast("double").between(single(a), single(b)) for p, a, b in zip(point, self.lo, self.hi)])
+        return both([single(p).between(single(a), single(b)) for p, a, b in zip(point, self.lo, self.hi)])
 
     def overlaps(self, other: Box) -> Column:
         """Closed: boxes that touch overlap."""
@@ -60,9 +60,9 @@ class Ball:
 
     def contains(self, point: list[Column]) -> Column:
         """Closed: points at the radius are inside. The bounding box is named too, for pushdown."""
-        gaps = [p.cast("double") - single(c) for p, c in zip(point, self.center)]
+        gaps = [single(p) - single(c) for p, c in zip(point, self.center)]
         r = single(self.radius)
-        near = both([p.cast("double").between(single(c) - r - F.lit(1e-9), single(c) + r + F.lit(1e-9)) for p, c in zip(point, self.center)])
+        near = both([single(p).between(single(c) - r - F.lit(1e-9), single(c) + r + F.lit(1e-9)) for p, c in zip(point, self.center)])
         return near & (reduce(lambda a, b: a + b, [g * g for g in gaps]) <= r * r)
 
     def box(self) -> Box:
@@ -87,7 +87,7 @@ class Polygon:
         return list(zip(v, v[1:] + v[:1]))
 
     def contains(self, point: list[Column]) -> Column:
-        x, y = (p.cast("double") for p in point[:2])
+        x, y = (single(p) for p in point[:2])
         crossings = F.lit(0)
         for (ax, ay), (bx, by) in self._edges():
             ax, ay, bx, by = single(ax), single(ay), single(bx), single(by)

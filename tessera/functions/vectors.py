@@ -20,3 +20,9 @@ def l2sq(a: Column, b: Column, dim: int | None = None) -> Column:
         return total if total is not None else F.lit(0.0)
     gaps = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
     return F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v * v)
+
+
+def sound(vector: Column, dim: int | None = None) -> Column:
+    """Whether a vector can be searched: not null, not empty, without null or NaN, of `dim` components if given."""
+    length = F.size(vector) == dim if dim is not None else F.size(vector) > 0
+    return vector.isNotNull() & length & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
-from ..functions.vectors import l2sq
+from ..functions.vectors import l2sq, sound
 from ..plans.grid import Grid, adaptive_layers, global_box
 from .filters import And, Everything, Filter, InBall, InBox, InPolygon
-from .knn import answer, exact_knn
+from .graph import GraphIndex
+from .knn import answer, exact_knn, valid
 
 #: Stored cubes that a search names to the reader at most, and cubes listed to find them.
 MOST_CUBES = 4096
@@ -46,12 +47,10 @@ class CubeIndex:
 
     @classmethod
     def build(cls, table: DataFrame, axes: list[str], layers: int = 3, least_points: int = 50, dim: int | None = None) -> CubeIndex:
-        valid = table.where(F.col("embedding").isNotNull())
-        for a in axes:
-            valid = valid.where(F.col(a).isNotNull() & ~F.isnan(a))
-        lo, hi = global_box(valid, axes)
-        grid = Grid(tuple(lo), tuple(hi), adaptive_layers(valid.count(), len(axes), layers, least_points))
-        return cls(grid.assign(valid, axes), axes, grid, dim)
+        rows = valid(table, axes, dim)
+        lo, hi = global_box(rows, axes)
+        grid = Grid(tuple(lo), tuple(hi), adaptive_layers(rows.count(), len(axes), layers, least_points))
+        return cls(grid.assign(rows, axes), axes, grid, dim)
 
     @property
     def point(self):
@@ -81,6 +80,30 @@ class CubeIndex:
             cls.build(table, axes, **options).save(path)
         return cls.load(spark, path, len(axes))
 
+    def beside(self, layer: int) -> DataFrame:
+        """grp, other: the occupied cubes of a layer that share a face."""
+        held = self.table.select(F.col(f"cube_{layer}").alias("grp")).distinct()
+        near = self.grid.adjacency(held, "grp", layer).select("grp", F.col("neighbor_id").alias("other"))
+        return near.join(held.withColumnRenamed("grp", "other"), "other").select("grp", "other")
+
+    def graph(self, layer: int, m: int = 16, cross: int = 2, **options) -> GraphIndex:
+        """A neighbour graph within the cubes of a layer, with edges between cubes that share a face."""
+        return GraphIndex.build(self.table, f"cube_{layer}", self.axes, m, beside=self.beside(layer), cross=cross, dim=self.dim, **options)
+
+    def starts(self, queries: DataFrame, keep: Filter, layer: int, mode: str = "cubes") -> DataFrame:
+        """qid, grp: where a graph search begins. cubes: in every cube that the filter can touch; fly: in the
+        cube of the filter's center, or, if that is empty, as before."""
+        listed = self.cube_list(queries, keep, layer).select("qid", F.col("cube_id").alias("grp"))
+        if mode == "cubes":
+            return listed
+        held = self.table.select(F.col(f"cube_{layer}").alias("grp")).distinct()
+        center = queries.select("qid", self.grid.cube_of(self.center(keep), layer).alias("grp")).join(held, "grp", "left_semi")
+        return center.select("qid", "grp").unionByName(listed.join(center.select("qid"), "qid", "left_anti"))
+
+    def center(self, keep: Filter) -> list:
+        box = keep.bounds() or Box(list(self.grid.lo), list(self.grid.hi))
+        return box.center() + [(F.lit(a) + F.lit(b)) / 2 for a, b in zip(self.grid.lo[len(box.lo) :], self.grid.hi[len(box.lo) :])]
+
     def points_per_cube(self, layer: int) -> DataFrame:
         return self.table.groupBy(F.col(f"cube_{layer}").alias("cube_id")).agg(F.count("*").alias("n"))
 
@@ -130,7 +153,7 @@ class CubeIndex:
 
     def search(self, queries: DataFrame, k: int, keep: Filter | None = None, mode: str = "cubes", layer: int | None = None) -> DataFrame:
         """qid, rank, vec_id, dist for queries (qid, qv and the columns that the filter names)."""
-        keep = keep or Everything()
+        keep, queries = keep or Everything(), queries.where(sound(F.col("qv"), self.dim))
         if mode == "exact" or mode == "cubes" and keep.bounds() is None:
             return exact_knn(self.rows_for(queries, keep), queries, k, self.point, keep, self.dim)
         out = None
@@ -163,9 +186,7 @@ class CubeIndex:
         """The queries, once for every cube reached from the filter's center.
 
         A query's cubes with rows that pass meet in one row: a grid has a bounded number of them."""
-        box = keep.bounds() or Box(list(self.grid.lo), list(self.grid.hi))
-        center = box.center() + [(F.lit(a) + F.lit(b)) / 2 for a, b in zip(self.grid.lo[len(box.lo) :], self.grid.hi[len(box.lo) :])]
-        start = queries.select("qid", self.grid.cube_of(center, layer).alias("start"))
+        start = queries.select("qid", self.grid.cube_of(self.center(keep), layer).alias("start"))
         rows = self.rows_for(queries, keep).withColumn("cube_id", F.col(f"cube_{layer}")).select("cube_id", *self.axes)
         holds = rows.join(self.cube_list(queries, keep, layer), "cube_id").where(keep.column(self.point)).groupBy("qid").agg(F.collect_set("cube_id").alias("holds"))
         c, dims = self.grid.cubes(layer), self.grid.dims

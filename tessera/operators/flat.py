@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
 from .filters import Filter, InBox
-from .knn import exact_knn, post_filter
+from .knn import exact_knn, post_filter, valid
 
 
 class FlatIndex:
@@ -15,7 +15,7 @@ class FlatIndex:
         self.axes, self.dim, self.table = axes, dim, None
 
     def build(self, table: DataFrame) -> FlatIndex:
-        self.table = table
+        self.table = valid(table, self.axes, self.dim)
         return self
 
     def save(self, path: str) -> None:

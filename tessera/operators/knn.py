@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2sq
+from ..functions.vectors import l2sq, sound
 from .filters import Everything, Filter
 
 #: A side is broadcast only if it has at most this many rows; larger query tables go in blocks.
@@ -33,10 +33,19 @@ def query_blocks(queries: DataFrame) -> list[DataFrame]:
     return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(2 * n)) == i) for i in range(2 * n)]
 
 
+def valid(table: DataFrame, axes: list[str], dim: int | None = None) -> DataFrame:
+    """The rows that an index holds: with a vector that can be searched and a number on every axis, in single precision."""
+    rows = table.where(sound(F.col("embedding"), dim))
+    for a in axes:
+        rows = rows.where(F.col(a).isNotNull() & ~F.isnan(a))
+    return rows.withColumns({a: F.col(a).cast("float") for a in axes})
+
+
 def exact_knn(base: DataFrame, queries: DataFrame, k: int, point: list[Column], keep: Filter | None = None, dim: int | None = None, extra: list[str] | None = None) -> DataFrame:
     """qid, rank, vec_id, dist: for each query (qid, qv, filter columns) the k nearest rows of `base`
-    (vec_id, embedding, attributes) that pass the filter."""
+    (vec_id, embedding, attributes) that pass the filter. Rows and queries without a sound vector take no part."""
     test = (keep or Everything()).column(point)
+    base, queries = base.where(sound(F.col("embedding"), dim)), queries.where(sound(F.col("qv"), dim))
     out = None
     for block in query_blocks(queries):
         pairs = base.join(F.broadcast(block), test, "inner")
@@ -50,6 +59,7 @@ def post_filter(base: DataFrame, queries: DataFrame, k: int, point: list[Column]
 
     An approximate mode: it can return fewer than k rows though more would pass.
     """
+    base, queries = base.where(sound(F.col("embedding"), dim)), queries.where(sound(F.col("qv"), dim))
     out = None
     for block in query_blocks(queries):
         pairs = base.crossJoin(F.broadcast(block)).withColumn("dist", l2sq(F.col("embedding"), F.col("qv"), dim))

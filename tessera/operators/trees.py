@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import both, single
-from ..functions.vectors import l2sq
+from ..functions.vectors import l2sq, sound
 from ..plans.shared import ranked, written
 from .filters import Everything, Filter, InBox
-from .knn import answer, query_blocks
+from .knn import answer, query_blocks, valid
 
 
 def str_leaves(points: DataFrame, axes: list[str], capacity: int = 1000, key: str = "vec_id") -> DataFrame:
@@ -73,10 +73,12 @@ class TreeIndex:
 
     @classmethod
     def rtree(cls, table: DataFrame, axes: list[str], capacity: int = 1000, dim: int | None = None) -> TreeIndex:
+        table = valid(table, axes, dim)
         return cls._of(table, str_leaves(table.select("vec_id", *axes), axes, capacity), axes, dim, "rtree")
 
     @classmethod
     def kdtree(cls, table: DataFrame, axes: list[str], depth: int, dim: int | None = None) -> TreeIndex:
+        table = valid(table, axes, dim)
         return cls._of(table, kd_leaves(table.select("vec_id", *axes), axes, depth), axes, dim, "kdtree")
 
     def save(self, path: str) -> None:
@@ -118,6 +120,7 @@ class TreeIndex:
         test = keep.column([F.col(a) for a in self.axes])
         if not force_scan:
             test = F.col("inside_") | test
+        queries = queries.where(sound(F.col("qv"), self.dim))
         pairs = self.leaves.join(self.visited(queries, keep), "leaf_id")
         dist = l2sq(F.col("embedding"), F.col("qv"), self.dim).alias("dist")
         if leaf_oversample:

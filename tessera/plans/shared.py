@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
 #: Masters whose executors are threads of the driver.
 LOCAL = re.compile(r"local(\[[^\]]*\])?")
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application; nothing is done where PYTHONPATH
+    already holds the package's folder."""
+    root = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    target = Path(tempfile.mkdtemp()) / "tessera_search.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in (root / "tessera").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder of its own under spark.checkpoint.dir (a temporary one where executors are threads of the driver and it is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -32,6 +51,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranked(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:
     """`df` with its row number in that order over the whole table, without one task that holds it all.
 

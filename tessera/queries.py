@@ -16,10 +16,11 @@ from .operators.cube import CubeIndex
 from .operators.evaluate import distance_ratio, recall, selectivity, sweep
 from .operators.filters import Everything, InBall, InBox, InPolygon, Not, composite, label_filter
 from .operators.flat import FlatIndex
+from .operators.graph import GraphIndex, nearest_across, neighbour_graph
 from .operators.knn import exact_knn, post_filter
 from .operators.trees import TreeIndex, kd_leaves, leaf_boxes, str_leaves
 from .plans.grid import EPSILON, Grid, global_box, ring_cube, ring_neighbours, two_cubes
-from .plans.shared import shared_dir
+from .plans.shared import shared_dir, written
 from .sources.records import attach, read_attributes, register, write_records
 
 # Factors and moduli of the derived attributes.
@@ -27,6 +28,7 @@ PRIMES = ((7919, 1009), (104729, 1013), (1299709, 1019), (15485863, 1021))
 EVERY, DIM, K, HALF, RADIUS = 50, 64, 10, 0.2, 0.25
 POLYGON = [(0.25, 0.125), (0.875, 0.25), (0.75, 0.875), (0.375, 0.625)]
 LAYERS, LAYER, CAPACITY, DEPTH = 6, 2, 50, 3
+GRAPH_LAYER, EDGES, CROSS, EF = 0, 16, 2, 64
 
 
 def attributes(df: DataFrame, n: int = 2, key: str = "vec_id", prefix: str = "a") -> DataFrame:
@@ -162,8 +164,47 @@ def q_cube_histogram(spark, sf):
 
 
 def q_cube_adjacency(spark, sf):
-    grid = grid_of(base(spark, sf))
-    return grid.adjacency(spark.range(16).select(F.col("id").alias("cube_id")), "cube_id", 1)
+    """The face neighbours of every cube that holds rows."""
+    index = index_of(spark, sf)
+    return index.grid.adjacency(index.table.select(F.col(f"cube_{LAYER}").alias("cube_id")).distinct(), "cube_id", LAYER)
+
+
+def q_cross_edges(spark, sf):
+    """The edges of every row to its nearest rows in cubes that share a face with its own."""
+    index = index_of(spark, sf)
+    nodes = index.table.select("vec_id", F.col(f"cube_{GRAPH_LAYER}").alias("grp"), "embedding")
+    return nearest_across(nodes, index.beside(GRAPH_LAYER), CROSS).withColumn("dist", F.round("dist", 6))
+
+
+def q_neighbour_graph(spark, sf):
+    """Edges of the neighbour graph that are among the true ones, over all rows."""
+    nodes = written(index_of(spark, sf).table.select("vec_id", F.col(f"cube_{GRAPH_LAYER}").alias("grp"), "embedding"), "nodes")
+    near = neighbour_graph(nodes, EDGES, dim=DIM).select("u", "v").withColumn("hit", F.lit(1))
+    truth = nearest_across(nodes, nodes.select("grp", F.col("grp").alias("other")).distinct(), EDGES)
+    return truth.join(near, ["u", "v"], "left").agg(F.count("*").alias("relevant"), (F.sum("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+def enough(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Whether the recall of an approximate search is 0.9 or more."""
+    return recall(found, truth, K).select("relevant", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def q_graph_search(name: str, mode: str):
+    def run(spark, sf):
+        index, asks, keep = index_of(spark, sf), asked(spark, sf), FILTERS[name]()
+        starts = index.starts(asks, keep, GRAPH_LAYER, mode)
+        found = index.graph(GRAPH_LAYER, EDGES, CROSS).search(asks, starts, K, keep, EF, across=mode == "fly", width=EF)
+        return enough(found, knn(FILTERS[name])(spark, sf))
+
+    return run
+
+
+def q_graph_search_leaves(spark, sf):
+    """Graphs within the leaves of a tree, searched in the leaves that each query's box meets."""
+    tree, asks, keep = TreeIndex.kdtree(base(spark, sf), ["a0", "a1"], DEPTH, DIM), asked(spark, sf), InBox(own_box())
+    graph = GraphIndex.build(tree.leaves, "leaf_id", ["a0", "a1"], EDGES, dim=DIM)
+    starts = tree.visited(asks, keep).select("qid", F.col("leaf_id").alias("grp"))
+    return enough(graph.search(asks, starts, K, keep, EF, width=EF), knn(FILTERS["bbox"])(spark, sf))
 
 
 def q_layer(kind: str):
@@ -451,6 +492,17 @@ _AROUND = [f"{_f(f'q{i}')} - {_f(str(RADIUS))}" for i in range(2)], [f"{_f(f'q{i
 _SIZED = " AND ".join(f"(b.a{i}::double BETWEEN {_f(f'q.q{i}::double - {_HALF_N}')} AND {_f(f'q.q{i}::double + {_HALF_N}')})" for i in range(2))
 _COMPOSITE = f"{_box_sql()} AND NOT {_ball_sql(2, '0.125')}"
 
+_ADJACENT = f""", held AS (SELECT DISTINCT {_cube_sql(LAYER)} AS cube_id FROM b, g),
+adjacent AS (SELECT cube_id, ord, CAST(cube_id + step AS BIGINT) AS neighbor_id FROM held, (VALUES (0, -1, 0), (1, 1, 0), (2, -{2 ** (LAYER + 1)}, 1), (3, {2 ** (LAYER + 1)}, 1)) s(ord, step, axis)
+WHERE CASE WHEN axis = 0 THEN cube_id % {2 ** (LAYER + 1)} + step BETWEEN 0 AND {2 ** (LAYER + 1) - 1} ELSE cube_id + step BETWEEN 0 AND {4 ** (LAYER + 1) - 1} END)"""
+_GRAPH_CUBES = f""", c0 AS (SELECT b.*, {_cube_sql(GRAPH_LAYER)} AS cube_id FROM b, g),
+c AS (SELECT *, cube_id % {2 ** (GRAPH_LAYER + 1)} AS x, cube_id // {2 ** (GRAPH_LAYER + 1)} AS y FROM c0)"""
+
+
+def _relevant(where: str) -> str:
+    return _with() + f" SELECT CAST(sum(least(n, {K})) AS BIGINT) AS relevant, true AS enough FROM (SELECT count(*) AS n FROM q JOIN b ON {where} GROUP BY qid)"
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -474,12 +526,21 @@ def _all() -> dict[str, tuple[Query, str]]:
         "global_bbox": (q_global_bbox, _with() + _GRID + " SELECT 0::int AS axis, round(g0, 9) AS lo, round(h0, 9) AS hi FROM g UNION ALL SELECT 1::int, round(g1, 9), round(h1, 9) FROM g"),
         "cube_assign": (q_cube_assign, _with() + _GRID + f" SELECT vec_id, {_cube_sql(0)} AS cube_0, {_cube_sql(1)} AS cube_1, {_cube_sql(2)} AS cube_2 FROM b, g"),
         "cube_histogram": (q_cube_histogram, _with() + _GRID + f" SELECT {_cube_sql(LAYER)} AS cube_id, count(*) AS n FROM b, g GROUP BY 1"),
-        "cube_adjacency": (
-            q_cube_adjacency,
-            """SELECT CAST(c AS BIGINT) AS cube_id, ord, CAST(c + step AS BIGINT) AS neighbor_id FROM range(16) t(c),
-(VALUES (0, -1, 0), (1, 1, 0), (2, -4, 1), (3, 4, 1)) s(ord, step, axis)
-WHERE CASE WHEN axis = 0 THEN c % 4 + step BETWEEN 0 AND 3 ELSE c + step BETWEEN 0 AND 15 END""",
+        "cube_adjacency": (q_cube_adjacency, _with() + _GRID + _ADJACENT + " SELECT cube_id, ord, neighbor_id FROM adjacent"),
+        "cross_edges": (
+            q_cross_edges,
+            _with() + _GRID + _GRAPH_CUBES + f""", e AS (SELECT b.vec_id AS u, o.vec_id AS v, {DIST.replace("q.qv", "o.embedding")} AS dist FROM c b JOIN c o ON abs(b.x - o.x) + abs(b.y - o.y) = 1)
+SELECT u, v, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY dist, v) AS place FROM e) WHERE place <= {CROSS}""",
+        ),
+        "neighbour_graph": (
+            q_neighbour_graph,
+            _with() + _GRID + _GRAPH_CUBES + f" SELECT CAST(sum(n * least(n - 1, {EDGES})) AS BIGINT) AS relevant, true AS enough FROM (SELECT count(*) AS n FROM c GROUP BY x, y)",
         ),
+        "graph_search_bbox": (q_graph_search("bbox", "cubes"), _relevant(_box_sql())),
+        "graph_search_composite": (q_graph_search("composite", "cubes"), _relevant(_COMPOSITE)),
+        "graph_search_fly_radius": (q_graph_search("radius", "fly"), _relevant(_ball_sql())),
+        "graph_search_fly_polygon": (q_graph_search("polygon", "fly"), _relevant(_polygon_sql())),
+        "graph_search_leaves": (q_graph_search_leaves, _relevant(_box_sql())),
         "layer_select_bbox": (
             q_layer("bbox"),
             _layer_sql(lambda k: " OR ".join(f"{_f(f'q{d}::double + {_HALF_N}')} - {_f(f'q{d}::double - {_HALF_N}')} > {_width(d, k)}" for d in range(2))),
