@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import both, single
 from ..functions.vectors import l2sq, sound
+from ..plans.boxes import meeting, named_ranges, within
 from ..plans.shared import ranked, written
 from .filters import Everything, Filter, InBox
-from .knn import answer, query_blocks, valid
+from .knn import MOST_BROADCAST, answer, exact_knn, query_blocks, valid
 
 
 def str_leaves(points: DataFrame, axes: list[str], capacity: int = 1000, key: str = "vec_id") -> DataFrame:
@@ -61,15 +62,18 @@ class TreeIndex:
     """Leaves of either tree with their boxes; a search visits the leaves whose boxes meet the filter's.
 
     kind: "rtree" or "kdtree". vec_id is a key of the table: the trees are built of it and the axes alone.
+    A saved tree's rows stand in the order of their leaves, its boxes beside them: a search names to the reader
+    the ranges of leaves that it visits, which the files' statistics cut.
     """
 
-    def __init__(self, leaves: DataFrame, axes: list[str], dim: int | None = None, kind: str = "rtree"):
+    def __init__(self, leaves: DataFrame, axes: list[str], dim: int | None = None, kind: str = "rtree", boxes: DataFrame | None = None):
         self.leaves, self.axes, self.dim, self.kind = leaves, axes, dim, kind
-        self.boxes = leaf_boxes(leaves, axes)
+        self.boxes = boxes if boxes is not None else leaf_boxes(leaves, axes)
 
     @classmethod
     def _of(cls, table: DataFrame, leaves: DataFrame, axes: list[str], dim: int | None, kind: str) -> TreeIndex:
-        return cls(written(table.join(leaves.select("vec_id", "leaf_id"), "vec_id"), kind), axes, dim, kind)
+        leaves = written(leaves.select("vec_id", *axes, "leaf_id"), "leaves")
+        return cls(table.join(leaves.select("vec_id", "leaf_id"), "vec_id"), axes, dim, kind, written(leaf_boxes(leaves, axes), "boxes"))
 
     @classmethod
     def rtree(cls, table: DataFrame, axes: list[str], capacity: int = 1000, dim: int | None = None) -> TreeIndex:
@@ -81,15 +85,18 @@ class TreeIndex:
         table = valid(table, axes, dim)
         return cls._of(table, kd_leaves(table.select("vec_id", *axes), axes, depth), axes, dim, "kdtree")
 
-    def save(self, path: str) -> None:
-        self.leaves.write.mode("overwrite").partitionBy("leaf_id").parquet(f"{path}/rows")
+    def save(self, path: str, files: int | None = None) -> None:
+        """Rows in the order of their leaves, in `files` files (else as many as shuffle partitions)."""
+        n = files or int(self.leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.leaves.repartitionByRange(n, "leaf_id").sortWithinPartitions("leaf_id").write.mode("overwrite").parquet(f"{path}/rows")
+        self.boxes.write.mode("overwrite").parquet(f"{path}/boxes")
         about = json.dumps({"axes": self.axes, "dim": self.dim, "kind": self.kind})
         self.leaves.sparkSession.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
     def load(cls, spark, path: str) -> TreeIndex:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        return cls(spark.read.parquet(f"{path}/rows"), about["axes"], about["dim"], about["kind"])
+        return cls(spark.read.parquet(f"{path}/rows"), about["axes"], about["dim"], about["kind"], spark.read.parquet(f"{path}/boxes"))
 
     def counters(self, scan_threshold: int = 100) -> DataFrame:
         """Leaves, and how many of them are small enough to scan: a KD node under the threshold, an R-tree leaf up to it."""
@@ -97,31 +104,35 @@ class TreeIndex:
         return self.boxes.agg(F.count("*").alias("leaves"), F.count_if(small).alias("scan_leaves"))
 
     def visited(self, queries: DataFrame, keep: Filter) -> DataFrame:
-        """The queries, once for every leaf whose box meets the filter's bounds; `inside_` where the filter
-        is a box that holds the leaf whole. Queries are broadcast, in blocks of bounded size."""
-        box = keep.bounds()
-        test, inside = F.lit(True), F.lit(isinstance(keep, Everything))
-        if box is not None:
-            sides = [(F.col(f"lo_{a}").cast("double"), F.col(f"hi_{a}").cast("double"), single(lo), single(hi)) for a, lo, hi in zip(self.axes, box.lo, box.hi)]
-            test = both([(b >= lo) & (a <= hi) for a, b, lo, hi in sides])
-            if isinstance(keep, InBox):
-                inside = both([(a >= lo) & (b <= hi) for a, b, lo, hi in sides])
-        out = None
-        for block in query_blocks(queries):
-            met = self.boxes.join(F.broadcast(block), test).select(*queries.columns, "leaf_id", inside.alias("inside_"))
-            out = met if out is None else out.unionByName(met)
-        return out
+        """The queries, once for every leaf whose box meets the filter's bounds; `inside_` where the filter is
+        a box that holds the leaf whole. A filter without bounds visits every leaf, query by query."""
+        box, boxes = keep.bounds(), self.boxes.drop("n")
+        if box is None:
+            every = None
+            for block in query_blocks(queries):
+                met = boxes.crossJoin(F.broadcast(block))
+                every = met if every is None else every.unionByName(met)
+            return every.select(*queries.columns, "leaf_id", F.lit(isinstance(keep, Everything)).alias("inside_"))
+        inside = F.lit(False)
+        if isinstance(keep, InBox):
+            sides = zip(self.axes, box.lo, box.hi)
+            inside = both([(F.col(f"lo_{a}").cast("double") >= single(lo)) & (F.col(f"hi_{a}").cast("double") <= single(hi)) for a, lo, hi in sides])
+        return meeting(boxes, self.axes, queries, box).select(*queries.columns, "leaf_id", inside.alias("inside_"))
 
     def search(self, queries: DataFrame, k: int, keep: Filter | None = None, leaf_oversample: int | None = None, force_scan: bool = False) -> DataFrame:
         """qid, rank, vec_id, dist. Rows of leaves that lie inside a box need no test (force_scan: tested
         all the same). leaf_oversample: take that many times k nearest of each leaf before the filter
         (approximate) instead of filtering first."""
-        keep = keep or Everything()
+        keep, queries = keep or Everything(), queries.where(sound(F.col("qv"), self.dim))
         test = keep.column([F.col(a) for a in self.axes])
         if not force_scan:
             test = F.col("inside_") | test
-        queries = queries.where(sound(F.col("qv"), self.dim))
-        pairs = self.leaves.join(self.visited(queries, keep), "leaf_id")
+        if keep.bounds() is None and not leaf_oversample:
+            return exact_knn(self.leaves, queries, k, [F.col(a) for a in self.axes], keep, self.dim)
+        visits = written(self.visited(queries, keep).select("qid", "leaf_id", "inside_"), "visits")
+        rows = within(self.leaves, "leaf_id", named_ranges(visits, "leaf_id", "leaf_id"))
+        asked = F.broadcast(queries) if queries.count() <= MOST_BROADCAST else queries
+        pairs = rows.join(visits, "leaf_id").join(asked, "qid")
         dist = l2sq(F.col("embedding"), F.col("qv"), self.dim).alias("dist")
         if leaf_oversample:
             near = W.partitionBy("qid", "leaf_id").orderBy("dist", "vec_id")

@@ -17,6 +17,7 @@ from .operators.evaluate import distance_ratio, recall, selectivity, sweep
 from .operators.filters import Everything, InBall, InBox, InPolygon, Not, composite, label_filter
 from .operators.flat import FlatIndex
 from .operators.graph import GraphIndex, nearest_across, neighbour_graph
+from .operators.kdtree import KdTree, kd_tree
 from .operators.knn import exact_knn, post_filter
 from .operators.trees import TreeIndex, kd_leaves, leaf_boxes, str_leaves
 from .plans.grid import EPSILON, Grid, global_box, ring_cube, ring_neighbours, two_cubes
@@ -28,7 +29,7 @@ PRIMES = ((7919, 1009), (104729, 1013), (1299709, 1019), (15485863, 1021))
 EVERY, DIM, K, HALF, RADIUS = 50, 64, 10, 0.2, 0.25
 POLYGON = [(0.25, 0.125), (0.875, 0.25), (0.75, 0.875), (0.375, 0.625)]
 LAYERS, LAYER, CAPACITY, DEPTH = 6, 2, 50, 3
-GRAPH_LAYER, EDGES, CROSS, EF = 0, 16, 2, 64
+GRAPH_LAYER, EDGES, CROSS, EF, TASK_ROWS, LEVELS = 0, 16, 2, 64, 128, 24
 
 
 def attributes(df: DataFrame, n: int = 2, key: str = "vec_id", prefix: str = "a") -> DataFrame:
@@ -289,6 +290,23 @@ def q_kdtree_leaves(spark, sf):
     return kd_leaves(base(spark, sf).drop("embedding"), ["a0", "a1"], DEPTH).select("vec_id", "leaf_id")
 
 
+def q_kdtree_nodes(spark, sf):
+    """Every node of the tree down to single vectors."""
+    nodes = kd_tree(base(spark, sf).drop("embedding"), ["a0", "a1"], TASK_ROWS)[1]
+    return nodes.select("node", "first", "n", *(F.col(f"{x}_a{i}").alias(f"{x}_a{i}") for i in range(2) for x in ("lo", "hi")))
+
+
+def q_kdtree_ranges(name: str):
+    """A stored tree, searched by ranges of positions."""
+
+    def run(spark, sf):
+        path = shared_dir(spark, "kdtree")
+        KdTree.build(base(spark, sf), ["a0", "a1"], DIM, TASK_ROWS).save(path)
+        return KdTree.load(spark, path).search(asked(spark, sf), K, FILTERS[name](), CAPACITY)
+
+    return run
+
+
 def q_kdtree_search(spark, sf):
     return TreeIndex.kdtree(base(spark, sf), ["a0", "a1"], DEPTH, DIM).search(asked(spark, sf), K, InBox(own_box()))
 
@@ -420,6 +438,16 @@ k{d + 1} AS (SELECT vec_id, embedding, a0, a1, node * 2 + CASE WHEN row_number()
     return out
 
 
+def _nodes_sql() -> str:
+    """All nodes, level by level; a level of single rows is the last."""
+    out = ", t0 AS (SELECT vec_id, a0, a1, 1::bigint AS node, 0::bigint AS first FROM b)"
+    for d in range(LEVELS):
+        out += f""", n{d} AS (SELECT node, first, count(*) AS n, min(a0)::double AS lo_a0, max(a0)::double AS hi_a0, min(a1)::double AS lo_a1, max(a1)::double AS hi_a1 FROM t{d} GROUP BY node, first),
+s{d} AS (SELECT vec_id, a0, a1, t.node, t.first, n, row_number() OVER (PARTITION BY t.node ORDER BY CASE WHEN hi_a0 - lo_a0 >= hi_a1 - lo_a1 THEN a0 ELSE a1 END, vec_id) - 1 >= n // 2 AS r FROM t{d} t JOIN n{d} m ON t.node = m.node WHERE n > 1),
+t{d + 1} AS MATERIALIZED (SELECT vec_id, a0, a1, node * 2 + r::int AS node, first + CASE WHEN r THEN n // 2 ELSE 0 END AS first FROM s{d})"""
+    return out + " " + " UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(LEVELS))
+
+
 _REACHED = f"""reached AS (SELECT qid, cube_id FROM center UNION
   SELECT r.qid, h.cube_id FROM reached r JOIN holds h ON h.qid = r.qid AND (
     abs(h.cube_id % {2 ** (LAYER + 1)} - r.cube_id % {2 ** (LAYER + 1)}) + abs(h.cube_id // {2 ** (LAYER + 1)} - r.cube_id // {2 ** (LAYER + 1)}) = 1))"""
@@ -606,6 +634,9 @@ UNION ALL SELECT 'kdtree', count(*), count_if(n < 63) FROM (SELECT node, count(*
         "rtree_leaves": (q_rtree_leaves, _with() + _str_sql() + " SELECT CAST(leaf_id AS BIGINT) AS leaf_id, count(*) AS n, min(a0) AS lo_a0, max(a0) AS hi_a0, min(a1) AS lo_a1, max(a1) AS hi_a1 FROM r1 GROUP BY 1"),
         "rtree_search": (rounded(q_rtree_search), _knn_sql(_box_sql())),
         "kdtree_leaves": (q_kdtree_leaves, _with() + _kd_sql() + f" SELECT vec_id, CAST(node AS BIGINT) AS leaf_id FROM k{DEPTH}"),
+        "kdtree_nodes": (q_kdtree_nodes, _with() + _nodes_sql()),
+        "kdtree_ranges_bbox": (rounded(q_kdtree_ranges("bbox")), _knn_sql(_box_sql())),
+        "kdtree_ranges_composite": (rounded(q_kdtree_ranges("composite")), _knn_sql(_COMPOSITE)),
         "kdtree_search": (rounded(q_kdtree_search), _knn_sql(_box_sql())),
         "postfilter_oversample": (rounded(oversampled), _with() + f", {_OVER} " + _rounded(_ranked(f"SELECT q.qid, b.vec_id, dist FROM o b JOIN q USING (qid) WHERE {_box_sql()}"))),
         "selectivity": (
