@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
@@ -29,6 +30,26 @@ def _ball_of(keep: Filter):
     return None
 
 
+@dataclass
+class Watch:
+    """What a search has done, over its queries. Readable after the search has run; seconds are the caller's."""
+
+    queries: int
+    rows: int
+    seen: list[tuple[Observation, Observation]]
+
+    def averages(self) -> dict[str, float]:
+        """Cubes visited and distances computed a query, and the share of all rows that these are."""
+        visited = sum(cubes.get["visited"] for cubes, _ in self.seen)
+        distances = sum(pairs.get["distances"] for _, pairs in self.seen)
+        n = max(1, self.queries)
+        return {"visited": visited / n, "distances": distances / n, "selectivity": distances / n / max(1, self.rows)}
+
+    def per_second(self, seconds: float) -> float:
+        """Queries a second of wall time."""
+        return self.queries / seconds if seconds > 0 else float("inf")
+
+
 class CubeIndex:
     """A table of vectors with the cube of every layer beside them.
 
@@ -163,6 +184,20 @@ class CubeIndex:
             out = found if out is None else out.unionByName(found)
         return out if out is not None else exact_knn(self.table, queries, k, self.point, keep, self.dim)
 
+    def watched(self, queries: DataFrame, k: int, keep: Filter, mode: str = "cubes", layer: int | None = None) -> tuple[DataFrame, Watch]:
+        """A search, and what it did once it has run: counted by the plan itself, in the same pass."""
+        out, seen = None, []
+        for at, some in self.by_layer(queries.where(sound(F.col("qv"), self.dim)), keep, layer):
+            cubes, pairs = Observation(), Observation()
+            listed = (self.cube_list(some, keep, at) if mode == "cubes" else self.reachable(some, keep, at)).observe(cubes, F.count("*").alias("visited"))
+            rows = self.rows_for(some, keep).withColumn("cube_id", F.col(f"cube_{at}"))
+            passed = rows.join(listed, "cube_id").where(keep.column(self.point)).observe(pairs, F.count("*").alias("distances"))
+            found = answer(passed.select("qid", "vec_id", l2sq(F.col("embedding"), F.col("qv"), self.dim).alias("dist")), k)
+            out = found if out is None else out.unionByName(found)
+            seen.append((cubes, pairs))
+        out = out if out is not None else exact_knn(self.table.limit(0), queries, k, self.point, keep, self.dim)
+        return out, Watch(queries.count(), self.table.count(), seen)
+
     def metrics(self, queries: DataFrame, keep: Filter, mode: str = "cubes", layer: int | None = None) -> DataFrame:
         """What a search does for each query: its layer, the cubes visited and in all, the rows in the
         visited cubes, the distances computed, and the share of all rows that they are."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import Filter
-from .knn import query_blocks
+from .knn import paired
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -28,13 +28,9 @@ def distance_ratio(found: DataFrame, truth: DataFrame) -> DataFrame:
 def selectivity(base: DataFrame, queries: DataFrame, point: list[Column], keep: Filter) -> DataFrame:
     """Share of the rows that pass, for each query; queries without any count as 0."""
     n = base.agg(F.count("*").alias("n_"))
-    out = None
-    for block in query_blocks(queries):
-        passed = base.join(F.broadcast(block), keep.column(point)).groupBy("qid").agg(F.count("*").alias("passed"))
-        some = block.select("qid").join(passed, "qid", "left").crossJoin(F.broadcast(n))
-        some = some.select("qid", F.coalesce("passed", F.lit(0)).alias("passed"), F.round(F.coalesce("passed", F.lit(0)) / F.col("n_"), 6).alias("selectivity"))
-        out = some if out is None else out.unionByName(some)
-    return out
+    passed = paired(base, queries, keep.column(point)).groupBy("qid").agg(F.count("*").alias("passed"))
+    every = queries.select("qid").join(passed, "qid", "left").crossJoin(F.broadcast(n))
+    return every.select("qid", F.coalesce("passed", F.lit(0)).alias("passed"), F.round(F.coalesce("passed", F.lit(0)) / F.col("n_"), 6).alias("selectivity"))
 
 
 def sweep(search, truth: DataFrame, k: int, knobs: list[int], enough: float = 0.995) -> list[tuple[int, float]]:

@@ -7,10 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2sq, sound
+from ..plans.shared import written
 from .filters import Everything, Filter
 
-#: A side is broadcast only if it has at most this many rows; larger query tables go in blocks.
+#: A side is broadcast only if it has at most this many rows.
 MOST_BROADCAST = 4096
+#: With more queries than this, one in SAMPLE rows is searched first, to bound the search of all.
+FEW_QUERIES = 64
+SAMPLE = 64
 
 
 def top_k(pairs: DataFrame, k: int, by: str = "dist", tie: str = "vec_id", query: str = "qid") -> DataFrame:
@@ -27,10 +31,42 @@ def answer(pairs: DataFrame, k: int) -> DataFrame:
     return top_k(pairs, k).select("qid", "rank", "vec_id", "dist")
 
 
-def query_blocks(queries: DataFrame) -> list[DataFrame]:
-    """The queries whole if few, else in blocks that can be broadcast."""
-    n = -(-queries.count() // MOST_BROADCAST)
-    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(2 * n)) == i) for i in range(2 * n)]
+def paired(base: DataFrame, queries: DataFrame, test: Column | None = None) -> DataFrame:
+    """Rows beside queries, where `test` holds; the base is read once, however many queries there are.
+
+    Few queries are broadcast. More are copied to as many parts as a shuffle has, into which the rows are
+    dealt: each part joins its rows with all queries.
+    """
+    test = F.lit(True) if test is None else test
+    if queries.count() <= MOST_BROADCAST:
+        return base.join(F.broadcast(queries), test)
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = base.withColumn("part_", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    # the rows of a part are held, the queries stream by
+    return asked.hint("merge").join(rows, "part_").where(test).drop("part_")
+
+
+def nearest_pairs(base: DataFrame, queries: DataFrame, k: int, test: Column, dim: int | None) -> DataFrame:
+    """All columns of pairs that pass, with dist, among them the k nearest of each query.
+
+    Where there are many queries, the k-th nearest of one in SAMPLE rows bounds how far the k-th nearest of all
+    can be: pairs beyond it are dropped at once instead of being sorted; lengths of vectors tell most of them
+    without a distance where these differ.
+    """
+    dist = l2sq(F.col("embedding"), F.col("qv"), dim)
+    if queries.count() <= FEW_QUERIES:
+        return paired(base, queries, test).withColumn("dist", dist)
+    length = lambda v: F.sqrt(F.aggregate(F.col(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    some = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(SAMPLE)) == 0)
+    near = top_k(paired(some, queries, test).select("qid", "vec_id", dist.alias("dist")), k)
+    bounds = near.where(F.col("rank") == k).select("qid", F.col("dist").alias("tau_"))
+    asked = written(queries.join(bounds, "qid", "left").withColumns({"tau_": F.coalesce("tau_", F.lit(float("inf"))), "length_q": length("qv")}), "bounded")
+    gap = F.col("length_v") - F.col("length_q")
+    # lengths are rounded: a hair more is let through
+    close = gap * gap <= F.col("tau_") * (1 + 1e-9) + 1e-9
+    pairs = paired(base.withColumn("length_v", length("embedding")), asked, test & close)
+    return pairs.withColumn("dist", dist).where("dist <= tau_").drop("tau_", "length_q", "length_v")
 
 
 def valid(table: DataFrame, axes: list[str], dim: int | None = None) -> DataFrame:
@@ -46,12 +82,7 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, point: list[Column],
     (vec_id, embedding, attributes) that pass the filter. Rows and queries without a sound vector take no part."""
     test = (keep or Everything()).column(point)
     base, queries = base.where(sound(F.col("embedding"), dim)), queries.where(sound(F.col("qv"), dim))
-    out = None
-    for block in query_blocks(queries):
-        pairs = base.join(F.broadcast(block), test, "inner")
-        found = answer(pairs.select("qid", "vec_id", l2sq(F.col("embedding"), F.col("qv"), dim).alias("dist")), k)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return answer(nearest_pairs(base, queries, k, test, dim).select("qid", "vec_id", "dist"), k)
 
 
 def post_filter(base: DataFrame, queries: DataFrame, k: int, point: list[Column], keep: Filter, oversample: int = 4, dim: int | None = None) -> DataFrame:
@@ -60,10 +91,5 @@ def post_filter(base: DataFrame, queries: DataFrame, k: int, point: list[Column]
     An approximate mode: it can return fewer than k rows though more would pass.
     """
     base, queries = base.where(sound(F.col("embedding"), dim)), queries.where(sound(F.col("qv"), dim))
-    out = None
-    for block in query_blocks(queries):
-        pairs = base.crossJoin(F.broadcast(block)).withColumn("dist", l2sq(F.col("embedding"), F.col("qv"), dim))
-        near = top_k(pairs, k * oversample).drop("rank").where(keep.column(point))
-        found = answer(near, k)
-        out = found if out is None else out.unionByName(found)
-    return out
+    pairs = nearest_pairs(base, queries, k * oversample, F.lit(True), dim)
+    return answer(top_k(pairs, k * oversample).drop("rank").where(keep.column(point)), k)

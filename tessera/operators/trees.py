@@ -14,7 +14,7 @@ from ..functions.vectors import l2sq, sound
 from ..plans.boxes import meeting, named_ranges, within
 from ..plans.shared import ranked, written
 from .filters import Everything, Filter, InBox
-from .knn import MOST_BROADCAST, answer, exact_knn, query_blocks, valid
+from .knn import MOST_BROADCAST, answer, exact_knn, valid
 
 
 def str_leaves(points: DataFrame, axes: list[str], capacity: int = 1000, key: str = "vec_id") -> DataFrame:
@@ -108,10 +108,7 @@ class TreeIndex:
         a box that holds the leaf whole. A filter without bounds visits every leaf, query by query."""
         box, boxes = keep.bounds(), self.boxes.drop("n")
         if box is None:
-            every = None
-            for block in query_blocks(queries):
-                met = boxes.crossJoin(F.broadcast(block))
-                every = met if every is None else every.unionByName(met)
+            every = boxes.crossJoin(F.broadcast(queries) if queries.count() <= MOST_BROADCAST else queries)
             return every.select(*queries.columns, "leaf_id", F.lit(isinstance(keep, Everything)).alias("inside_"))
         inside = F.lit(False)
         if isinstance(keep, InBox):

@@ -7,6 +7,7 @@ are the rows whose vec_id is divisible by 50, their filters lie about their own
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,14 @@ def q_loaded(spark, sf):
     return CubeIndex.load(spark, path).search(asked(spark, sf), K, InBox(sized_box()))
 
 
+def q_watched(spark, sf):
+    """What the plan of a search counts while it runs, summed over the queries."""
+    found, watch = index_of(spark, sf).watched(asked(spark, sf), K, FILTERS["bbox"](), layer=LAYER)
+    found.write.format("noop").mode("overwrite").save()
+    done = watch.averages()
+    return spark.createDataFrame([(round(done["visited"] * watch.queries), round(done["distances"] * watch.queries))], "visited long, distances long")
+
+
 def q_metrics(mode: str):
     return lambda spark, sf: index_of(spark, sf).metrics(asked(spark, sf), FILTERS["bbox"](), mode, LAYER)
 
@@ -190,11 +199,17 @@ def enough(found: DataFrame, truth: DataFrame) -> DataFrame:
     return recall(found, truth, K).select("relevant", (F.col("recall") >= 0.9).alias("enough"))
 
 
+@lru_cache(maxsize=4)
+def graph_of(spark: SparkSession, sf: str) -> GraphIndex:
+    """Built once for a session and a folder: the graph searches share it."""
+    return index_of(spark, sf).graph(GRAPH_LAYER, EDGES, CROSS)
+
+
 def q_graph_search(name: str, mode: str):
     def run(spark, sf):
         index, asks, keep = index_of(spark, sf), asked(spark, sf), FILTERS[name]()
         starts = index.starts(asks, keep, GRAPH_LAYER, mode)
-        found = index.graph(GRAPH_LAYER, EDGES, CROSS).search(asks, starts, K, keep, EF, across=mode == "fly", width=EF)
+        found = graph_of(spark, sf).search(asks, starts, K, keep, EF, across=mode == "fly", width=EF)
         return enough(found, knn(FILTERS[name])(spark, sf))
 
     return run
@@ -595,6 +610,7 @@ SELECT u, v, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION
         "cube_search_fly_polygon": (rounded(cube_search("polygon", "fly")), _fly_sql(_polygon_sql(), _middle(["0.25", "0.125"], ["0.875", "0.875"]))),
         "cube_search_fly_composite": (rounded(cube_search("composite", "fly")), _fly_sql(_COMPOSITE, _middle(*_OWN))),
         "cube_metrics": (q_metrics("cubes"), _metrics_sql(False)),
+        "cube_metrics_watched": (q_watched, f"SELECT CAST(sum(visited) AS BIGINT) AS visited, CAST(sum(distances) AS BIGINT) AS distances FROM ({_metrics_sql(False)})"),
         "cube_metrics_fly": (q_metrics("fly"), _metrics_sql(True)),
         "cube_of_centers": (q_centers, _with() + _GRID + f" SELECT qid, {_cube_sql(LAYER, 'q0::double', 'q1::double')} AS ball_cube, {_middle([_TRI_X[0], _TRI_Y[0]], [_TRI_X[1], _TRI_Y[2]])} AS polygon_cube FROM q, g"),
         "tree_counters": (
