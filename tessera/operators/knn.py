@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,7 +68,10 @@ def nearest_pairs(base: DataFrame, queries: DataFrame, k: int, test: Column, dim
     # lengths are rounded: a hair more is let through
     close = gap * gap <= F.col("tau_") * (1 + 1e-9) + 1e-9
     pairs = paired(base.withColumn("length_v", length("embedding")), asked, test & close)
-    return pairs.withColumn("dist", dist).where("dist <= tau_").drop("tau_", "length_q", "length_v")
+    # counting the distances also keeps the filter above their projection, else the join's condition would hold
+    # them a second time, in code too long to be compiled
+    counted = pairs.withColumn("dist", dist).observe(f"distances-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("distances"))
+    return counted.where("dist <= tau_").drop("tau_", "length_q", "length_v")
 
 
 def valid(table: DataFrame, axes: list[str], dim: int | None = None) -> DataFrame:

@@ -83,11 +83,11 @@ def test_search_measures_a_part_and_finds_what_passes(spark, one_group):
     starts = asked.select("qid", F.lit(0).alias("grp"))
     for keep in (None, InBox(Box([0.1, 0.2], [0.8, 0.9])), InBall(Ball([F.col("q0"), F.col("q1")], 0.4))):
         truth = exact_knn(index.nodes, asked, 10, [F.col("a0"), F.col("a1")], keep, DIM).cache()
-        seen = index.seen(asked, starts, keep, 48)
+        seen = index.seen(asked, starts, keep, 48, width=32)
         assert recall(results(seen, 10), truth, 10).first()["recall"] >= 0.9
         cost = counts(seen).agg(F.avg("distances").alias("d"), F.avg("hops").alias("h"), F.count("*").alias("n")).first()
-        assert cost["n"] == 60 and 48 <= cost["h"] <= cost["d"] < 0.6 * len(df)
-    found = sweep(lambda ef: index.search(asked, starts, 10, keep, ef), truth, 10, [10, 40], 2.0)
+        assert cost["n"] == 60 and 32 <= cost["h"] <= cost["d"] < 0.6 * len(df)
+    found = sweep(lambda ef: index.search(asked, starts, 10, keep, ef, width=40), truth, 10, [10, 40], 2.0)
     assert found[0][1] <= found[1][1]
 
 
