@@ -33,14 +33,14 @@ def answer(pairs: DataFrame, k: int) -> DataFrame:
     return top_k(pairs, k).select("qid", "rank", "vec_id", "dist")
 
 
-def paired(base: DataFrame, queries: DataFrame, test: Column | None = None) -> DataFrame:
+def paired(base: DataFrame, queries: DataFrame, test: Column | None = None, asked: int | None = None) -> DataFrame:
     """Rows beside queries, where `test` holds; the base is read once, however many queries there are.
 
     Few queries are broadcast. More are copied to as many parts as a shuffle has, into which the rows are
-    dealt: each part joins its rows with all queries.
+    dealt: each part joins its rows with all queries. asked: the number of queries, if it is known.
     """
     test = F.lit(True) if test is None else test
-    if queries.count() <= MOST_BROADCAST:
+    if (queries.count() if asked is None else asked) <= MOST_BROADCAST:
         return base.join(F.broadcast(queries), test)
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = queries.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -57,17 +57,18 @@ def nearest_pairs(base: DataFrame, queries: DataFrame, k: int, test: Column, dim
     without a distance where these differ.
     """
     dist = l2sq(F.col("embedding"), F.col("qv"), dim)
-    if queries.count() <= FEW_QUERIES:
-        return paired(base, queries, test).withColumn("dist", dist)
+    n = queries.count()
+    if n <= FEW_QUERIES:
+        return paired(base, queries, test, n).withColumn("dist", dist)
     length = lambda v: F.sqrt(F.aggregate(F.col(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     some = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(SAMPLE)) == 0)
-    near = top_k(paired(some, queries, test).select("qid", "vec_id", dist.alias("dist")), k)
+    near = top_k(paired(some, queries, test, n).select("qid", "vec_id", dist.alias("dist")), k)
     bounds = near.where(F.col("rank") == k).select("qid", F.col("dist").alias("tau_"))
     asked = written(queries.join(bounds, "qid", "left").withColumns({"tau_": F.coalesce("tau_", F.lit(float("inf"))), "length_q": length("qv")}), "bounded")
     gap = F.col("length_v") - F.col("length_q")
     # lengths are rounded: a hair more is let through
     close = gap * gap <= F.col("tau_") * (1 + 1e-9) + 1e-9
-    pairs = paired(base.withColumn("length_v", length("embedding")), asked, test & close)
+    pairs = paired(base.withColumn("length_v", length("embedding")), asked, test & close, n)
     # counting the distances also keeps the filter above their projection, else the join's condition would hold
     # them a second time, in code too long to be compiled
     counted = pairs.withColumn("dist", dist).observe(f"distances-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("distances"))

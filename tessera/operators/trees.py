@@ -66,9 +66,10 @@ class TreeIndex:
     the ranges of leaves that it visits, which the files' statistics cut.
     """
 
-    def __init__(self, leaves: DataFrame, axes: list[str], dim: int | None = None, kind: str = "rtree", boxes: DataFrame | None = None):
+    def __init__(self, leaves: DataFrame, axes: list[str], dim: int | None = None, kind: str = "rtree", boxes: DataFrame | None = None, stored: bool = False):
         self.leaves, self.axes, self.dim, self.kind = leaves, axes, dim, kind
         self.boxes = boxes if boxes is not None else leaf_boxes(leaves, axes)
+        self.stored = stored
 
     @classmethod
     def _of(cls, table: DataFrame, leaves: DataFrame, axes: list[str], dim: int | None, kind: str) -> TreeIndex:
@@ -96,7 +97,7 @@ class TreeIndex:
     @classmethod
     def load(cls, spark, path: str) -> TreeIndex:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        return cls(spark.read.parquet(f"{path}/rows"), about["axes"], about["dim"], about["kind"], spark.read.parquet(f"{path}/boxes"))
+        return cls(spark.read.parquet(f"{path}/rows"), about["axes"], about["dim"], about["kind"], spark.read.parquet(f"{path}/boxes"), True)
 
     def counters(self, scan_threshold: int = 100) -> DataFrame:
         """Leaves, and how many of them are small enough to scan: a KD node under the threshold, an R-tree leaf up to it."""
@@ -126,8 +127,10 @@ class TreeIndex:
             test = F.col("inside_") | test
         if keep.bounds() is None and not leaf_oversample:
             return exact_knn(self.leaves, queries, k, [F.col(a) for a in self.axes], keep, self.dim)
-        visits = written(self.visited(queries, keep).select("qid", "leaf_id", "inside_"), "visits")
-        rows = within(self.leaves, "leaf_id", named_ranges(visits, "leaf_id", "leaf_id"))
+        visits, rows = self.visited(queries, keep).select("qid", "leaf_id", "inside_"), self.leaves
+        if self.stored:
+            visits = written(visits, "visits")
+            rows = within(rows, "leaf_id", named_ranges(visits, "leaf_id", "leaf_id"))
         asked = F.broadcast(queries) if queries.count() <= MOST_BROADCAST else queries
         pairs = rows.join(visits, "leaf_id").join(asked, "qid")
         dist = l2sq(F.col("embedding"), F.col("qv"), self.dim).alias("dist")
