@@ -126,7 +126,7 @@ def kd_tree(points: DataFrame, axes: list[str], task_rows: int = TASK_ROWS, key:
     every = blocks.applyInArrow(lambda t: finish(t, axes, key, True), nodes)
     for about in above:
         every = every.unionByName(about)
-    return placed, written(every.repartitionByRange("n").sortWithinPartitions("n"), "nodes")
+    return placed, written(every.repartitionByRange("first", "n").sortWithinPartitions("n"), "nodes")
 
 
 class KdTree:
