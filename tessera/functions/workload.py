@@ -71,7 +71,7 @@ def random_shells(lo: list[float], hi: list[float], ratio: float, inner: float,
 
 
 def random_polygons(lo: list[float], hi: list[float], ratio: float, sides: int, n: int, seed: int = 42) -> list[list[tuple[float, float]]]:
-    """n polygons about random centers, kept inside the bounds: vertices at even angles, each off by up to a
+    """n polygons about random centers in the inner three fifths, kept inside the bounds: vertices at even angles, each off by up to a
     quarter of their distance, at 0.5 to 1.5 times the radius at which twice the area of a regular polygon
     is that share of the bounds'."""
     if sides < 3:
@@ -81,7 +81,7 @@ def random_polygons(lo: list[float], hi: list[float], ratio: float, sides: int,
     radius = math.sqrt(ratio * width * height / (sides * math.sin(2 * math.pi / sides)))
     out = []
     for _ in range(n):
-        cx, cy = rng.uniform(lo[0], hi[0]), rng.uniform(lo[1], hi[1])
+        cx, cy = (rng.uniform(a + 0.2 * (b - a), b - 0.2 * (b - a)) for a, b in zip(lo[:2], hi[:2]))
         points = []
         for i in range(sides):
             angle = 2 * math.pi * (i + rng.uniform(-0.25, 0.25)) / sides

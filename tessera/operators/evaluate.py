@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import l2sq
 from .filters import Filter
 from .knn import paired
 
 
+def stored_truth(lists: DataFrame, queries: DataFrame, base: DataFrame, k: int, dim: int | None = None) -> DataFrame:
+    """qid, rank, vec_id, dist of true neighbours stored as lists (qid, ids), as an ivecs file holds them: the
+    first k of each list, in its order; their distances are computed anew."""
+    found = lists.select("qid", F.posexplode(F.slice("ids", 1, k)).alias("place", "vec_id"))
+    pairs = found.select("qid", (F.col("place") + 1).alias("rank"), F.col("vec_id").cast("long").alias("vec_id"))
+    pairs = pairs.join(base.select("vec_id", "embedding"), "vec_id").join(queries.select("qid", "qv"), "qid")
+    return pairs.select("qid", "rank", "vec_id", l2sq(F.col("embedding"), F.col("qv"), dim).alias("dist"))
+
+
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Common rows over true rows, summed over all queries; null if there is no true row."""
     t = truth.where(F.col("rank") <= k).select("qid", "vec_id")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.geometry import Ball, Box, Polygon
 from .operators.cube import CubeIndex
-from .operators.evaluate import distance_ratio, recall, selectivity, sweep
+from .operators.evaluate import distance_ratio, recall, selectivity, stored_truth, sweep
 from .operators.filters import Everything, InBall, InBox, InPolygon, Not, composite, label_filter
 from .operators.flat import FlatIndex
 from .operators.graph import GraphIndex, nearest_across, neighbour_graph
@@ -22,7 +22,7 @@ from .operators.kdtree import KdTree, kd_tree
 from .operators.knn import exact_knn, post_filter
 from .operators.trees import TreeIndex, kd_leaves, leaf_boxes, str_leaves
 from .plans.grid import EPSILON, Grid, global_box, ring_cube, ring_neighbours, two_cubes
-from .plans.shared import shared_dir, written
+from .plans.shared import ranked, shared_dir, written
 from .sources.records import attach, read_attributes, register, write_records
 
 # Factors and moduli of the derived attributes.
@@ -334,6 +334,20 @@ def q_recall(spark, sf):
     return recall(oversampled(spark, sf), knn(FILTERS["bbox"])(spark, sf), K)
 
 
+def q_stored_truth(spark, sf):
+    """Recall, and mean true distance, against neighbours written to an ivecs file and read again: one record a
+    query, in the order of the queries."""
+    asks = written(ranked(asked(spark, sf), F.col("qid"), name="place").withColumn("place", F.col("place") - 1), "asked")
+    near = exact_knn(base(spark, sf), asks, K, point(), Everything(), DIM).join(asks.select("qid", "place"), "qid")
+    lists = near.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
+    path = f"{shared_dir(spark, 'truth')}/groundtruth.ivecs"
+    write_records(lists, path, "ivecs", "place", "ids", K)
+    register(spark)
+    back = spark.read.format("ivecs").load(path).withColumnRenamed("qid", "place").join(asks.select("qid", "place"), "place")
+    truth = stored_truth(back, asks, base(spark, sf), K, DIM)
+    return recall(oversampled(spark, sf), truth, K).crossJoin(truth.agg(F.round(F.avg("dist"), 6).alias("dist")))
+
+
 def q_ratio(spark, sf):
     return distance_ratio(oversampled(spark, sf), knn(FILTERS["bbox"])(spark, sf))
 
@@ -663,6 +677,10 @@ UNION ALL SELECT 'kdtree', count(*), count_if(n < 63) FROM (SELECT node, count(*
             q_recall,
             _with() + f", {_OVER}, {_FOUND}, {_TRUTH} SELECT count(f.vec_id) AS hits, count(*) AS relevant, round(count(f.vec_id) / count(*)::double, 6) AS recall FROM truth t LEFT JOIN found f USING (qid, vec_id)",
         ),
+        "recall_stored_truth": (
+            q_stored_truth,
+            _with() + f", {_OVER}, {_FOUND}, truth AS ({_ranked(f'SELECT q.qid, b.vec_id, {DIST} AS dist FROM b, q')}) SELECT count(f.vec_id) AS hits, count(*) AS relevant, round(count(f.vec_id) / count(*)::double, 6) AS recall, round(avg(t.dist), 6) AS dist FROM truth t LEFT JOIN found f USING (qid, vec_id)",
+        ),
         "distance_ratio": (
             q_ratio,
             _with()

@@ -219,6 +219,20 @@ def test_workloads(spark):
     assert all(len(p) == 5 and all(0 <= x <= 1 and 0 <= y <= 2 for x, y in p) for p in random_polygons(lo, hi, 0.1, 5, 10))
 
 
+def test_polygons_lie_about_the_middle():
+    for p in random_polygons([0.0, 0.0], [1.0, 1.0], 1e-6, 3, 200):
+        assert all(0.19 < x < 0.81 and 0.19 < y < 0.81 for x, y in p)
+
+
+def test_flat_index_is_stored(spark, table, queries, tmp_path):
+    index = FlatIndex(["m0", "m1"]).build(table)
+    index.save(str(tmp_path / "flat"))
+    again = FlatIndex(["m0", "m1"]).load(spark, str(tmp_path / "flat"))
+    keep = InBox(Box([0.2, 0.2], [0.8, 0.8]))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(again.search(queries, 5, keep)) == rows(index.search(queries, 5, keep)) != []
+
+
 def test_recall_of_nothing_is_null(spark):
     empty = spark.createDataFrame([], "qid long, rank int, vec_id long, dist double")
     assert recall(empty, empty, 5).first()["recall"] is None
