@@ -104,6 +104,22 @@ class Polygon:
             return Box([xs[0], ys[0]], [xs[0], ys[0]])
         return Box([F.least(*xs), F.least(*ys)], [F.greatest(*xs), F.greatest(*ys)])
 
+    def touches(self, lo: list[Column], hi: list[Column]) -> Column:
+        """Whether an edge meets the closed box in the first two attributes: what of the edge lies between the
+        box's sides, axis by axis, is not empty."""
+        out = F.lit(False)
+        for (ax, ay), (bx, by) in self._edges():
+            first, last, beside = F.lit(0.0), F.lit(1.0), F.lit(True)
+            for a, b, low, high in zip((ax, ay), (bx, by), lo, hi):
+                a, b = single(a), single(b)
+                step = F.when(a != b, b - a)  # an edge along the axis' normal is between the sides whole or not at all
+                one, two = (low - a) / step, (high - a) / step
+                beside = beside & ((a != b) | a.between(low, high))
+                first = F.greatest(first, F.least(one, two))
+                last = F.least(last, F.greatest(one, two))
+            out = out | beside & (first <= last)
+        return out
+
     def area(self) -> Column:
         """Shoelace; fewer than three vertices enclose nothing."""
         if len(self.vertices) < 3:

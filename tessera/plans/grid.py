@@ -143,10 +143,27 @@ class Grid:
         slack = [F.lit(1e-12 * max(abs(a), abs(b), b - a)) for a, b in zip(self.lo, self.hi)]
         return near.where(ball.meets([x - e for x, e in zip(lo, slack)], [x + e for x, e in zip(hi, slack)]))
 
+    def cover_of_polygon(self, df: DataFrame, polygon: Polygon, layer: int, name: str = "cube_id") -> DataFrame:
+        """The cubes that the polygon reaches, and `inside`: the cube lies in it whole, so that its rows pass
+        untested. A cube that no edge meets is inside or outside as its center is; axes beyond the second do not
+        matter. A cube is let in (not inside) that is a rounding out of reach."""
+        # the vertices are made once a row, before it is listed in cubes
+        corners = {f"v{i}{d}_": single(v) for i, vertex in enumerate(polygon.vertices) for d, v in enumerate(vertex)}
+        near = self.cubes_of_box(df.withColumns(corners), polygon.box(), layer, name)
+        polygon = Polygon([(F.col(f"v{i}0_"), F.col(f"v{i}1_")) for i in range(len(polygon.vertices))])
+        lo, hi = self.cube_box(F.col(name), layer)
+        border = polygon.touches(_wider(lo, self.lo, self.hi, -1), _wider(hi, self.lo, self.hi, 1))
+        center = polygon.contains([(a + b) / 2 for a, b in zip(lo, hi)])
+        return near.withColumns({"border_": border, "center_": center}).where("border_ or center_").withColumn("inside", ~F.col("border_")).drop("border_", "center_", *corners)
+
     def cubes_of_polygon(self, df: DataFrame, polygon: Polygon, layer: int, name: str = "cube_id") -> DataFrame:
         return self.cubes_of_box(df, polygon.box(), layer, name)
 
 
+def _wider(values: list[Column], grid_lo, grid_hi, sign: int) -> list[Column]:
+    return [x + F.lit(sign * 1e-12 * max(abs(a), abs(b), b - a)) for x, a, b in zip(values, grid_lo, grid_hi)]
+
+
 def two_cubes(key: Column, first: int) -> Column:
     """Cube 0 for keys under `first`, else cube 1."""
     return F.when(key < first, 0).otherwise(1).cast("long")

@@ -256,6 +256,12 @@ def q_cube_list(kind: str):
     return run
 
 
+def q_cube_cover(spark, sf):
+    """The cubes that each query's polygon reaches, and whether it holds them whole."""
+    cover = grid_of(base(spark, sf)).cover_of_polygon(asked(spark, sf), corners(), LAYERS - 2)
+    return cover.select("qid", "cube_id", "inside")
+
+
 def q_polygon_area_bbox(spark, sf):
     box = corners().box()
     return asked(spark, sf).select("qid", F.round(corners().area(), 9).alias("area"), *(c.alias(n) for c, n in zip([*box.lo, *box.hi], ("x_lo", "y_lo", "x_hi", "y_hi"))))
@@ -556,6 +562,27 @@ _GRAPH_CUBES = f""", c0 AS (SELECT b.*, {_cube_sql(GRAPH_LAYER)} AS cube_id FROM
 c AS (SELECT *, cube_id % {2 ** (GRAPH_LAYER + 1)} AS x, cube_id // {2 ** (GRAPH_LAYER + 1)} AS y FROM c0)"""
 
 
+def _cover_sql() -> str:
+    """Edges of the triangle cut by the sides of every cube of the layer."""
+    c = 2 ** (LAYERS - 1)
+    edges = [((_f(_TRI_X[i]), _f(_TRI_Y[i])), (_f(_TRI_X[j]), _f(_TRI_Y[j]))) for i, j in ((0, 1), (1, 2), (2, 0))]
+    hits, crossings = [], []
+    for (ax, ay), (bx, by) in edges:
+        (x1, x2), (y1, y2) = (tuple(f"(({s} - {a}) / nullif({b} - {a}, 0))" for s in sides) for a, b, sides in ((ax, bx, ("xl", "xh")), (ay, by, ("yl", "yh"))))
+        inside = " AND ".join(f"({a} <> {b} OR {a} BETWEEN {lo} AND {hi})" for a, b, lo, hi in ((ax, bx, "xl", "xh"), (ay, by, "yl", "yh")))
+        hits.append(f"({inside} AND greatest(0.0, least({x1}, {x2}), least({y1}, {y2})) <= least(1.0, greatest({x1}, {x2}), greatest({y1}, {y2})))")
+        cy, cx = "((yl + yh) / 2)", "((xl + xh) / 2)"
+        crossings.append(f"CASE WHEN ({ay} > {cy}) <> ({by} > {cy}) AND {cx} < ({bx} - {ax}) * ({cy} - {ay}) / nullif({by} - {ay}, 0) + {ax} THEN 1 ELSE 0 END")
+    return (
+        _with()
+        + _GRID
+        + f""", cubes AS (SELECT i0 + i1 * {c} AS cube_id, g0 + i0 * ((h0 - g0) / {c}) AS xl, g0 + (i0 + 1) * ((h0 - g0) / {c}) AS xh, g1 + i1 * ((h1 - g1) / {c}) AS yl, g1 + (i1 + 1) * ((h1 - g1) / {c}) AS yh
+  FROM g, range({c}) x(i0), range({c}) y(i1)),
+cover AS (SELECT qid, cube_id, {" OR ".join(hits)} AS border, ({" + ".join(crossings)}) % 2 = 1 AS center FROM q, cubes)
+SELECT qid, CAST(cube_id AS BIGINT) AS cube_id, NOT border AS inside FROM cover WHERE border OR center"""
+    )
+
+
 def _relevant(where: str) -> str:
     return _with() + f" SELECT CAST(sum(least(n, {K})) AS BIGINT) AS relevant, true AS enough FROM (SELECT count(*) AS n FROM q JOIN b ON {where} GROUP BY qid)"
 
@@ -613,6 +640,7 @@ SELECT u, v, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION
             _with() + _GRID + " " + _listed_sql([f"q{i}::double - {_f(str(RADIUS))}" for i in range(2)], [f"q{i}::double + {_f(str(RADIUS))}" for i in range(2)], _meets_sql()),
         ),
         "cube_list_polygon": (q_cube_list("polygon"), _with() + _GRID + " " + _listed_sql([_TRI_X[0], _TRI_Y[0]], [_TRI_X[1], _TRI_Y[2]])),
+        "cube_cover_polygon": (q_cube_cover, _cover_sql()),
         "cube_search_bbox": (rounded(cube_search("bbox")), _knn_sql(_box_sql())),
         "cube_search_radius": (rounded(cube_search("radius")), _knn_sql(_ball_sql())),
         "cube_search_polygon": (rounded(cube_search("polygon")), _knn_sql(_polygon_sql())),

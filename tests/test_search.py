@@ -219,6 +219,21 @@ def test_workloads(spark):
     assert all(len(p) == 5 and all(0 <= x <= 1 and 0 <= y <= 2 for x, y in p) for p in random_polygons(lo, hi, 0.1, 5, 10))
 
 
+def test_polygon_cover_holds_all_and_knows_the_inside(spark):
+    rng = random.Random(6)
+    grid = Grid((0.0, 0.0), (1.0, 1.0), 5)
+    points = spark.createDataFrame([(i, rng.random(), rng.random()) for i in range(4000)], "vec_id long, m0 float, m1 float")
+    for vertices in ([(0.1, 0.1), (0.9, 0.2), (0.5, 0.8)], [(0.2, 0.2), (0.8, 0.2), (0.2, 0.8), (0.8, 0.8)], [(0.25, 0.25), (0.5, 0.25), (0.5, 0.5), (0.25, 0.5)]):
+        polygon = Polygon(vertices)
+        one = spark.range(1).withColumnRenamed("id", "qid")
+        cover = {r.cube_id: r.inside for r in grid.cover_of_polygon(one, polygon, 4).collect()}
+        assert len(cover) < grid.cubes_of_polygon(one, polygon, 4).count() or len(vertices) == 4
+        rows = points.select(grid.cube_of([F.col("m0"), F.col("m1")], 4).alias("cube"), polygon.contains([F.col("m0"), F.col("m1")]).alias("passes")).collect()
+        assert any(cover.values())
+        for r in rows:
+            assert r.passes <= (r.cube in cover) and (not cover.get(r.cube) or r.passes)
+
+
 def test_polygons_lie_about_the_middle():
     for p in random_polygons([0.0, 0.0], [1.0, 1.0], 1e-6, 3, 200):
         assert all(0.19 < x < 0.81 and 0.19 < y < 0.81 for x, y in p)
