@@ -10,23 +10,24 @@ ranked like lines: a unit begins with its line, after a word that ends in `.`, `
 forms, and at a capitalised word. A unit of more than `LONG_UNITS` times `unit_words` words is cut before
 words that their hash chooses, so that a passage inside unbroken text meets the same cuts in every
 document. Characters of scripts without white space are words that count half; longer unbroken strings
-are cut by a hash of the bytes before. Short units repeat by chance: those of fewer than `unit_words`
-words are digested together with the unit before them, and stand for both. Repeated units side by side
-are a run, which is removed if it has `unit_words` words in all, however short its units are. At either
+are cut by a hash of the bytes before. Short units repeat by chance, and so do runs of units of which
+each repeats somewhere: what is digested is a stretch of units, the shortest of `unit_words` words or
+more that ends with a unit, and the shortest that begins with it. A stretch is removed if it stood as a
+whole before, so each word that goes is one of `unit_words` or more that stood side by side. At either
 end of a passage that ends within lines, words up to its first and last cut stay. With `within=False`
 whole lines alone are compared.
 
 The corpus is cut twice, and neither texts nor spans travel with digests: the first pass finds the
 digests that several documents hold (counted before they are shuffled), the second joins them to the
-units' numbers, from which the units' places in the texts follow again. A unit that its own document
-repeats needs no join. Digests in a share of all units are few, so they are broadcast and joined without
+units' numbers, from which the units' places in the texts follow again. A stretch that its own document
+repeats, apart from the first, needs no join. Digests in a share of all units are few, so they are broadcast and joined without
 a shuffle.
 
 Defined results: a null text stays null; a null id ranks last; rows equal in id and text are one
 document and treated alike; rows that share an id only rank by a hash of the text; an empty table
 gives an empty result; other columns are returned as they were (a column named like the operator's own
 `removed` is replaced by it). Texts are taken whole. A line of fewer than `unit_words` words is removed
-only as part of a run.
+only as part of a stretch. A stretch that overlaps its first equal in the same text is no repeat of it.
 """
 
 from __future__ import annotations
@@ -78,10 +79,10 @@ def pieces(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 
 
 class Units:
-    """Units and lines of a slice of texts, as ranges of its words.
+    """Lines and stretches of units of a slice of texts, as ranges of its words from `begin` to `stop`.
 
-    number: a unit's number in its text; lines are numbered -1, -2, ... `begin` to `stop` are the words
-    that a unit's digest stands for, `length` the words of its own.
+    number: twice the number in its text of the unit that a stretch ends with, or one more than twice that
+    of the unit it begins with; lines are numbered -1, -2, ...
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, unit_words: int, within: bool):
@@ -111,18 +112,32 @@ class Units:
             at = np.flatnonzero(begins)
             stop = np.append(at[1:], n) if len(at) else at
             row = rows[at]
-            number = np.arange(len(at)) - np.searchsorted(row, row)
-            self.length = self.words(at, stop)
-            # the digest of a short unit stands for the unit before it too, and so does its span
-            both = (self.length < unit_words) & (number > 0)
-            begin = np.where(both, np.append(0, at[:-1])[: len(at)], at)
+            begin, stop, row, number = self.stretches(at, stop, row)
         else:
-            begin = stop = row = number = self.length = at[:0]
+            begin = stop = row = number = at[:0]
         self.begin, self.stop, self.row, self.number = (np.append(a, b) for a, b in zip(lines, (begin, stop, row, number)))
 
     def words(self, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return -(-(self.halves[stop] - self.halves[at]) // 2)
 
+    def stretches(self, at: np.ndarray, stop: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        """begin, stop, row and number of the shortest stretches of `unit_words` words that end or begin with each unit."""
+        number = np.arange(len(at)) - np.searchsorted(row, row)
+        first = np.arange(len(at)) - number
+        last = np.searchsorted(row, row, side="right") - 1
+        least = 2 * self.unit_words - 1
+        back = np.searchsorted(self.halves[at], self.halves[stop] - least, side="right") - 1
+        ends = np.flatnonzero(back >= first)
+        on = np.searchsorted(self.halves[stop], self.halves[at] + least)
+        begins = np.flatnonzero(on <= last)
+        begins = begins[back[on[begins]] != begins]  # the others are the same stretch
+        return (
+            np.append(at[back[ends]], at[begins]),
+            np.append(stop[ends], stop[on[begins]]),
+            np.append(row[ends], row[begins]),
+            np.append(2 * number[ends], 2 * number[begins] + 1),
+        )
+
     def sentences(self, lines: np.ndarray, more: np.ndarray, wide: np.ndarray) -> np.ndarray:
         """Where units begin within lines."""
         raw, starts, ends = self.raw, self.starts, self.ends
@@ -150,7 +165,7 @@ class Units:
         return begins
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each unit's and line's words; those of lines are of another kind."""
+        """128 bits of the words of each line and stretch; those of lines are of another kind."""
         n = len(self.starts)
         size = self.ends - self.starts
         places = np.append(0, np.cumsum(size + 1))
@@ -167,15 +182,8 @@ class Units:
         return tuple(np.append(x, y) for x, y in zip(*found))
 
     def spans(self, chosen: np.ndarray) -> np.ndarray:
-        """(row, start, end) in characters of the original, in order, of what the chosen lines and units remove."""
-        lines, some = chosen[chosen < self.lines], chosen[chosen >= self.lines]
-        begin, stop, row = self.begin[some], self.stop[some], self.row[some]
-        # a run goes on with the next unit, or with one more if that one stands for the unit between
-        apart = (row[1:] != row[:-1]) | (begin[1:] > stop[:-1])
-        lead, last = np.append(True, apart)[: len(some)], np.append(apart, True)[-len(some) :][: len(some)]
-        begin, stop, row = begin[lead], stop[last], row[lead]
-        long = self.words(begin, stop) >= self.unit_words
-        begin, stop, row = (np.append(a[lines], b[long]) for a, b in ((self.begin, begin), (self.stop, stop), (self.row, row)))
+        """(row, start, end) in characters of the original, in order, of what the chosen lines and stretches remove."""
+        begin, stop, row = self.begin[chosen], self.stop[chosen], self.row[chosen]
         if not len(begin):
             return np.zeros((0, 3), np.int64)
         order = np.argsort(begin, kind="stable")
@@ -188,16 +196,18 @@ class Units:
 
 
 def cut(batches: Batches, unit_words: int, within: bool) -> Batches:
-    """The digest of each line and unit; `again` where the text holds it before."""
+    """The digest of each line and stretch; `again` where the text holds it before, apart from it."""
     for part in by_bytes(batches, "text", 2 << 20):
         units = Units(*byte_buffers(part.column("text")), unit_words, within)
         if not len(units.row):
             continue
         h1, h2 = units.digests()
-        order = np.lexsort((h2, h1, units.row))
-        same = np.append(False, (units.row[order][1:] == units.row[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1]))
+        order = np.lexsort((units.begin, h2, h1, units.row))
+        row, a, b = units.row[order], h1[order], h2[order]
+        lead = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        first = np.repeat(order[lead], np.diff(np.append(lead, len(order))))
         again = np.zeros(len(order), bool)
-        again[order] = same
+        again[order] = units.begin[order] >= units.stop[first]
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("id").take(pa.array(units.row)),
@@ -223,7 +233,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove(batches: Batches, unit_words: int, within: bool) -> Batches:
-    """Takes out of each text what its repeated lines and units (repeats_) cover."""
+    """Takes out of each text what its repeated lines and stretches (repeats_) cover."""
     for part in by_bytes(batches, "text_", 2 << 20):
         texts, lists = part.column("text_").to_pylist(), part.column("repeats_")
         found = [[] for _ in texts]
@@ -243,7 +253,7 @@ def remove(batches: Batches, unit_words: int, within: bool) -> Batches:
 
 
 def repeated(units: DataFrame) -> DataFrame:
-    """id, t, unit of every unit that an earlier one equals."""
+    """id, t, unit of every line and stretch that an earlier one equals."""
     place = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("t"))
     firsts = units.where("not again").groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
     dups = written(firsts.where("n > 1"), "repeated-digests")

@@ -141,3 +141,44 @@ def test_whole_lines_against_sql(spark, sf):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = con.execute(WHOLE_LINES_SQL).df()
     assert sorted(map(tuple, dedup_whole_lines(spark, sf).select(*want.columns).collect())) == sorted(map(tuple, want.itertuples(index=False)))
+
+
+def test_a_run_goes_only_if_it_stood_as_a_run(spark):
+    """Ninety documents hold every pair of ten short sentences; one holds the ten in an order of its own."""
+    said = ["Yes, sir.", "No, madam.", "Thank you.", "Come in.", "Sit down.", "Well done.", "Good night.", "Never mind.", "Not yet.", "Very well."]
+    pairs = [f"{a} {b}" for a in said for b in said if a != b]
+    whole = f"The first of the two that frame it stands here alone. {' '.join(said)} The second of them has other words and ends what there is."
+    df = spark.createDataFrame(list(enumerate([*pairs, whole, whole])), "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert all(got[i].text == t for i, t in enumerate([*pairs, whole])) and got[91].text == ""
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_what_goes_stood_before_in_stretches(spark, seed):
+    """Each word removed is one of eight or more side by side that stand earlier: in a smaller document, or before in this one."""
+    rng = random.Random(seed)
+    said = [" ".join(rng.choice(["so", "it", "was", "he", "went", "on", "then"]) for _ in range(rng.randrange(1, 5))).capitalize() + "." for _ in range(12)]
+    texts = [" ".join(rng.choice(said) for _ in range(rng.randrange(3, 40))) for _ in range(60)]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen, removed = set(), 0
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        starts = [0]
+        for w in text.split(" ")[:-1]:
+            starts.append(starts[-1] + len(w) + 1)
+        gone = [any(s.start <= a < s.end for s in got[i].removed) for a in starts]
+        removed += sum(gone)
+        eights = [tuple(words[j : j + 8]) for j in range(len(words) - 7)]
+        known = [False] * len(words)
+        for j, e in enumerate(eights):
+            if e in seen or e in eights[: max(0, j - 7)]:
+                known[j : j + 8] = [True] * 8
+        assert not [w for w, g, k in zip(words, gone, known) if g and not k]
+        seen.update(eights)
+    assert removed > 100
+
+
+def test_a_text_that_repeats_itself_keeps_the_first(spark):
+    texts = {0: "No. " * 20, 1: "Yes. " * 7}
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[0].split() == ["No."] * 8 and got[1] == texts[1]
