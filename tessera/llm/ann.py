@@ -19,8 +19,9 @@ their k + 1 smallest ids: enough for any answer, however many copies there are.
 best scores and among equal ones the smallest ids.
 
 Isotropic random vectors are the worst case of any hash: to find 0.9 of the 5 nearest, a quarter or
-more of the table has to be scored where it is small; `candidates` grows as N**0.8 by default. Where
-that is no less than the table, the table is scored whole.
+more of the table has to be scored where it is small; `candidates` grows as N**0.8 by default. Tables of
+all sizes go the same way; an ascent that reaches the root with fewer than `candidates` entries in all
+trees together takes a tree whole, so the result is exact.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; null ids take none either; a repeated row (id and vector) counts
@@ -46,6 +47,8 @@ TREES = 16
 PROBES = 16
 BITS = 64
 SAMPLE = 4096
+#: Entries that are asked of each tree, on average, at least.
+LEAST = 64
 #: Bits from the top among which a probe may differ from the query's string.
 PROBED_BITS = 12
 #: Entries that a shard of a tree should have at most, and bits that cut shards at most.
@@ -64,8 +67,9 @@ GATHERED = "block long, query long, rows binary"
 SCORED = "query long, cid long, first long, score double, scored long"
 
 
-def candidates_for(n: int) -> int:
-    return math.ceil(5.25 * n**0.8)
+def candidates_for(n: int, trees: int, k: int) -> int:
+    """Entries to gather among n: besides the share that recall asks for, so many of each tree that k others are among them."""
+    return math.ceil(5.25 * n**0.8) + trees * max(LEAST, k + 2)
 
 
 def shard_bits(n: int) -> int:
@@ -207,11 +211,11 @@ def descend(batches: Batches, levels: list[int]) -> Batches:
         )
 
 
-def ascend(row: dict, levels: list[int], s: int, enough: int, n: int, trees: int, sizes: np.ndarray) -> Iterator[tuple]:
+def ascend(row: dict, levels: list[int], s: int, enough: int, sizes: np.ndarray) -> Iterator[tuple]:
     """The requests (query, tree, shard, codes, inner, outer, extra) of a query: what shares `inner` bits
     is taken whole, of the rest that shares `outer` bits `extra` entries. sizes: entries by tree and shard."""
     query, seen = row["query"], row["seen"]
-    if enough >= n:  # the table whole: one tree holds it
+    if int(sizes.sum()) <= enough:  # the root of all trees: each holds every entry
         for shard in np.flatnonzero(sizes[0]).tolist():
             yield query, 0, shard, [], s, s, 0
         return
@@ -246,11 +250,11 @@ def ascend(row: dict, levels: list[int], s: int, enough: int, n: int, trees: int
         yield query, t, x, [], BITS + 1, s, int(sizes[t, x] * share)
 
 
-def choose(batches: Batches, levels: list[int], s: int, enough: int, n: int, trees: int, sizes: np.ndarray) -> Batches:
+def choose(batches: Batches, levels: list[int], s: int, enough: int, sizes: np.ndarray) -> Batches:
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64()]
     for batch in batches:
         for k in range(0, batch.num_rows, 64):
-            rows = [x for r in batch.slice(k, 64).to_pylist() for x in ascend(r, levels, s, enough, n, trees, sizes)]
+            rows = [x for r in batch.slice(k, 64).to_pylist() for x in ascend(r, levels, s, enough, sizes)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["query", "tree", "shard", "codes", "inner", "outer", "extra"])
 
@@ -382,7 +386,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, trees: int, probes: int
     forest = spark.sparkContext.broadcast(Forest(unit(np.stack(sample.to_list()).astype(np.float64)), trees, BITS, seed))
 
     s = shard_bits(n)
-    levels, enough = levels_of(n, s), candidates or candidates_for(n)
+    levels, enough = levels_of(n, s), candidates or candidates_for(n, trees, k)
     index = written(classes.select("cid", "embedding").mapInArrow(lambda b: hash_rows(b, forest.value, s), ENTRIES), "forest")
     probed = queries.mapInArrow(lambda b: probe_rows(b, forest.value, s, probes), ENTRIES)
     both = index.unionByName(probed).repartition(n_parts, "tree", "shard").sortWithinPartitions("tree", "shard", "kind", "a", "b")
@@ -393,7 +397,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, trees: int, probes: int
         held[r["tree"], r["shard"]] = r["n"]
     held = spark.sparkContext.broadcast(held)
     seen = counts.groupBy("query").agg(F.collect_list(F.struct("tree", "shard", "counts", "codes")).alias("seen"))
-    requests = seen.mapInArrow(lambda b: choose(b, levels, s, enough, n, trees, held.value), REQUESTS)
+    requests = seen.mapInArrow(lambda b: choose(b, levels, s, enough, held.value), REQUESTS)
 
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("codes", "array<long>"), ("inner", "int"), ("outer", "int"), ("extra", "long"))]
     sent = index.select("tree", "shard", "kind", "a", "b", *nothing).unionByName(
@@ -424,10 +428,13 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ann_of_few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The neighbours with rounded scores. Tables of under 4,000 vectors are searched whole, so that SQL gives the same."""
-    return op1_ann(spark, sf_dir).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    """The neighbours with rounded scores and `FEW` entries asked of each tree: SQL gives the same where that is all a tree holds."""
+    found = nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, candidates=TREES * FEW)
+    return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+#: Vectors of a table that `ann_of_few` searches exactly.
+FEW = 4000
 FEW_SQL = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
 p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS score FROM e q, e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)

@@ -104,16 +104,31 @@ def test_candidates_bound_the_vectors_scored(spark, monkeypatch):
             assert 0 < max(r.scored for r in rows) <= enough
             shares.append(recall(rows))
         assert shares == sorted(shares) and shares[0] < shares[2] and shares[2] >= 0.95
-    assert recall(nearest(df, asks, candidates=3000).collect()) == 1.0
+    assert recall(nearest(df, asks, candidates=ann.TREES * 3000).collect()) == 1.0
+
+
+@pytest.mark.parametrize("kind,n", [("isotropic", 500), ("isotropic", 2000), ("isotropic", 6000), ("clustered", 2000), ("clustered", 6000)])
+def test_recall_at_default_settings(spark, kind, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    if kind == "clustered":
+        x = rng.normal(size=(30, 64))[rng.integers(0, 30, n)] + 0.4 * x
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute_neighbours(x, np.arange(n), range(0, n, 50))
+    rows = nearest(df, F.col("vec_id") % 50 == 0).collect()
+    recall, scored = sum(r.vec_id in want[r.query_id] for r in rows) / len(rows), max(r.scored for r in rows) / n
+    print(f"{kind} {n}: recall {recall:.3f}, {scored:.2f} scored at most")
+    assert len(rows) == 5 * len(want) and recall >= 0.9 and scored < 1
 
 
 def test_vectors_of_one_string_are_all_gathered():
     # more than `candidates` agree in all bits: none is left out
     seen = [{"tree": t, "shard": 0, "counts": [1000, 400, 300], "codes": [1]} for t in range(2)]
     row = {"query": 1, "seen": seen}
-    assert [x[4:] for x in ascend(row, [0, 5, 64], 0, 500, 1000, 2, np.full((2, 1), 1000))] == [(64, 64, 0)] * 2
-    assert [x[4:] for x in ascend(row, [0, 5, 64], 0, 700, 1000, 2, np.full((2, 1), 1000))] == [(64, 5, 50)] * 2
-    assert [x[1:3] + x[4:] for x in ascend(row, [0, 5, 64], 0, 1000, 1000, 2, np.full((2, 1), 1000))] == [(0, 0, 0, 0, 0)]
+    assert [x[4:] for x in ascend(row, [0, 5, 64], 0, 500, np.full((2, 1), 1000))] == [(64, 64, 0)] * 2
+    assert [x[4:] for x in ascend(row, [0, 5, 64], 0, 700, np.full((2, 1), 1000))] == [(64, 5, 50)] * 2
+    assert [x[4:] for x in ascend(row, [0, 5, 64], 0, 1000, np.full((2, 1), 1000))] == [(5, 0, 100)] * 2
+    assert [x[1:3] + x[4:] for x in ascend(row, [0, 5, 64], 0, 2000, np.full((2, 1), 1000))] == [(0, 0, 0, 0, 0)]
     a = np.array([5, 5, 5, 8], np.uint64)
     lo, hi = ranges(a, np.array([5, 5, 6], np.uint64), 64)
     assert spread(lo, hi).tolist() == [0, 1, 2] and spread(*ranges(a, a, 0)).tolist() == [0, 1, 2, 3]
