@@ -15,17 +15,18 @@ A word that repeats one of the two before it does not count: a passage of one wo
 stand for nothing else. A word's weight is sqrt(passages / passages with it): with it all words have equal energy in A, so that
 the directions follow which words go together and not which are frequent. Words in more than
 `most_share` of the passages have no weight. Where a document is copied so often that its own words
-have none, or an item is short of others, cosines do not find the item: items with weight in less than
+have none, cosines do not find the item: items with weight in less than
 `LEAST_HEAVY` of their words, or in fewer than `least_words`, are also searched exactly, by counting
 their words in every stretch of their length; stretches that cannot hold `paraphrase_lcs` of the item
-are passed over, the others checked as in 4. Items of fewer than `least_words` words, but `SHORTEST` at
-least, are found where they stand word for word.
+are passed over, the others checked as in 4. Items of fewer than `least_words` words are found where
+they stand word for word: digests of as many words as they have, at every word of a text, are looked up
+in the sorted digests of the items, so that their number does not multiply the texts'.
 
 Documents are never shuffled, and a passage that many documents share costs what any other does. Items
 are broadcast in blocks of bounded size.
 
 Defined results: null and empty texts contain nothing; items without text or with fewer than
-`SHORTEST` words are not searched (they are common speech); items without an answer are taken to have
+`shortest` words (four by default: shorter ones are common speech; with 1 all are searched) are left out; items without an answer are taken to have
 their last sentence for one; null ids and repeated documents are treated like any others, an item that
 repeats with id and answer is one; of several places the one that holds most of the item is reported, of
 equal ones the first; an empty table on either side gives an empty result; other columns are ignored (or
@@ -43,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, byte_buffers, give_back, lower_ascii, partitions, segment_hashes, ship_code, text_or_empty, words_of
+from .common import by_bytes, byte_buffers, give_back, lower_ascii, mix64, partitions, segment_hashes, ship_code, text_or_empty, words_of
 from .toxicity import _SPACE
 
 Batches = Iterator[pa.RecordBatch]
@@ -78,8 +79,9 @@ def tokens(raw: np.ndarray, offsets: np.ndarray):
     starts, ends, first = words_of(low, offsets, _SPACE[low])
     words = segment_hashes(low, starts, ends)
     new = np.ones(len(words), bool)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for k in (1, 2):
-        new[k:] &= words[k:] != words[:-k]
+        new[k:] &= (words[k:] != words[:-k]) | (row[k:] != row[:-k])
     return words[new], starts[new], ends[new], np.append(0, np.cumsum(new))[first]
 
 
@@ -165,20 +167,20 @@ def throw(batches: Batches, weight: np.ndarray, seed: int) -> Batches:
     yield pa.RecordBatch.from_arrays([pa.array([group] * len(parts), pa.int32()), pa.array([c for c, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["group", "chunk", "part"])
 
 
-def add_up(batches: Batches) -> Batches:
-    """Rows of a group and chunk summed within this task."""
+def add_up(batches: Batches, kind: type, out: type) -> Batches:
+    """Rows of a group and chunk, of numbers of one kind, summed within this task in double precision, as another."""
     total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for i in range(batch.num_rows):
             key = group, chunk = batch.column("group")[i].as_py(), batch.column("chunk")[i].as_py()
-            part = np.frombuffer(batch.column("part")[i].as_py(), np.float64 if chunk < 0 else np.float32)
+            part = np.frombuffer(batch.column("part")[i].as_py(), np.float64 if chunk < 0 else kind)
             if key in total:
                 total[key] += part
             else:
-                total[key] = part.copy()
+                total[key] = part.astype(np.float64)
     if total:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([g for g, _ in total], pa.int32()), pa.array([c for _, c in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["group", "chunk", "part"]
+            [pa.array([g for g, _ in total], pa.int32()), pa.array([c for _, c in total], pa.int32()), pa.array([(x if c < 0 else x.astype(out)).tobytes() for (_, c), x in total.items()], pa.binary())], ["group", "chunk", "part"]
         )
 
 
@@ -187,14 +189,16 @@ def latent_space(docs: DataFrame, weight: np.ndarray, seed: int = 11) -> np.ndar
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(weight)
     sums = docs.coalesce(MOST_TASKS).mapInArrow(lambda b: throw(b, sent.value, seed), "group int, chunk int, part binary")
-    for keys in (["group", "chunk"], ["chunk"]):
-        sums = sums.repartition(partitions(spark), *keys).mapInArrow(add_up, "group int, chunk int, part binary").withColumn("group", F.lit(0))
+    for keys, kind, kept in ((["group", "chunk"], np.float32, np.float64), (["chunk"], np.float64, np.float32)):
+        sums = sums.repartition(partitions(spark), *keys).mapInArrow(lambda b, kind=kind, kept=kept: add_up(b, kind, kept), "group int, chunk int, part binary").withColumn("group", F.lit(0))
     found = {r["chunk"]: r["part"] for r in sums.collect()}
     if not found:
         return np.zeros((BUCKETS, RANK), np.float32)
     zz = np.frombuffer(found.pop(-1), np.float64).reshape(RANK + EXTRA, RANK + EXTRA)
     values, vectors = np.linalg.eigh(zz)
     good = values > 1e-9 * max(values.max(), 1e-30)
+    if not good.any():  # no word has weight
+        return np.zeros((BUCKETS, RANK), np.float32)
     basis = vectors[:, good] / np.sqrt(values[good])  # Z @ basis is orthonormal
     # B = Q'A chunk by chunk: its left singular vectors and values from BB', the right ones from these
     part = lambda c: np.frombuffer(found[c], np.float32).reshape(CHUNK, -1) @ basis
@@ -210,7 +214,8 @@ def latent_space(docs: DataFrame, weight: np.ndarray, seed: int = 11) -> np.ndar
 
 @dataclass
 class Items:
-    """A block of benchmark items: their words, answers, windows in latent space, by scale, and those with too little weight for it."""
+    """A block of benchmark items: their words, answers, windows in latent space, by scale, those with too little weight for it,
+    and the short ones by length: their digests in order, and their numbers."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -219,6 +224,7 @@ class Items:
     least: np.ndarray
     queries: dict[int, tuple[np.ndarray, np.ndarray]]
     weak: list[int]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def last_sentence(text: str) -> str:
@@ -226,17 +232,26 @@ def last_sentence(text: str) -> str:
     return parts[-1] if parts else ""
 
 
-def prepare(rows: list[tuple[int, str, str | None]], weight: np.ndarray, space: np.ndarray) -> Items:
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """A digest of the n words from each word on."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for j in range(n):
+        out = mix64(out ^ words[j : j + len(out)])
+    return out
+
+
+def prepare(rows: list[tuple[int, str, str | None]], weight: np.ndarray, space: np.ndarray, shortest: int) -> Items:
     words, _, _, first = tokens(*byte_buffers(pa.array([t for _, t, _ in rows], pa.string())))
     replies, _, _, at = tokens(*byte_buffers(pa.array([a if a else last_sentence(t) for _, t, a in rows], pa.string())))
-    items = Items([], [], [], np.zeros((len(rows), FOLD), bool), np.zeros(len(rows)), {}, [])
+    items = Items([], [], [], np.zeros((len(rows), FOLD), bool), np.zeros(len(rows)), {}, [], {})
+    short: dict[int, list] = {}
     vectors: dict[int, list] = {2: [], 4: []}
     for i, (item, _, _) in enumerate(rows):
         own = words[first[i] : first[i + 1]]
-        if len(own) < SHORTEST:
+        if len(own) < max(1, shortest):
             continue
         if len(own) < LEAST_WORDS:
-            items.weak.append(len(items.ids))
+            short.setdefault(len(own), []).append((int(grams(own, len(own))[0]), len(items.ids)))
             items.ids.append(item)
             items.words.append(own)
             items.answers.append(own)
@@ -254,6 +269,9 @@ def prepare(rows: list[tuple[int, str, str | None]], weight: np.ndarray, space:
         items.ids.append(item)
         items.words.append(own)
         items.answers.append(replies[at[i] : at[i + 1]])
+    for n, some in short.items():
+        digests, which = zip(*sorted(some))
+        items.short[n] = np.array(digests, np.uint64), np.array(which)
     for scale, some in vectors.items():
         if some:
             v = np.stack([x for _, x in some])
@@ -284,18 +302,8 @@ def answered(answer: np.ndarray, region: np.ndarray) -> bool:
     return len(answer) > 0 and lcs(answer, region) >= 0.9 * len(answer)
 
 
-def verbatim(item: np.ndarray, words: np.ndarray, a: int, b: int) -> tuple[float, int, int] | None:
-    """Where the item stands word for word from a place in [a, b) on."""
-    for s in (a + np.flatnonzero(words[a : min(b, len(words) - len(item) + 1)] == item[0])).tolist():
-        if np.array_equal(words[s : s + len(item)], item):
-            return 1.0, s, s + len(item)
-    return None
-
-
 def check(item: np.ndarray, answer: np.ndarray, words: np.ndarray, a: int, b: int) -> tuple[float, int, int] | None:
     """Share of the item in the words around [a, b), and the span of its words there, if it is contained."""
-    if len(item) < LEAST_WORDS:
-        return verbatim(item, words, a, b)
     low, high = max(0, a - len(item)), min(len(words), b + len(item))
     region = words[low:high]
     there = set(region.tolist())
@@ -334,6 +342,20 @@ def windows(blocks: np.ndarray, owner: np.ndarray, scale: int) -> np.ndarray:
     return out
 
 
+def verbatim(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item number, row, first word of all) where a short item stands word for word in a row for the first time."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for n, (digests, which) in items.short.items():
+        own = grams(words, n)
+        low = np.searchsorted(digests, own)
+        at = np.flatnonzero((digests[np.minimum(low, len(digests) - 1)] == own) & (row[: len(own)] == row[n - 1 :]))
+        at = at[np.unique(row[at] * len(digests) + low[at], return_index=True)[1]]
+        for x, k, end in zip(at.tolist(), low[at].tolist(), np.searchsorted(digests, own[at], side="right").tolist()):
+            for i in which[k:end].tolist():
+                if np.array_equal(words[x : x + n], items.words[i]):
+                    yield i, int(row[x]), x
+
+
 def stretches(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
     """(item number, row, first word in it) of the stretches that may hold enough of an item of little weight, by row and place."""
     vocabulary = np.unique(np.concatenate([items.words[i] for i in items.weak]))
@@ -343,8 +365,7 @@ def stretches(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tu
     at = np.flatnonzero((np.arange(len(words)) - first[row]) % 4 == 0)
     for i in items.weak:
         own, times = np.unique(items.words[i], return_counts=True)
-        short = len(items.words[i]) < LEAST_WORDS
-        least, size = (1 if short else PARAPHRASE_LCS) * len(items.words[i]), len(items.words[i]) + 8
+        least, size = PARAPHRASE_LCS * len(items.words[i]), len(items.words[i]) + 8
         number = np.full(len(vocabulary) + 1, len(own))
         number[np.searchsorted(vocabulary, own)] = np.arange(len(own))
         mine = number[code]
@@ -360,6 +381,11 @@ def stretches(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tu
                 yield i, int(row[x]), x - int(first[row[x]])
 
 
+def cosine_of(a: np.ndarray, b: np.ndarray, space: np.ndarray) -> float:
+    p, q = (space[bucket_of(w)].sum(axis=0) for w in (a, b))
+    return float(p @ q / max(np.linalg.norm(p) * np.linalg.norm(q), 1e-20))
+
+
 def matches(part: pa.Array, items: Items, weight: np.ndarray, space: np.ndarray) -> dict[int, dict[int, tuple]]:
     """row -> item number -> (share, cosine, first byte, end byte), best of each."""
     words, starts, ends, first = tokens(*byte_buffers(part))
@@ -399,17 +425,18 @@ def matches(part: pa.Array, items: Items, weight: np.ndarray, space: np.ndarray)
         seen, size = found.setdefault(row, {}), len(items.words[i])
         if a <= passed.get((i, row), -1) or i in seen and seen[i][0] == 1.0:
             continue
-        passed[i, row] = a + (size // 2 if len(items.words[i]) >= LEAST_WORDS else 0)
+        passed[i, row] = a + size // 2
         hit = check(items.words[i], items.answers[i], words[first[row] : first[row + 1]], a, a + size)
         if hit and (i not in seen or hit[0] > seen[i][0]):
             s, e = first[row] + hit[1], first[row] + hit[2] - 1
-            p, q = (space[bucket_of(w)].sum(axis=0) for w in (words[s : e + 1], items.words[i]))
-            cosine = float(p @ q / max(np.linalg.norm(p) * np.linalg.norm(q), 1e-20))
-            seen[i] = (hit[0], cosine, int(starts[s]), int(ends[e]), a)
+            seen[i] = (hit[0], cosine_of(words[s : e + 1], items.words[i], space), int(starts[s]), int(ends[e]), a)
+    for i, row, s in verbatim(words, first, items):
+        e = s + len(items.words[i]) - 1
+        found.setdefault(row, {})[i] = (1.0, cosine_of(words[s : e + 1], items.words[i], space), int(starts[s]), int(ends[e]), s - int(first[row]))
     return {row: hits for row, hits in found.items() if hits}
 
 
-def item_blocks(benchmark: DataFrame, weight: np.ndarray, space: np.ndarray) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, weight: np.ndarray, space: np.ndarray, shortest: int) -> Iterator[Items]:
     """The items in blocks of about ITEM_BLOCK, each small enough to broadcast."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
@@ -417,7 +444,7 @@ def item_blocks(benchmark: DataFrame, weight: np.ndarray, space: np.ndarray) ->
     n = -(-rows.count() // ITEM_BLOCK)
     for k in range(n):
         some = rows.where(F.pmod(F.xxhash64("item_id", "text", "answer"), F.lit(n)) == k).collect()
-        yield prepare([tuple(r) for r in some], weight, space)
+        yield prepare([tuple(r) for r in some], weight, space, shortest)
 
 
 def model_of(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -432,13 +459,13 @@ def model_of(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 HITS = "doc_id long, item_id long, lcs double, cosine double, start int, end int"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """doc_id, item_id, share of the item (lcs), cosine, and the span of characters, of every item found in a document."""
     spark = docs.sparkSession
     weight, space = model_of(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     out = spark.createDataFrame([], HITS)
-    for items in item_blocks(benchmark, weight, space):
+    for items in item_blocks(benchmark, weight, space, shortest):
         sent = spark.sparkContext.broadcast((items, weight, space))
 
         def search(batches: Batches, sent=sent) -> Batches:
@@ -459,12 +486,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """The rows of `docs`, with all their columns, that contain no item of the benchmark."""
     weight, space = model_of(docs, text_col)
     spark = docs.sparkSession
     out = docs
-    for items in item_blocks(benchmark, weight, space):
+    for items in item_blocks(benchmark, weight, space, shortest):
         sent = spark.sparkContext.broadcast((items, weight, space))
 
         def keep(batches: Batches, sent=sent) -> Batches:

@@ -127,3 +127,33 @@ def test_items_in_a_third_of_the_rows_are_found_everywhere(spark):
     assert {(r.doc_id, r.item_id) for r in found} == leaked and len(found) == len(leaked)
     assert all(0 <= r.start < r.end <= len(docs[r.doc_id]) for r in found)
     assert {r.doc_id for r in decontaminate(df, bench).collect()} == set(docs) - {d for d, _ in leaked}
+
+
+def test_items_of_one_to_seven_words_against_brute_force(spark):
+    """`shortest=1` searches every item; a thousand short ones, some of them under several ids."""
+    rng = random.Random(5)
+    some = [word(rng) for _ in range(60)]
+
+    def words_in_turn(n):  # none repeats one of the two before it
+        out = []
+        for _ in range(n):
+            out.append(rng.choice([w for w in some if w not in out[-2:]]))
+        return out
+
+    docs = {d: words_in_turn(rng.randrange(0, 120)) for d in range(80)}
+    items = {i: words_in_turn(1 + i % 7) for i in range(1000)}
+    for i in range(0, 1000, 11):  # what stands somewhere
+        d = docs[rng.randrange(80)]
+        at, n = rng.randrange(len(d) + 1), 1 + rng.randrange(7)
+        items[i] = d[at : at + n] or items[i]
+    items[1001], items[1002] = items[0], items[0]
+    want = {(d, i) for d, t in docs.items() for i, w in items.items() if any(t[s : s + len(w)] == w for s in range(len(t) - len(w) + 1))}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    rows = find_leaks(df, bench, shortest=1).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) > 300
+    assert {len(items[i]) for _, i in want} == set(range(1, 8))
+    assert all(" ".join(docs[r.doc_id])[r.start : r.end] == " ".join(items[r.item_id]) for r in rows)
+    long = {(r.doc_id, r.item_id) for r in find_leaks(df, bench).collect()}
+    assert long == {(d, i) for d, i in want if len(items[i]) >= 4}
+    assert {r.doc_id for r in decontaminate(df, bench).collect()} == set(docs) - {d for d, _ in long}

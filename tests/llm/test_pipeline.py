@@ -43,5 +43,5 @@ def test_clashing_columns_and_long_texts_come_through(spark, sf, odd_documents):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
