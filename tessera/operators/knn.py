@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import l2sq, sound
 from ..plans.shared import written
+from ..plans.tiles import SLACK, within
 from .filters import Everything, Filter
 
 #: A side is broadcast only if it has at most this many rows.
@@ -17,6 +18,9 @@ MOST_BROADCAST = 4096
 #: With more queries than this, one in SAMPLE rows is searched first, to bound the search of all.
 FEW_QUERIES = 64
 SAMPLE = 64
+#: Queries whose sample holds so many times k rows that pass have all rows compared before the filter is tested:
+#: about k * SAMPLE of their rows are as near as the bound, an eighth of all rows at most.
+ENOUGH = 8
 
 
 def top_k(pairs: DataFrame, k: int, by: str = "dist", tie: str = "vec_id", query: str = "qid") -> DataFrame:
@@ -49,30 +53,41 @@ def paired(base: DataFrame, queries: DataFrame, test: Column | None = None, aske
     return asked.hint("merge").join(rows, "part_").where(test).drop("part_")
 
 
-def nearest_pairs(base: DataFrame, queries: DataFrame, k: int, test: Column, dim: int | None) -> DataFrame:
-    """All columns of pairs that pass, with dist, among them the k nearest of each query.
+def nearest_pairs(base: DataFrame, queries: DataFrame, k: int, test: Column, dim: int | None, key: str | None = None) -> DataFrame:
+    """Pairs that pass, with dist, among them the k nearest of each query; all columns but the vectors. key: a column
+    in which both have to be equal (queries hold a row for each of its values).
 
     Where there are many queries, the k-th nearest of one in SAMPLE rows bounds how far the k-th nearest of all
-    can be: pairs beyond it are dropped at once instead of being sorted; lengths of vectors tell most of them
-    without a distance where these differ.
+    can be: pairs beyond it are dropped at once instead of being sorted. Where enough of the sample passes, distances
+    come first, block by block (plans/tiles.py), and the filter is tested on what is near; where few rows
+    pass, the filter comes first.
     """
     dist = l2sq(F.col("embedding"), F.col("qv"), dim)
+    meet = (lambda rows, asks, extra, n: rows.join(asks, key).where(extra)) if key else paired
     n = queries.count()
     if n <= FEW_QUERIES:
-        return paired(base, queries, test, n).withColumn("dist", dist)
+        return meet(base, queries, test, n).withColumn("dist", dist).drop("embedding", "qv")
     length = lambda v: F.sqrt(F.aggregate(F.col(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     some = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(SAMPLE)) == 0)
-    near = top_k(paired(some, queries, test, n).select("qid", "vec_id", dist.alias("dist")), k)
-    bounds = near.where(F.col("rank") == k).select("qid", F.col("dist").alias("tau_"))
-    asked = written(queries.join(bounds, "qid", "left").withColumns({"tau_": F.coalesce("tau_", F.lit(float("inf"))), "length_q": length("qv")}), "bounded")
+    near = top_k(meet(some, queries, test, n).select("qid", "vec_id", dist.alias("dist")), ENOUGH * k)
+    bounds = near.groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("dist") * SLACK)).alias("tau_"), (F.max("rank") >= ENOUGH * k).alias("many_"))
+    asked = queries.join(bounds, "qid", "left").withColumns({"tau_": F.coalesce("tau_", F.lit(float("inf"))), "many_": F.coalesce("many_", F.lit(False))})
+    # vectors without an end have no distances to bound by
+    asked = written(asked.withColumn("many_", F.col("many_") & (F.col("tau_") < float("inf"))), "bounded")
+    rest = asked.where("not many_").withColumn("length_q", length("qv"))
+    few = rest.count()
+    tiled = within(base, asked.where("many_"), key).where(test).drop("many_")
+    if not few:
+        return tiled
     gap = F.col("length_v") - F.col("length_q")
     # lengths are rounded: a hair more is let through
     close = gap * gap <= F.col("tau_") * (1 + 1e-9) + 1e-9
-    pairs = paired(base.withColumn("length_v", length("embedding")), asked, test & close, n)
+    pairs = meet(base.withColumn("length_v", length("embedding")), rest, test & close, few)
     # counting the distances also keeps the filter above their projection, else the join's condition would hold
     # them a second time, in code too long to be compiled
     counted = pairs.withColumn("dist", dist).observe(f"distances-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("distances"))
-    return counted.where("dist <= tau_").drop("tau_", "length_q", "length_v")
+    counted = counted.where("dist <= tau_").drop("tau_", "many_", "length_q", "length_v", "embedding", "qv")
+    return counted if few == n else tiled.unionByName(counted)
 
 
 def valid(table: DataFrame, axes: list[str], dim: int | None = None) -> DataFrame:

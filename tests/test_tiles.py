@@ -40,6 +40,21 @@ def test_checked_descent_is_exact(spark, small_blocks):
     assert edges == true_edges(df, {(g, g) for g in range(3)}, 4)
 
 
+def test_many_queries_are_compared_by_blocks(spark, small_blocks, monkeypatch):
+    df = isotropic(600, 3)
+    base, asked = frame(spark, df), questions(spark, df, 5)
+    point, box = [F.col("a0"), F.col("a1")], InBox(Box([F.col("q0") - 0.3, F.col("q1") - 0.3], [F.col("q0") + 0.3, F.col("q1") + 0.3]))
+    keep = box | InPolygon(Polygon([(0.25, 0.125), (0.875, 0.25), (0.75, 0.875)]))
+    truth = rows_of(knn.exact_knn(base, asked, 3, point, keep, DIM))
+    for sample, enough in ((4, 2), (1, 8)):
+        monkeypatch.setattr(knn, "FEW_QUERIES", 10)
+        monkeypatch.setattr(knn, "SAMPLE", sample)
+        monkeypatch.setattr(knn, "ENOUGH", enough)
+        found = knn.exact_knn(base, asked, 3, point, keep, DIM)
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+        assert rows_of(found) == truth
+
+
 def test_checked_forest_is_exact(spark, small_blocks):
     from tessera.llm.ann import nearest
 
