@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Box
 from ..functions.vectors import l2sq, sound
 from ..plans.grid import Grid, adaptive_layers, global_box
+from ..plans.shared import written
 from .filters import And, Everything, Filter, InBall, InBox, InPolygon
 from .graph import GraphIndex
-from .knn import answer, exact_knn, valid
+from .knn import FEW_QUERIES, answer, exact_knn, nearest_pairs, valid
 
 #: Stored cubes that a search names to the reader at most, and cubes listed to find them.
 MOST_CUBES = 4096
@@ -179,8 +180,12 @@ class CubeIndex:
             return exact_knn(self.rows_for(queries, keep), queries, k, self.point, keep, self.dim)
         out = None
         for at, some in self.by_layer(queries, keep, layer):
-            pairs = self.pairs(some, keep, mode, at)
-            found = answer(pairs.select("qid", "vec_id", l2sq(F.col("embedding"), F.col("qv"), self.dim).alias("dist")), k)
+            listed = self.cube_list(some, keep, at) if mode == "cubes" else self.reachable(some, keep, at)
+            # listed once, read by the sample and the search
+            listed = written(listed, "listed") if some.count() > FEW_QUERIES else listed
+            rows = self.rows_for(some, keep).withColumn("cube_id", F.col(f"cube_{at}"))
+            pairs = nearest_pairs(rows.select("vec_id", "embedding", "cube_id", *self.axes), listed, k, keep.column(self.point), self.dim, "cube_id")
+            found = answer(pairs.select("qid", "vec_id", "dist"), k)
             out = found if out is None else out.unionByName(found)
         return out if out is not None else exact_knn(self.table, queries, k, self.point, keep, self.dim)
 
@@ -223,7 +228,10 @@ class CubeIndex:
         A query's cubes with rows that pass meet in one row: a grid has a bounded number of them."""
         start = queries.select("qid", self.grid.cube_of(self.center(keep), layer).alias("start"))
         rows = self.rows_for(queries, keep).withColumn("cube_id", F.col(f"cube_{layer}")).select("cube_id", *self.axes)
-        holds = rows.join(self.cube_list(queries, keep, layer), "cube_id").where(keep.column(self.point)).groupBy("qid").agg(F.collect_set("cube_id").alias("holds"))
+        # a cube is settled by the first of its rows that passes
+        cubes, point = self.cube_list(queries.drop("qv"), keep, layer), [F.col(f"r.{a}") for a in self.axes]
+        found = cubes.alias("q").join(rows.alias("r"), (F.col("q.cube_id") == F.col("r.cube_id")) & keep.column(point), "left_semi")
+        holds = found.groupBy("qid").agg(F.collect_set("cube_id").alias("holds"))
         c, dims = self.grid.cubes(layer), self.grid.dims
 
         def walk(batches):

@@ -55,6 +55,29 @@ def test_many_queries_are_compared_by_blocks(spark, small_blocks, monkeypatch):
         assert rows_of(found) == truth
 
 
+@pytest.mark.parametrize("mode", ["cubes", "fly"])
+def test_many_queries_of_a_cube_search(spark, small_blocks, monkeypatch, mode):
+    df = isotropic(600, 4)
+    index, asked = CubeIndex.build(frame(spark, df), ["a0", "a1"], layers=3, least_points=1, dim=DIM), questions(spark, df, 5)
+    keep = InPolygon(Polygon([(0.25, 0.125), (0.875, 0.25), (0.75, 0.875), (0.375, 0.625)]))
+    monkeypatch.setattr(cubes, "FEW_QUERIES", 10**6)
+    monkeypatch.setattr(knn, "FEW_QUERIES", 10**6)
+    truth = rows_of(index.search(asked, 3, keep, mode, 2))
+    monkeypatch.setattr(cubes, "FEW_QUERIES", 10)
+    monkeypatch.setattr(knn, "FEW_QUERIES", 10)
+    monkeypatch.setattr(knn, "SAMPLE", 2)
+    found = index.search(asked, 3, keep, mode, 2)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    assert rows_of(found) == truth
+
+
+def test_a_reached_cube_is_settled_by_one_row(spark):
+    df = isotropic(200, 5)
+    index = CubeIndex.build(frame(spark, df), ["a0", "a1"], layers=2, least_points=1, dim=DIM)
+    plan = index.reachable(questions(spark, df, 5), InPolygon(Polygon([(0.1, 0.1), (0.9, 0.1), (0.9, 0.9)])), 1)._jdf.queryExecution().toString()
+    assert "LeftSemi" in plan
+
+
 def test_checked_forest_is_exact(spark, small_blocks):
     from tessera.llm.ann import nearest
 
