@@ -4,7 +4,7 @@
 2. A randomised SVD of the matrix of TF-IDF passages A, distributed: every task throws its passages
    on a random test matrix O, Z = A O, and adds up Z'Z and A'Z. From Z'Z = R'R follows the orthonormal
    basis Q = Z R^-1, and from A'Z the small matrix B = Q'A, whose SVD gives the latent directions.
-   Tasks send sums of a fixed size, the driver gets one matrix of (buckets x rank).
+   Tasks send sums of a fixed size, so small splits share a task; the driver gets one matrix of (buckets x rank).
 3. Candidate search: windows of every document (16 words a step of 8, 32 words a step of 16) and the
    benchmark's items are projected and compared by cosine, in the pass that reads the texts.
 4. Candidates are checked by the longest common subsequence of words of the item and the document
@@ -65,9 +65,12 @@ MOST_SHARE = 0.02
 ITEM_BLOCK = 4096
 CHUNK = 1024
 SLICE = 1 << 20
-#: Tasks that make sums, at most, and groups in which sums are added up before they meet.
+#: Tasks that make sums, at most; splits that share a task, where that leaves every core two; groups in which sums are
+#: added up before they meet, at most, and tasks of a group, at least.
 MOST_TASKS = 8192
+SPLITS = 4
 GROUPS = 8
+GROUP_TASKS = 16
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray):
@@ -148,7 +151,7 @@ def project(words: np.ndarray, first: np.ndarray, weight: np.ndarray, table: np.
     return out, owner
 
 
-def throw(batches: Batches, weight: np.ndarray, seed: int) -> Batches:
+def throw(batches: Batches, weight: np.ndarray, seed: int, groups: int) -> Batches:
     """This task's Z'Z and A'Z as rows (chunk, part): chunk -1 is Z'Z."""
     test = np.random.default_rng(seed).normal(size=(BUCKETS, RANK + EXTRA)).astype(np.float32) * weight[:, None]
     zz, az = np.zeros((RANK + EXTRA,) * 2), np.zeros((BUCKETS, RANK + EXTRA), np.float32)
@@ -163,7 +166,7 @@ def throw(batches: Batches, weight: np.ndarray, seed: int) -> Batches:
         add_rows(az, bucket[some], z, block[some], len(some) or 1)
     az *= weight[:, None]
     parts = [(-1, zz.tobytes())] + [(c, az[c * CHUNK : (c + 1) * CHUNK].tobytes()) for c in range(BUCKETS // CHUNK)]
-    group = TaskContext.get().partitionId() % GROUPS
+    group = TaskContext.get().partitionId() % groups
     yield pa.RecordBatch.from_arrays([pa.array([group] * len(parts), pa.int32()), pa.array([c for c, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["group", "chunk", "part"])
 
 
@@ -184,11 +187,20 @@ def add_up(batches: Batches, kind: type, out: type) -> Batches:
         )
 
 
+def summing_tasks(docs: DataFrame) -> int:
+    """Tasks that make sums of `docs`: a task's sums have a fixed size (14 MB), however little it reads, so splits
+    share tasks."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return min(MOST_TASKS, max(2 * cores, -(-docs.rdd.getNumPartitions() // SPLITS)))
+
+
 def latent_space(docs: DataFrame, weight: np.ndarray, seed: int = 11) -> np.ndarray:
     """Each bucket's weighted coordinates along the leading right singular vectors of A, over their singular values."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(weight)
-    sums = docs.coalesce(MOST_TASKS).mapInArrow(lambda b: throw(b, sent.value, seed), "group int, chunk int, part binary")
+    tasks = summing_tasks(docs)
+    groups = min(GROUPS, max(1, tasks // GROUP_TASKS))
+    sums = docs.coalesce(tasks).mapInArrow(lambda b: throw(b, sent.value, seed, groups), "group int, chunk int, part binary")
     for keys, kind, kept in ((["group", "chunk"], np.float32, np.float64), (["chunk"], np.float64, np.float32)):
         sums = sums.repartition(partitions(spark), *keys).mapInArrow(lambda b, kind=kind, kept=kept: add_up(b, kind, kept), "group int, chunk int, part binary").withColumn("group", F.lit(0))
     found = {r["chunk"]: r["part"] for r in sums.collect()}

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from tessera.llm import decontam
 from tessera.llm.decontam import decontaminate, find_leaks
 
 
@@ -157,3 +160,30 @@ def test_items_of_one_to_seven_words_against_brute_force(spark):
     long = {(r.doc_id, r.item_id) for r in find_leaks(df, bench).collect()}
     assert long == {(d, i) for d, i in want if len(items[i]) >= 4}
     assert {r.doc_id for r in decontaminate(df, bench).collect()} == set(docs) - {d for d, _ in long}
+
+
+def test_small_splits_share_their_sums(spark, monkeypatch, tmp_path):
+    rng = random.Random(8)
+    spark.createDataFrame([(prose(rng, 60),) for _ in range(200)], "text string").repartition(40).write.parquet(str(tmp_path / "docs"))
+    sent, throw = spark.sparkContext.accumulator(0), decontam.throw
+
+    def counted(batches, *rest):
+        for batch in throw(batches, *rest):
+            sent.add(1)
+            yield batch
+
+    monkeypatch.setattr(decontam, "throw", counted)
+    monkeypatch.setattr(decontam, "MOST_SHARE", 1.0)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # a split for each file
+    try:
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        splits = docs.rdd.getNumPartitions()
+        space = decontam.latent_space(docs, decontam.weights(docs))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert splits >= 40
+    assert 0 < sent.value <= max(2 * spark.sparkContext.defaultParallelism, -(-splits // decontam.SPLITS))
+    one = decontam.latent_space(docs.coalesce(1), decontam.weights(docs))
+    # the same space: directions may have another sign
+    assert np.allclose(np.abs(space @ space[:50].T), np.abs(one @ one[:50].T), rtol=1e-2, atol=1e-4 * np.abs(one).max() ** 2)
