@@ -13,7 +13,8 @@ ids are then its words' ids in order, whichever word they stand in.
 4. Decoding joins ids to a table of pieces by id: the table is the vocabulary, bounded, and in order of
    ids, so the join is Arrow's take.
 
-A block is numbered by the split it was read from. Should a split be read differently the second
+A block is numbered by the split it was read from (not by its task: where answers and texts meet in a union, tasks
+are counted over both). Should a split be read differently the second
 time, the answer's checksum fails and the block encodes its words itself, with the same result.
 
 Defined results: null and empty texts have no ids; null ids of documents are kept; repeated rows
@@ -29,7 +30,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +53,10 @@ def unpack(data: bytes) -> bytes:
 
 def blocks(batches: Batches, block_bytes: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """(number, slices) of consecutive rows, of about block_bytes of text or one long text."""
-    part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+    part, seq, held, size = 0, 0, [], 0
     for piece in by_bytes(batches, "text", 1 << 20):
+        part = piece.column("split")[0].as_py()
+        piece = piece.select(["doc_id", "text"])
         held.append(piece)
         size += piece.nbytes
         if size >= block_bytes:
@@ -223,7 +225,7 @@ def encode(
     spark = docs.sparkSession
     ship_code(spark)
     n = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.spark_partition_id().alias("split"))
     words = rows.mapInArrow(lambda b: send_words(b, n, block_bytes), _WORDS)
     replies = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: answer(b, tokenizer), _ROWS)
     texts = rows.mapInArrow(lambda b: send_texts(b, block_bytes), _ROWS)

@@ -53,6 +53,29 @@ def test_digests(documents):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_blocks_get_their_answers(spark, monkeypatch):
+    from tessera.llm import bpe
+
+    real = bpe.encode_blocks
+
+    def strict(batches, path, buckets):
+        """Blocks that may not encode words themselves."""
+        from tessera.llm import bpe as there
+
+        encode_words, there.encode_words = there.encode_words, None
+        try:
+            yield from real(batches, path, buckets)
+        finally:
+            there.encode_words = encode_words
+
+    monkeypatch.setattr(bpe, "encode_blocks", strict)
+    texts = [f"word{i % 97} and other{i % 31} things" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in encode(df, WORD, block_bytes=2000).collect()}
+    own = Tokenizer.from_file(WORD)
+    assert got == {i: own.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+
+
 def test_answers_that_do_not_fit_are_not_used():
     import pyarrow as pa
 
