@@ -18,9 +18,12 @@ MOST_BROADCAST = 4096
 #: With more queries than this, one in SAMPLE rows is searched first, to bound the search of all.
 FEW_QUERIES = 64
 SAMPLE = 64
-#: Queries whose sample holds so many times k rows that pass have all rows compared before the filter is tested:
-#: about k * SAMPLE of their rows are as near as the bound, an eighth of all rows at most.
+#: Queries of which so many times k rows pass in the sample (in one of SAMPLE, if that is less) have all rows compared
+#: before the filter is tested: an eighth of the rows at most is as near as the bound.
 ENOUGH = 8
+#: Where more pairs than this would be as near as the bound, the sample grows, to one in STEP rows at most; where the
+#: sample itself has more pairs, a sample of it bounds it in turn.
+PAIRS, STEP = 1 << 22, 8
 
 
 def top_k(pairs: DataFrame, k: int, by: str = "dist", tie: str = "vec_id", query: str = "qid") -> DataFrame:
@@ -57,23 +60,56 @@ def nearest_pairs(base: DataFrame, queries: DataFrame, k: int, test: Column, dim
     """Pairs that pass, with dist, among them the k nearest of each query; all columns but the vectors. key: a column
     in which both have to be equal (queries hold a row for each of its values).
 
-    Where there are many queries, the k-th nearest of one in SAMPLE rows bounds how far the k-th nearest of all
-    can be: pairs beyond it are dropped at once instead of being sorted. Where enough of the sample passes, distances
-    come first, block by block (plans/tiles.py), and the filter is tested on what is near; where few rows
-    pass, the filter comes first.
+    Where there are many queries, the k-th nearest of a sample of the rows bounds how far the k-th nearest of all
+    can be: pairs beyond it are dropped at once instead of being sorted. Large samples are bounded by smaller ones, so
+    that all but the smallest are compared like the whole. No row is left out: every bound only drops what is farther.
     """
     dist = l2sq(F.col("embedding"), F.col("qv"), dim)
-    meet = (lambda rows, asks, extra, n: rows.join(asks, key).where(extra)) if key else paired
     n = queries.count()
     if n <= FEW_QUERIES:
-        return meet(base, queries, test, n).withColumn("dist", dist).drop("embedding", "qv")
+        return met(base, queries, test, n, key).withColumn("dist", dist).drop("embedding", "qv")
+    rows = base.count()
+    shares = sample_shares(rows, n, k)
+    some = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(shares[0])) == 0)
+    small = rows <= shares[0] * MOST_BROADCAST
+    found = met(some, queries, test, n, key, small).withColumn("dist", dist)
+    passed = met(some.drop("embedding"), queries.drop("qv"), test, n, key, small).groupBy("qid").agg((F.count("*") * shares[0]).alias("passed_"))
+    asked = queries.join(passed, "qid", "left")
+    for before, share in zip(shares, [*shares[1:], 1]):
+        bounds = top_k(found.select("qid", "vec_id", "dist"), k).where(F.col("rank") == k).select("qid", (F.col("dist") * SLACK).alias("tau_"))
+        asked = asked.join(bounds, "qid", "left").withColumn("tau_", F.coalesce("tau_", F.lit(float("inf"))))
+        # vectors without an end have no distances to bound by
+        many = F.coalesce(F.col("passed_"), F.lit(0)) >= ENOUGH * k * max(before, SAMPLE)
+        asked = written(asked.withColumn("many_", many & (F.col("tau_") < float("inf"))), "bounded")
+        some = base if share == 1 else base.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0)
+        found = bounded_pairs(some, asked.drop("passed_"), n, test, dist, key)
+        asked = asked.drop("tau_", "many_")
+    return found
+
+
+def sample_shares(rows: int, asked: int, k: int) -> list[int]:
+    """One in how many rows each sample has, the smallest sample first."""
+    step = min(SAMPLE, max(STEP, PAIRS // (asked * k)))
+    shares = [step]
+    while step > 1 and rows * asked > PAIRS * shares[0] and rows > ENOUGH * k * step * shares[0]:
+        shares.insert(0, step * shares[0])
+    return shares
+
+
+def met(rows: DataFrame, asks: DataFrame, test: Column, asked: int, key: str | None, small: bool = False) -> DataFrame:
+    """Pairs where `test` holds; many queries are dealt out to meet rows that are few enough to be broadcast."""
+    if key:
+        return rows.join(asks, key).where(test)
+    if small and asked > MOST_BROADCAST:
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return asks.repartition(parts, "qid").join(F.broadcast(rows), test)
+    return paired(rows, asks, test, asked)
+
+
+def bounded_pairs(base: DataFrame, asked: DataFrame, n: int, test: Column, dist: Column, key: str | None) -> DataFrame:
+    """The pairs of nearest_pairs that lie within the queries' tau_. Where many_ is set, distances come first, block by
+    block (plans/tiles.py), and the filter is tested on what is near; for the rest the filter comes first."""
     length = lambda v: F.sqrt(F.aggregate(F.col(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    some = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(SAMPLE)) == 0)
-    near = top_k(meet(some, queries, test, n).select("qid", "vec_id", dist.alias("dist")), ENOUGH * k)
-    bounds = near.groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("dist") * SLACK)).alias("tau_"), (F.max("rank") >= ENOUGH * k).alias("many_"))
-    asked = queries.join(bounds, "qid", "left").withColumns({"tau_": F.coalesce("tau_", F.lit(float("inf"))), "many_": F.coalesce("many_", F.lit(False))})
-    # vectors without an end have no distances to bound by
-    asked = written(asked.withColumn("many_", F.col("many_") & (F.col("tau_") < float("inf"))), "bounded")
     rest = asked.where("not many_").withColumn("length_q", length("qv"))
     few = rest.count()
     tiled = within(base, asked.where("many_"), key).where(test).drop("many_")
@@ -82,7 +118,7 @@ def nearest_pairs(base: DataFrame, queries: DataFrame, k: int, test: Column, dim
     gap = F.col("length_v") - F.col("length_q")
     # lengths are rounded: a hair more is let through
     close = gap * gap <= F.col("tau_") * (1 + 1e-9) + 1e-9
-    pairs = meet(base.withColumn("length_v", length("embedding")), rest, test & close, few)
+    pairs = met(base.withColumn("length_v", length("embedding")), rest, test & close, few, key)
     # counting the distances also keeps the filter above their projection, else the join's condition would hold
     # them a second time, in code too long to be compiled
     counted = pairs.withColumn("dist", dist).observe(f"distances-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("distances"))

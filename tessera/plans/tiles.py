@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .shared import ship_code
 
 #: Rows and queries of a block, and queries that are compared with a block at a time.
-ROWS, ASKS, SLICE = 4096, 2048, 256
+ROWS, ASKS, SLICE = 4096, 2048, 64
 #: A product of matrices differs from the sum of squares by less than this share of both vectors' squares.
 ROUNDING = 1e-12
 #: Bounds are let out by this much: sums in another order are rounded otherwise.
@@ -45,11 +45,12 @@ def compare(asked: pa.Table, rows: pa.Table, names: list[str]) -> pa.Table:
         a, b = vectors_of(asked.column("qv")), vectors_of(rows.column("embedding"))
         with np.errstate(invalid="ignore", over="ignore"):
             tau, square_a, square_b = asked.column("tau_").to_numpy(), (a * a).sum(1), (b * b).sum(1)
+            # |a|^2 - 2ab + |b|^2 <= tau, with what rounding may take
+            left, right = np.c_[-2 * a, np.ones(len(a))], np.c_[b, square_b * (1 - ROUNDING)].T
+            most = (tau - square_a * (1 - ROUNDING))[:, None]
             for at in range(0, len(a), SLICE):
                 some = slice(at, at + SLICE)
-                # |a|^2 - 2ab + |b|^2 <= tau, with what rounding may take
-                least = (square_b * (1 - ROUNDING) - 2 * (a[some] @ b.T)) if len(b) else np.zeros((0, 0))
-                x, y = np.nonzero(least <= (tau[some] - square_a[some] * (1 - ROUNDING))[:, None])
+                x, y = np.divmod(np.flatnonzero(left[some] @ right <= most[some]), len(b))
                 x += at
                 exact = distances(a, b, x, y)
                 near = exact <= tau[x]
@@ -57,8 +58,7 @@ def compare(asked: pa.Table, rows: pa.Table, names: list[str]) -> pa.Table:
                 j.append(y[near])
                 dist.append(exact[near])
     i, j = pa.array(np.concatenate(i)), pa.array(np.concatenate(j))
-    left, right = asked.take(i), rows.take(j)
-    columns = [(left if c in left.schema.names else right).column(c) for c in names]
+    columns = [asked.column(c).take(i) if c in asked.schema.names else rows.column(c).take(j) for c in names]
     return pa.table([*columns, pa.array(np.concatenate(dist))], [*names, "dist"])
 
 

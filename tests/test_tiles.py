@@ -105,3 +105,31 @@ def test_checked_forest_is_exact(spark, small_blocks):
         found = nearest(frame(spark, df), F.col("vec_id") % 10 == 0, trees=1, probes=1, candidates=20, checked=checked)
         got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in found.orderBy("query_id", "rank").collect()]
         assert (got == want) == checked
+
+
+def test_samples_of_samples_keep_the_bounds_linear(spark, small_blocks, monkeypatch):
+    met, pair = [], knn.paired
+    monkeypatch.setattr(knn, "paired", lambda base, asked, *a: (met.append(base.count() * asked.count()), pair(base, asked, *a))[1])
+    work = []
+    for n in (600, 2400):
+        df = isotropic(n, 7)
+        base, asked = frame(spark, df), questions(spark, df, 5)
+        monkeypatch.setattr(knn, "FEW_QUERIES", 10**6)
+        truth = rows_of(knn.exact_knn(base, asked, 3, [], None, DIM))
+        for name, value in (("FEW_QUERIES", 10), ("SAMPLE", 4), ("ENOUGH", 2), ("STEP", 4), ("PAIRS", 1)):
+            monkeypatch.setattr(knn, name, value, raising=False)
+        met.clear()
+        assert rows_of(knn.exact_knn(base, asked, 3, [], None, DIM)) == truth
+        work.append(sum(met))
+    # four times the rows and queries: pairs that are not compared by blocks grow as the queries, not as all pairs
+    assert work[1] < 8 * work[0]
+
+
+def test_queries_are_dealt_out_to_a_small_sample(spark, small_blocks, monkeypatch):
+    df = isotropic(600, 8)
+    base, asked = frame(spark, df), questions(spark, df, 5)
+    point, box = [F.col("a0"), F.col("a1")], InBox(Box([F.col("q0") - 0.3, F.col("q1") - 0.3], [F.col("q0") + 0.3, F.col("q1") + 0.3]))
+    truth = [rows_of(knn.exact_knn(base, asked, 3, point, keep, DIM)) for keep in (box, None)]
+    for name, value in (("FEW_QUERIES", 10), ("MOST_BROADCAST", 40), ("SAMPLE", 4), ("ENOUGH", 2), ("STEP", 4), ("PAIRS", 1)):
+        monkeypatch.setattr(knn, name, value)
+    assert [rows_of(knn.exact_knn(base, asked, 3, point, keep, DIM)) for keep in (box, None)] == truth
